@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, license_scan, mixing, simhash_dedup
-from newsloom.llm.common import table
+from newsloom.llm import decontaminate, langid, license_scan, mixing, quality, simhash_dedup, toxicity
+from newsloom.llm.common import crc_mod, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -23,8 +35,24 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_place")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
+    return langid.identify(docs, langid.train(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op4_simhash_dedup, op5_source_mixing, op8_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_toxicity,
+        op3_quality_classifier,
+        op4_simhash_dedup,
+        op5_source_mixing,
+        op6_language_id,
+        op8_decontamination,
+    )
+}
