@@ -105,7 +105,8 @@ class Model:
         first = len(self._cache)
         if first + len(ws) > len(self._rows):
             grown = np.zeros((2 * (first + len(ws)), len(self.langs)), dtype=np.float32)
-            grown[:first] = self._rows[:first]
+            if first:
+                grown[:first] = self._rows[:first]
             self._rows = grown
         self._rows[first : first + len(ws)] = total
         self._cache.update(zip(ws, range(first, first + len(ws)), strict=True))
