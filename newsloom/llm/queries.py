@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, langid, license_scan, mixing, quality, simhash_dedup, toxicity
+from newsloom.llm import decontaminate, langid, license_scan, line_dedup, mixing, quality, simhash_dedup, toxicity
 from newsloom.llm.common import crc_mod, table
 
 
@@ -44,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -54,5 +58,6 @@ QUERIES = {
         op5_source_mixing,
         op6_language_id,
         op8_decontamination,
+        op9_line_dedup,
     )
 }
