@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, langid, license_scan, line_dedup, mixing, quality, simhash_dedup, toxicity
+from newsloom.llm import ann, decontaminate, langid, license_scan, line_dedup, mixing, quality, simhash_dedup, toxicity
 from newsloom.llm.common import crc_mod, table
 
 
@@ -40,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES = {
         op4_simhash_dedup,
         op5_source_mixing,
         op6_language_id,
+        op7_nearest_neighbours,
         op8_decontamination,
         op9_line_dedup,
     )
