@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, decontaminate, langid, license_scan, line_dedup, mixing, quality, simhash_dedup, toxicity
+from newsloom.llm import ann, decontaminate, langid, license_scan, line_dedup, mixing, quality, simhash_dedup, suffix_dedup, toxicity
 from newsloom.llm.common import crc_mod, table
 
 
@@ -52,6 +52,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,5 +68,6 @@ QUERIES = {
         op7_nearest_neighbours,
         op8_decontamination,
         op9_line_dedup,
+        op10_suffix_dedup,
     )
 }
