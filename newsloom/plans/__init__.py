@@ -1,0 +1,8 @@
+"""Queries by name over the driver's tables, each with its SQL for DuckDB where SQL can express it."""
+
+from __future__ import annotations
+
+from newsloom.plans import news, news_sql
+
+ORACLE_SQL: dict[str, str] = dict(news_sql.ORACLE_SQL)
+QUERIES = {name: getattr(news, name) for name in [*ORACLE_SQL, "html_document_parse"]}
