@@ -98,3 +98,17 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         seen = state
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def may_hold(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows whose long ``key`` may be among ``wanted`` (one column of that name): none of those is lost.
+
+    A bitmap of 2^bits hashed keys, 8 MB by default at any size of ``wanted``, is broadcast, so most
+    other rows fall out before a shuffle. The exact join has to follow.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    maps = wanted.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_map"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_at div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    held = rows.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_at": at}).join(F.broadcast(maps), "_bucket")
+    return held.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 AS int))")) != 0).select(*rows.columns)

@@ -101,9 +101,7 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    # a word takes two bytes of the text at least (itself and a separator), so this bounds the windows
-    bound = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    if bound > max_broadcast_windows:
+    if _bound(items) > max_broadcast_windows:
         return _joined(docs, items, kind, id_col, n)
     matcher = send(docs.sparkSession, Matcher([tuple(r) for r in items.collect()], n))
 
@@ -138,7 +136,8 @@ def _joined(docs: DataFrame, items: DataFrame, kind: str, id_col: str, n: int) -
     def of_items(batches):
         for b in batches:
             rows = [(r.item, min(n, len(w)), h, s) for r in b.itertuples() if (w := words(r.text)) for _, h, s in cut(w, min(n, len(w)))]
-            yield b.iloc[:0].reindex(columns=[]) if not rows else _frame(rows, ["item", "k", "h", "window"])
+            if rows:
+                yield _frame(rows, ["item", "k", "h", "window"])
 
     known = scratch.save(items.mapInPandas(of_items, f"item {item_kind}, {lengths}").distinct(), "items")
     ks = sorted(r.k for r in known.select("k").distinct().collect())  # n lengths at most
@@ -173,12 +172,29 @@ def _frame(rows: list[tuple], names: list[str]):
     return pd.DataFrame(rows, columns=names)
 
 
-def drop_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The documents with no window of any item; all columns as they were. Null ids stay if their text is clean."""
-    spare = "_newsloom_row"
-    numbered = docs.withColumn(spare, F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null/"), F.sha2(F.coalesce(text_col, F.lit("")), 256))))
-    bad = report(numbered.select(F.col(spare).alias(id_col), text_col), items, id_col, text_col, **more).where("contaminated").select(F.col(id_col).alias(spare)).distinct()
-    return numbered.join(bad, spare, "left_anti").drop(spare)
+def drop_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, max_broadcast_windows: int = 2_000_000) -> DataFrame:
+    """The documents with no window of any item; all columns as they were. Null and empty texts stay."""
+    items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    if _bound(items) > max_broadcast_windows:
+        # beyond the broadcast bound rows are told apart by their text
+        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        bad = report(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, "key", "text", "item", "text", n, max_broadcast_windows)
+        bad = bad.where("contaminated").select(F.col("key").alias("_newsloom_key")).distinct()
+        return docs.withColumn("_newsloom_key", key).join(bad, "_newsloom_key", "left_anti").select(docs.columns)
+    matcher = send(docs.sparkSession, Matcher([tuple(r) for r in items.collect()], n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matcher()
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col))
+            yield b.filter(pa.array([not m.hits(words(x.as_py()))[0].any() for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _bound(items: DataFrame) -> float:
+    """At least as many windows as the items have: a word takes two bytes of the text, itself and a separator."""
+    return items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, max_broadcast_windows: int = 2_000_000) -> DataFrame:
@@ -189,7 +205,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     import re
 
     items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    if (items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0) > max_broadcast_windows:
+    if _bound(items) > max_broadcast_windows:
         raise ValueError("the items exceed max_broadcast_windows")
     matcher = send(docs.sparkSession, Matcher([tuple(r) for r in items.collect()], n))
     word = re.compile(rb"[0-9a-z\x80-\xff]+")
