@@ -38,7 +38,7 @@ class Codes:
         self.bits = bits = max(SUBSTRING_BITS, min(self.bits, d) // SUBSTRING_BITS * SUBSTRING_BITS)
         self.mean = x.mean(axis=0)
         y = x - self.mean
-        axes = np.linalg.svd(y, full_matrices=True)[2].T[:, : min(bits, d)]
+        axes = np.linalg.eigh(y.T @ y)[1][:, ::-1][:, : min(bits, d)]  # as large as the dimensions, not the sample
         if axes.shape[1] < bits:  # fewer dimensions than bits: random directions fill up
             axes = np.hstack([axes, rng.normal(size=(d, bits - axes.shape[1])) / np.sqrt(d)])
         v = y @ axes
