@@ -107,20 +107,18 @@ def bm25_search(spark, d):
     return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _shared_word_pairs(spark, d):
-    """Items with the documents whose first word is one of theirs."""
-    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("doc_text"), fn.tokens(F.col("text"), fn.QUERY_TOKEN)[0].alias("w"))
-    items = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"), F.explode(fn.query_tokens(F.col("text"))).alias("w"))
-    return items.join(docs, "w")
-
-
 def keyword_retrieval(spark, d):
-    s = _shared_word_pairs(spark, d).withColumn("score", evidence.keyword_score(F.col("claim"), F.col("doc_text")))
+    """The five documents that hold the most words of each item anywhere in their text; those that hold none are no evidence."""
+    docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
+    s = evidence.word_hits(docs, "doc_id", F.col("text"), items, "item_id", fn.query_tokens(F.col("text")), 5).withColumnRenamed("hits", "score")
     return selection.top_per_group(s, "item_id", [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "score", "rank")
 
 
 def claim_support_status(spark, d):
-    s = _shared_word_pairs(spark, d).withColumn("support", evidence.support_score(F.col("claim"), F.col("doc_text")))
+    """Every item as a claim against every document."""
+    docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
+    s = evidence.word_hits(docs, "doc_id", F.col("text"), items, "item_id", fn.claim_tokens(F.col("text")))
+    s = s.withColumn("support", F.when(F.col("words") == 0, F.lit(0.0)).otherwise(F.col("hits") / F.col("words")))
     kind = F.when(F.col("item_id") % 3 == 0, "news").when(F.col("item_id") % 3 == 1, "rumor").otherwise("guide")
     s = s.withColumn("st", evidence.claim_status(kind, F.lit(1), F.col("support")))
     return s.select("item_id", "doc_id", F.round("support", 6).alias("support"), F.col("st.check_status").alias("check_status"), F.col("st.confidence").alias("confidence"))
