@@ -3,7 +3,9 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of text that
 reads like the toxic side compresses shorter with the toxic dictionary. The toxic side's training
 text is the words that hold fragments over-represented in toxic documents (a likelihood-ratio test
-on document counts), as what both sides share tells nothing. A document's features are statistics of
+on document counts with a bounded share of false discoveries, and a least ratio of the shares, so
+that neither depends on the number of labels), as what both sides share tells nothing. A document's
+features are statistics of
 its windows' length differences; a logistic calibration, fitted on labelled documents that the
 dictionaries have not seen, maps them to a probability.
 """
@@ -43,8 +45,8 @@ def _fragments(words: set[str]) -> set[str]:
 class Model:
     """Dictionaries and calibration; ``score`` maps texts to probabilities."""
 
-    def __init__(self, window_words: int = 1, dictionary_bytes: int = 8192, level: int = 9, significance: float = 60.0):
-        self.n, self.size, self.level, self.significance = window_words, dictionary_bytes, level, significance
+    def __init__(self, window_words: int = 1, dictionary_bytes: int = 8192, level: int = 9, false_discovery: float = 0.01, least_ratio: float = 5.0):
+        self.n, self.size, self.level, self.false_discovery, self.least_ratio = window_words, dictionary_bytes, level, false_discovery, least_ratio
         self.toxic = self.ordinary = b""
         self.weights: np.ndarray | None = None
         self.rate = 0.0
@@ -105,9 +107,9 @@ class Model:
         if len(pos) < 5 or len(neg) < 5:
             return self
         have = Counter(f for w, _, _ in pos for f in _fragments(w))
-        have = {f: c for f, c in have.items() if c >= 5}
+        have = {f: c for f, c in have.items() if c >= 2}  # what one document holds says nothing of others
         other = Counter(f for w, _, _ in neg for f in _fragments(w) if f in have)
-        marked = {f for f, c in have.items() if _likelihood_ratio(c, len(pos), other[f], len(neg)) > self.significance}
+        marked = self._marked(have, len(pos), other, len(neg))
         told = Counter(w for ws, _, _ in pos for w in ws if marked & _fragments({w}))
         words = [f" {w} ".encode() for w, c in told.items() for _ in range(min(c, 64))]
         rng = np.random.default_rng(seed)
@@ -121,6 +123,12 @@ class Model:
         self.weights = _logistic(x, y[held])
         return self
 
+    def _marked(self, have: dict[str, int], n: int, other: dict[str, int], m: int) -> set[str]:
+        """Fragments in so much larger a share of toxic documents, by Benjamini and Hochberg's procedure over all of ``have``."""
+        p = {f: math.erfc(math.sqrt(_likelihood_ratio(c, n, other[f], m) / 2)) for f, c in have.items()}
+        last = max((v for i, v in enumerate(sorted(p.values()), 1) if v <= self.false_discovery * i / len(p)), default=-1.0)
+        return {f for f, c in have.items() if p[f] <= last and c / n >= self.least_ratio * (other[f] + 0.5) / (m + 1)}
+
     def _train(self, samples: list[bytes]) -> bytes:
         import zstandard as zs
 

@@ -1,0 +1,30 @@
+"""Operators where an earlier version did less than the whole job."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from newsloom.llm import toxicity
+
+
+def _invented(rng, n):
+    return ["".join(rng.choice("bcdfghklmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("labels", [20, 300, 1500])
+def test_toxicity_is_found_at_any_number_of_labels(labels):
+    rng = random.Random(labels)
+    plain, bad = _invented(rng, 800), [w + "x" + v for w, v in zip(_invented(rng, 10), _invented(rng, 10), strict=True)]
+
+    def text(toxic):
+        w = [rng.choice(plain) for _ in range(60)]
+        for _ in range(4 if toxic else 0):
+            w[rng.randrange(60)] = rng.choice(bad)
+        return " ".join(w)
+
+    y = [1] * labels + [0] * 2 * labels
+    m = toxicity.Model().fit([text(v) for v in y], y)
+    assert sum(m.score(text(1)) >= 0.5 for _ in range(100)) >= 80
+    assert sum(m.score(text(0)) >= 0.5 for _ in range(100)) <= 5
