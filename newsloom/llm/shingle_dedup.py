@@ -1,0 +1,97 @@
+"""Near-duplicate documents by the Jaccard index of their word shingles, exact.
+
+Prefix filtering: with shingles in order of rarity, two sets that reach the threshold share one of the
+first |x| - ceil(t|x|) + 1 shingles of each. Shingles that only one set holds fill most of those
+prefixes and link nothing, so only shared ones are indexed. As in line dedup, sets are first linked with
+one hub of each list in a few rounds, then only the pairs that this leaves in different groups are
+compared; every link is verified on the whole sets. Equal sets meet as one set.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from newsloom.llm.common import Scratch, components
+from newsloom.llm.simhash_dedup import shingles
+
+ROUNDS = 3  # of linking sets with hubs before the pairs left are compared
+
+
+def _sets(docs: DataFrame, words: int, whole: bool) -> DataFrame:
+    """(id, sid[, set]) of every row: its distinct shingle digests and a digest of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            found = [np.unique(shingles(x.as_py(), words)) for x in b.column(1)]
+            out = {"id": b.column(0), "sid": pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in found], pa.string())}
+            if whole:
+                out["set"] = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, sid string" + (", set array<bigint>" if whole else ""))
+
+
+def _index(sets: DataFrame, similarity: float) -> DataFrame:
+    """(sid, n, t): the shingles of each set's prefix that another set holds too."""
+    held = sets.select("sid", F.size("set").alias("n"), F.explode("set").alias("t"))
+    shared = held.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = held.join(shared, "t").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    alone = F.col("n") - F.size("o")  # shingles of this set only come first
+    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1 - alone
+    return ranked.where(length > 0).select("sid", "n", F.explode(F.slice("o", F.lit(1), length)).alias("s")).select("sid", "n", F.col("s.t").alias("t"))
+
+
+def _relabel(labels: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """The labels x and y of each pair (p, q, x, y) made one if the sets p and q are similar enough."""
+    joined = pairs.distinct().join(sets.select(F.col("sid").alias("p"), F.col("set").alias("s")), "p").join(sets.select(F.col("sid").alias("q"), F.col("set").alias("t")), "q")
+    both = joined.select("x", "y", (F.size("s") + F.size("t")).alias("n"), F.size(F.array_intersect("s", "t")).alias("common"))
+    edges = both.where(F.col("common") >= similarity * (F.col("n") - F.col("common")) - 1e-9).select("x", "y")
+    roots = components(edges, Scratch(labels.sparkSession, "shingles")).withColumnRenamed("node", "label")
+    return scratch.save(labels.join(roots, "label", "left").select("sid", F.coalesce("root", "label").alias("label")), name)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: id and component_id, the smallest id reachable.
+
+    Texts link if the Jaccard index of their sets of ``words``-word shingles is ``similarity`` or more;
+    texts of fewer words are one shingle, and those without words have the empty set and link with each
+    other. Repeated ids each keep their row; a null id stays null.
+    """
+    scratch = Scratch(docs.sparkSession, "shingles")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    members = scratch.save(_sets(docs, words, False), "members")
+    sets = scratch.save(_sets(docs, words, True).groupBy("sid").agg(F.first("set").alias("set")), "sets")
+    index = scratch.save(_index(sets, similarity), "index")
+    labels = index.select("sid", F.col("sid").alias("label")).distinct()
+    near = (F.col("x") != F.col("y")) & (F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
+    for r in range(ROUNDS):  # as many pairs as postings, not as pairs of a list
+        held = index.join(labels, "sid")
+        hub = held.groupBy("t").agg(F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("at"), "sid", "label", "n")).alias("h"))
+        hub = hub.select("t", F.col("h.sid").alias("p"), F.col("h.label").alias("x"), F.col("h.n").alias("m"))
+        spokes = held.select("t", F.col("sid").alias("q"), F.col("label").alias("y"), "n").join(hub, "t").where(near)
+        labels = _relabel(labels, spokes.select("p", "q", "x", "y"), sets, similarity, scratch, f"labels{r}")
+    held = index.join(labels, "sid")
+    mixed = held.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("t")
+    a = held.join(mixed, "t", "left_semi").select("t", F.col("sid").alias("p"), F.col("label").alias("x"), F.col("n").alias("m"))
+    b = held.select("t", F.col("sid").alias("q"), F.col("label").alias("y"), "n")
+    labels = _relabel(labels, a.join(b, "t").where((F.col("p") < F.col("q")) & near).select("p", "q", "x", "y"), sets, similarity, scratch, "labels")
+    rooted = members.join(labels, "sid", "left").select("id", F.coalesce("label", "sid").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(lowest, "root").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with the smallest id of each component; all columns as they were.
+
+    A row with a null id has no place in the order and stays. Rows repeated under one id stay together.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, similarity)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti")

@@ -49,21 +49,26 @@ def _covering_triples() -> list[tuple[int, int, int]]:
 TRIPLES = _covering_triples()
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash of one text: lower-cased A-Z, word shingles with repeats, XXH64 with seed 42."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 with seed 42 of each word shingle, with repeats; A-Z is lower-cased. A shorter text is one shingle."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split(b" ")
     w = [x for x in w if x]
-    if not w:
-        return 0
     if len(w) > words:
         spans = [w[i:] for i in range(words)]
-        shingles = map(b" ".join, zip(*spans, strict=False))
+        found = map(b" ".join, zip(*spans, strict=False))
     else:
-        shingles = [b" ".join(w)]
+        found = [b" ".join(w)] if w else []
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in shingles), dtype=np.uint64)
+    return np.fromiter((digest(s, 42) for s in found), dtype=np.uint64)
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """SimHash of one text: lower-cased A-Z, word shingles with repeats, XXH64 with seed 42."""
+    h = shingles(text, words)
+    if not len(h):
+        return 0
     total = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 65536):
         total += np.unpackbits(h[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
