@@ -53,7 +53,7 @@ def _sources(spark, d):
 def _memory(spark, d):
     """What was first seen in the first ten days, by URL."""
     e = _t(spark, d, "events").where(F.col("ts") < F.lit("2024-01-11").cast("timestamp"))
-    return e.groupBy(F.concat(F.lit("url:https://example.com/"), F.col("user_id")).alias("memory_key")).agg(F.min(F.col("ts").cast("timestamp")).alias("first_seen_at")).where("memory_key not like '%7'")
+    return e.groupBy(F.concat(F.lit("url:https://example.com/"), F.col("user_id")).alias("memory_key")).agg(F.min(F.col("ts").cast("timestamp")).alias("first_seen_at"))
 
 
 def heat_score_rank(spark, d):
@@ -84,7 +84,7 @@ def html_document_parse(spark, d):
 
 
 def _title(c="text"):
-    return F.substring(F.substring_index(F.col(c), "\n", 1), 1, 120)
+    return F.substring_index(F.col(c), "\n", 1)
 
 
 def normalized_title_clusters(spark, d):

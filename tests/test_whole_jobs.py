@@ -79,3 +79,27 @@ def test_word_hits_in_blocks_and_batches(spark):
     for k, _ in items:
         ranked = sorted((-s, i) for (x, i), s in want.items() if x == k and s)
         assert sorted(best.get(k, []))[:5] == ranked[:5]
+
+
+def test_titles_are_whole_first_lines(spark, tmp_path):
+    same = " ".join(f"word{i:02d}" for i in range(20))  # longer than 120 characters
+    texts = [f"{same} one\nbody", f"{same} two\nother", f"{same} one\nthird", " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(100))]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.n, r.first_doc) for r in run("normalized_title_clusters")) == [(1, 1), (1, 3), (1, 4), (2, 0)]
+    assert sorted(r.doc_id for r in run("round_robin_requests")) == [0, 1, 3, 4]
+    sets = [set(t.split("\n")[0].split()) for t in texts]
+    pairs = {(r.id_a, r.id_b): r.similarity for r in run("title_jaccard_pairs")}
+    jaccard = lambda a, b: round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
+    assert pairs == {(a, b): jaccard(a, b) for b in range(5) for a in range(b) if jaccard(a, b) >= 0.65} and len(pairs) == 3
+
+
+def test_memory_holds_every_key_of_its_time(spark, tmp_path):
+    import datetime as dt
+
+    rows = [(i, dt.datetime(2024, 1, day), u, "view", 1.0) for i, (u, day) in enumerate([(7, 2), (7, 19), (17, 3), (8, 4), (9, 19)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    from newsloom.plans import news
+
+    assert {r.memory_key for r in news._memory(spark, str(tmp_path)).collect()} == {f"url:https://example.com/{u}" for u in (7, 17, 8)}
