@@ -8,14 +8,49 @@ from pyspark.sql import functions as F
 
 from newsloom import functions as fn
 
-# Label rules of a timeline entry and live-event patterns.
+# Patterns of live events, in order.
 LIVE_EVENTS = {
-    "press_conference": "发布会|press conference|showcase|state of play|direct",
-    "livestream": "直播|livestream|live stream",
-    "game_festival": "游戏节|game fest|gamescom|tgs|e3",
-    "esports": "电竞|esports|championship|世界赛",
-    "beta_test": "测试|beta|公测|内测",
+    "livestream": "直播|live broadcast|livestream|实况|试玩直播|前瞻直播|特别节目|special program|全程直播",
+    "press_conference": "发布会|直面会|direct|showcase|state of play|gamescom|tgs|东京电玩展|e3|tga|the game awards|科隆|chinajoy|cj展|games award",
+    "game_festival": "游戏节|游戏展|嘉年华|festival|fest|游戏展会|试玩活动|play day|preview event|开放日|summer game fest|夏日游戏节",
+    "beta_or_demo": "试玩|demo|beta|公测|内测|体验版|测试.*上线|playtest|early access.*上|抢先体验",
+    "patch_day": "赛季|更新.*上线|新版本|大型更新|资料片|expansion|dlc.*上线|第.*季|season",
 }
+# Patterns of event types of a story, in order, and the types that follow from a candidate's type.
+EVENT_TYPES = {
+    "confirmed_report": r"已上线|正式上线|推送上线|公布|发布|发售|定档|确认|宣布|官方宣布|公开|正式公开|\b(confirmed|revealed|announced)\b",
+    "community_reaction": "热议|争议|走红|疯传|转发|玩家反应|客服|补偿|梗|整活|离谱|投票|评论区|火了|刷屏",
+    "review_or_score": "评分|评测|评分解禁|m站|metacritic|opencritic|review score|媒体评分|斩获.*分|获得.*分|高分|低分",
+    "price_or_market": r"售价|涨价|降价|价格|销量|首周|定价|股价|暴涨|暴跌|\b(price|pricing|sale figure|revenue)\b",
+    "leak_or_rumor": r"爆料|泄露|传闻|据称|有望|曝光|\b(leak|rumor)\b",
+    "patch_or_update": r"更新|补丁|新版本|赛季更新|\b(patch|update|hotfix)\b|上线更新|新增内容",
+    "release_or_launch": "发售|解锁|预载|上线|推出|登陆|launch|已登陆|即将登陆",
+    "development": r"开发|制作人|主创|工作室|团队|开发进展|\b(developer|studio update)\b",
+}
+TYPE_EVENTS = {"rumor": "leak_or_rumor", "review_score": "review_or_score", "platform_price": "price_or_market"}
+# Keywords of event types of past items; several may hold.
+HISTORY_TYPES = {
+    "launch": ["launch", "release date", "released", "now available", "out now"],
+    "update": ["update", "patch", "hotfix", "season", "dlc", "expansion"],
+    "delay": ["delay", "delayed", "postponed", "pushed back"],
+    "shutdown": ["shutdown", "sunset", "end of service", "closing", "discontinued"],
+    "acquisition": ["acquisition", "acquired", "merged", "bought"],
+    "controversy": ["controversy", "backlash", "outrage", "criticism", "boycott"],
+    "award": ["award", "game of the year", "goty", "nomination", "won"],
+    "record": ["record", "milestone", "broke", "fastest", "highest", "best-selling"],
+}
+
+
+def event_type(text: Column, candidate_type: Column) -> Column:
+    """The first type whose pattern is in the text, else what the candidate's type says, else general_news."""
+    return fn.first_match([*((fn.matches(p, text), name) for name, p in EVENT_TYPES.items()), *((candidate_type == k, v) for k, v in TYPE_EVENTS.items())], "general_news")
+
+
+def history_types(text: Column) -> Column:
+    """All types of which a keyword stands in the text, in order; ["general"] if none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = fn.reasons(*((fn.any_contained(words, low), name) for name, words in HISTORY_TYPES.items()))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
 
 
 def bursts(items: DataFrame, entity: str, ts: str, ordinal: str, hours: float = 72, least: int = 3) -> DataFrame:

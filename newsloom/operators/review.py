@@ -9,7 +9,7 @@ from newsloom import functions as fn
 
 # Words of commentary and of details, patterns of official sources.
 COMMENTARY = ["评论", "热议", "玩家反应", "吐槽", "整活", "梗", "恶搞", "二创", "网友", "社区", "分析", "评测", "测评", "观点", "看法", "为什么", "reaction", "commentary", "opinion", "editorial", "analysis", "review", "impressions", "hands-on", "take", "hot take"]
-DETAIL = ["发售日", "发售日期", "定档", "售价", "价格", "预购", "预载", "试玩", "demo", "dlc", "更新", "patch", "补丁", "系统要求", "配置", "画面对比", "实机演示", "gameplay", "trailer", "release date", "price", "preorder", "preload", "system requirements", "new character", "new trailer", "update"]
+DETAIL = ["新角色", "新预告", "发售日", "发售日期", "定档", "售价", "价格", "预购", "预载", "试玩", "demo", "dlc", "更新", "patch", "补丁", "系统要求", "配置", "画面对比", "实机演示", "gameplay", "trailer", "release date", "price", "preorder", "preload", "system requirements", "new character", "new trailer", "update"]
 OFFICIAL = r"\bnintendo\b|\bplaystation\b|\bxbox\b|\bsteampowered\b|\bepicgames\b|\bsquare-enix\b|\bubisoft\b|\bea\.com\b|\bbethesda\b|\bcapcom\b|\bsega\b|\bbandainamco\b|\bactivision\b|\bblizzard\b|\briotgames\b|\brockstargames\b|\bfromsoftware\b|任天堂|索尼|微软"
 VERDICTS = ["verified", "likely", "credible_rumor", "weak_rumor", "rumor", "reject"]
 

@@ -109,4 +109,3 @@ SENSITIVE_TOPICS = {
     "revenue_decline": "营收下降|收入下降|亏损|利润下滑|revenue decline|revenue drop|profit decline|loss|financial trouble|财报不佳|业绩下滑",
 }
 RUMOR_LABELS = {"credible_rumor": "[流言][可信爆料]", "weak_rumor": "[流言][待验证]", "unverified_rumor": "[流言][未验证]"}
-STATUS_BONUS = {"verified": 20.0, "likely": 12.0, "credible_rumor": 7.0, "weak": 1.0, "rumor": 2.0}

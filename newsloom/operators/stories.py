@@ -23,13 +23,22 @@ def editorial_fit(text: Column) -> Column:
     return F.greatest(F.lit(-10.0), F.least(F.lit(20.0), score))
 
 
+def discussion_score(score: Column, level: Column, proven: Column) -> Column:
+    """The score that counts: all of it with proof or a level of discussed or trending, 8 at most if weak, else none; without a level as it is."""
+    return F.when(level.isNull() | proven | level.isin("discussed", "trending"), score).when(level == "weak", F.least(score, F.lit(8.0))).otherwise(0.0)
+
+
 def ranked_stories(claims: DataFrame) -> DataFrame:
     """One row per story_id of publishable claims: score, number of claims and urls, primary claim.
 
     Claims have story_id, ordinal, text, check_status, confidence, heat_score, discussion_score, url,
-    is_preferred_language. The primary claim is the first in the preferred language, else the first.
+    is_preferred_language and may have discussion_level and has_discussion_evidence, which limit the
+    discussion score. The primary claim is the first in the preferred language, else the first.
     """
     held = claims.where(F.col("check_status").isin(PUBLISHABLE))
+    if "discussion_level" in claims.columns:
+        proven = F.coalesce("has_discussion_evidence", F.lit(False)) if "has_discussion_evidence" in claims.columns else F.lit(False)
+        held = held.withColumn("discussion_score", discussion_score(F.col("discussion_score"), F.col("discussion_level"), proven))
     grouped = held.groupBy("story_id").agg(
         F.max("heat_score").alias("heat"), F.max("discussion_score").alias("discussion"), F.max("confidence").alias("confidence"), F.max(fn.lookup(F.col("check_status"), STATUS_BONUS, 0.0)).alias("bonus"),
         F.count_distinct("url").alias("source_count"), F.max(editorial_fit(F.col("text"))).alias("fit"), F.count(F.lit(1)).alias("claim_count"), F.min_by("text", F.struct(~F.col("is_preferred_language"), F.col("ordinal"))).alias("title"),

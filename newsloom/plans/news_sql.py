@@ -22,12 +22,12 @@ def _norm(x: str, least: int = 10) -> str:
     return f"CASE WHEN length(replace({t}, ' ', '')) < {least} THEN '' ELSE {t} END"
 
 
-_TITLE = "substr(string_split(text, chr(10))[1], 1, 120)"
+_TITLE = "string_split(text, chr(10))[1]"
 _HTML_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 _POOL = """pool AS (SELECT o_orderkey, o_custkey, n_regionkey AS section, o_totalprice, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 _ORDER = "priority, o_totalprice DESC, o_orderkey"
-_MEMORY = f"""memory AS (SELECT 'url:https://example.com/' || user_id AS memory_key, min(ts) AS first_seen FROM events WHERE ts < TIMESTAMP '2024-01-11' GROUP BY 1 HAVING memory_key NOT LIKE '%7'),
+_MEMORY = f"""memory AS (SELECT 'url:https://example.com/' || user_id AS memory_key, min(ts) AS first_seen FROM events WHERE ts < TIMESTAMP '2024-01-11' GROUP BY 1),
 cand AS (SELECT e.*, 'url:https://example.com/' || e.user_id AS k, first_seen, m.memory_key,
   CASE WHEN m.memory_key IS NULL THEN 'new_story' WHEN first_seen IS NULL THEN 'known_story_unknown_first_seen' WHEN date_diff('microsecond', first_seen, {NOW}) <= 240 * 3600000000 THEN 'known_recent_story'
     WHEN event_type = 'signup' THEN 'follow_up_update' ELSE 'late_repost' END AS memory_status
@@ -64,10 +64,9 @@ f AS (SELECT token, count(*) AS df FROM p GROUP BY 1), q AS (SELECT item_id, unn
 s AS (SELECT item_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (token) JOIN f USING (token), stats GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
-_PAIRS = f"""items AS (SELECT item_id, text AS claim, unnest(list_distinct({_words('text', _STOP)})) AS w FROM benchmark),
-docs AS (SELECT doc_id, text AS doc_text, regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{{2,}}')[1] AS w FROM documents), pairs AS (SELECT * FROM items JOIN docs USING (w))"""
+_PAIRS = "items AS (SELECT item_id, text AS claim FROM benchmark), docs AS (SELECT doc_id, text AS doc_text FROM documents), pairs AS (SELECT * FROM items CROSS JOIN docs)"
 KEYWORD = f"""WITH {_PAIRS}, s AS (SELECT item_id, doc_id, len(list_filter(list_distinct({_words('claim', _STOP)}), lambda t: contains(lower(doc_text), t))) AS score FROM pairs),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5"""
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5"""
 SUPPORT = f"""WITH {_PAIRS}, c AS (SELECT item_id, doc_id, list_distinct({_words('claim', _CLAIM_STOP)}) AS ws, doc_text FROM pairs),
 s AS (SELECT item_id, doc_id, CASE WHEN len(ws) = 0 OR doc_text = '' THEN 0.0 ELSE len(list_filter(ws, lambda t: contains(lower(doc_text), t))) / len(ws) END AS support, item_id % 3 AS k FROM c)
 SELECT item_id, doc_id, round(support, 6) AS support,
