@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -42,35 +43,50 @@ class Scratch:
     """Tables in the shared folder that spark.checkpoint.dir names, for results that more than one job reads.
 
     A table written here survives the loss of any executor, unlike cached or shuffled blocks, and
-    cuts the lineage of iterative work. A folder of our own is set only where none is set.
+    cuts the lineage of iterative work. Where the setting is missing a local session (tests) gets a
+    folder of its own, and any other raises. As a context manager it drops all of its tables at the
+    end; the tables behind a result that is returned stay, and ``drop`` removes those no longer read.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "/tmp/newsloom-checkpoints"
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="newsloom-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._delete(self.root)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
     """Connected components of an undirected graph, as (node, root) with root the smallest node.
 
     ``edges`` has two columns of one orderable type; loops and repeats do no harm; rows with a
     null end are left out. Only nodes with an edge are returned. Alternating large-star and
     small-star steps: each is an aggregation with map-side combining and an equi-join that adaptive
     execution can split, so a node with very many neighbours never has to fit one task. Each round
-    is written to the scratch folder; the driver sees a count and a checksum per round.
+    is written to the scratch folder; the driver sees a count and a checksum per round. The rounds
+    grow with the logarithm of the longest path; a graph not done after ``max_rounds`` raises.
     """
     a, b = edges.columns
     links = scratch.save(
@@ -82,22 +98,24 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return pairs.join(least, "u").where(keep).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
 
-    seen = None
-    for i in range(1, max_rounds):
+    def done(pairs: DataFrame) -> bool:
+        """Whether each node that has a smaller neighbour has one only, and that one has none."""
+        many = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        chained = pairs.join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+        return many.unionByName(chained).isEmpty()
+
+    for i in range(1, max_rounds + 1):
+        if done(links):
+            roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = stars(both, "v > u").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("s"))
         small = small.select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct()
-        links_new = scratch.save(small, f"links{i}")
-        state = tuple(links_new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+        links = scratch.save(small, f"links{i}")
         scratch.drop(f"links{i - 1}")
-        links = links_new
-        if state == seen:
-            break
-        seen = state
-    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components not found in {max_rounds} rounds")
 
 
 def may_hold(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 26) -> DataFrame:

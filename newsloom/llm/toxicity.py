@@ -104,21 +104,21 @@ class Model:
         part = np.random.default_rng(seed).permutation(len(y)) % 3
         learn = [(set(_WORD.findall((t or "").lower())), t, v) for t, v, p in zip(texts, toxic, part, strict=True) if p != 0]
         pos, neg = [x for x in learn if x[2]], [x for x in learn if not x[2]]
-        if len(pos) < 5 or len(neg) < 5:
+        held = part == 0
+        if not pos or not neg or len(set(y[held])) < 2:
             return self
         have = Counter(f for w, _, _ in pos for f in _fragments(w))
         have = {f: c for f, c in have.items() if c >= 2}  # what one document holds says nothing of others
         other = Counter(f for w, _, _ in neg for f in _fragments(w) if f in have)
         marked = self._marked(have, len(pos), other, len(neg))
         told = Counter(w for ws, _, _ in pos for w in ws if marked & _fragments({w}))
-        words = [f" {w} ".encode() for w, c in told.items() for _ in range(min(c, 64))]
+        words = [f" {w} ".encode() for w, c in told.items() for _ in range(c)]
         rng = np.random.default_rng(seed)
         words = [words[i] for i in rng.permutation(len(words))]
-        plain = [" ".join(x).encode() for _, t, _ in neg for x in _pieces(_WORD.findall((t or "").lower()), 8)]
-        plain = [plain[i] for i in rng.permutation(len(plain))[:40_000]]
-        self.toxic = self._train([b"".join(words[i : i + 4]) for i in range(0, len(words), 4)])
-        self.ordinary = self._train(plain)
-        held = part == 0
+        pieces = lambda of: [" ".join(x).encode() for _, t, _ in of for x in _pieces(_WORD.findall((t or "").lower()), 8)]
+        # without a fragment that tells, the toxic documents' own windows
+        self.toxic = self._train([b"".join(words[i : i + 4]) for i in range(0, len(words), 4)] or pieces(pos))
+        self.ordinary = self._train(pieces(neg))
         x = np.array([self.features(t) for t, h in zip(texts, held, strict=True) if h])
         self.weights = _logistic(x, y[held])
         return self
@@ -130,14 +130,12 @@ class Model:
         return {f for f, c in have.items() if p[f] <= last and c / n >= self.least_ratio * (other[f] + 0.5) / (m + 1)}
 
     def _train(self, samples: list[bytes]) -> bytes:
+        """A trained dictionary. Few samples are repeated, as the trainer wants a multiple of the dictionary's size."""
         import zstandard as zs
 
-        if sum(map(len, samples)) > 8 * self.size and len(samples) > 20:
-            try:
-                return zs.train_dictionary(self.size, samples).as_bytes()
-            except zs.ZstdError:  # too few or too uniform samples to train on
-                pass
-        return b"".join(dict.fromkeys(samples))[-self.size :] or b" "
+        total = sum(map(len, samples))
+        again = max(1, -(-16 * self.size // max(total, 1)))
+        return zs.train_dictionary(self.size, samples * again).as_bytes() if total else b" "
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -199,8 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, max_toxic: int = 150
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, score, predicted) for every row: the score of the whole text, and 1 from ``threshold`` on.
 
-    Null and empty texts get the score of a text without windows. Without labelled rows of both kinds
-    every score is the share of toxic labels (0 if there are none). Repeated rows each give a row.
+    Null and empty texts get the score of a text without windows. Without labelled rows of both kinds,
+    among those that the dictionaries learn from and those that calibrate, every score is the share of
+    toxic labels (0 if there are none). Repeated rows each give a row.
     """
     get = send(docs.sparkSession, model)
     kind = docs.schema[id_col].dataType.simpleString()
