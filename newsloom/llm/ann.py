@@ -134,32 +134,41 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v) of the rows that take part: the id and vector are there, finite, not zero, of the most common length."""
+    """(id, v) of the rows that take part: the id and vector are there, finite, not zero."""
     v = F.col(vector_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0].n if sizes else 0))
+    return vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-def nearest(vectors: DataFrame, queries_where: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 8192, block_rows: int = 8192, block_queries: int = 4096, coverage: float = 0.95) -> DataFrame:
+def nearest(vectors: DataFrame, queries_where: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found of each query, by Euclidean distance.
 
     Queries are the rows where ``queries_where``, a condition on id, holds; a query's own id is no
-    candidate. Rows with a null id or a vector that is null, empty, zero, not finite, holds nulls or
-    has another length than most take no part. Ties go to the smaller id. Rows repeated under one id
-    are one row (the smallest vector by order). Fewer than k candidates are all returned; an
-    empty table gives an empty result. The rotation is fitted on ``sample_rows`` rows at most; every
-    row is indexed.
+    candidate. Rows with a null id or a vector that is null, empty, zero, not finite or holds nulls take
+    no part. Vectors have a distance to those of their own length only: each length has its own codes and
+    index. Ties go to the smaller id. Rows repeated under one id are one row (the smallest vector by
+    order). Fewer than k candidates are all returned; an empty table gives an empty result; other columns
+    are not read. ``options`` are those of ``nearest_of_length``.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    rows = scratch.save(rows, "rows")
+    rows = scratch.save(usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")), "rows")
+    lengths = [r.d for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("d").collect()]  # of vectors: a table has few
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, d in enumerate(lengths):
+        part = nearest_of_length(rows.where(F.col("d") == d).select("id", "v"), queries_where, k, **options)
+        found = part if i == 0 else found.unionByName(part)
+    return found
+
+
+def nearest_of_length(rows: DataFrame, queries_where: str, k: int = 10, sample_rows: int = 8192, block_rows: int = 8192, block_queries: int = 4096, coverage: float = 0.95) -> DataFrame:
+    """As ``nearest``, of written rows (id, v) with one vector for each id, all of one length.
+
+    The rotation is fitted on ``sample_rows`` rows at most; every row is indexed.
+    """
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
     schema = "query_id long, vec_id long, score double"
-    if len(sample) < 2:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     get = send(spark, Codes().fit(np.array([r.v for r in sample]), k, coverage))
     asked = rows.where(queries_where)
     n_rows, n_asked = rows.count(), asked.count()

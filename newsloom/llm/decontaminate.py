@@ -10,6 +10,7 @@ larger item set is not broadcast: windows are joined on their hash by a shuffle
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,11 +121,9 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return docs.mapInArrow(scan, f"id {kind}, {_COLUMNS}").withColumnRenamed("id", id_col)
 
 
-def _joined(docs: DataFrame, items: DataFrame, kind: str, id_col: str, n: int) -> DataFrame:
-    """The report for item sets too large to broadcast: windows meet by a shuffle on their text's hash."""
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    item_kind = items.schema["item"].dataType.simpleString()
-    lengths = "k int, h long, window string"
+def _window_hits(docs: DataFrame, items: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(row, k, i, item): the windows of k words from word i on of documents (row, text) that are windows of an item, by a shuffle on their hash."""
+    item_kind, row_kind = (d.schema[c].dataType.simpleString() for d, c in ((items, "item"), (docs, "row")))
 
     def cut(w: list[bytes], k: int) -> Iterator[tuple[int, int, str]]:
         import xxhash
@@ -139,7 +138,7 @@ def _joined(docs: DataFrame, items: DataFrame, kind: str, id_col: str, n: int) -
             if rows:
                 yield _frame(rows, ["item", "k", "h", "window"])
 
-    known = scratch.save(items.mapInPandas(of_items, f"item {item_kind}, {lengths}").distinct(), "items")
+    known = scratch.save(items.mapInPandas(of_items, f"item {item_kind}, k int, h long, window string").distinct(), "items")
     ks = sorted(r.k for r in known.select("k").distinct().collect())  # n lengths at most
 
     def of_docs(batches):
@@ -150,8 +149,14 @@ def _joined(docs: DataFrame, items: DataFrame, kind: str, id_col: str, n: int) -
                 if rows:
                     yield _frame(rows, ["row", "k", "i", "h", "window"])
 
+    return docs.mapInPandas(of_docs, f"row {row_kind}, k int, i long, h long, window string").join(known, ["k", "h", "window"]).select("row", "k", "i", "item")
+
+
+def _joined(docs: DataFrame, items: DataFrame, kind: str, id_col: str, n: int) -> DataFrame:
+    """The report for item sets too large to broadcast."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
     rows = scratch.save(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    hits = rows.select("row", "text").mapInPandas(of_docs, f"row long, k int, i long, h long, window string").join(known, ["k", "h", "window"])
+    hits = _window_hits(rows.select("row", "text"), items, n, scratch)
     per_item = hits.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("found"))
     at = hits.select("row", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1)).alias("at")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
 
@@ -200,30 +205,41 @@ def _bound(items: DataFrame) -> float:
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10, max_broadcast_windows: int = 2_000_000) -> DataFrame:
     """The documents with the characters of every hit word removed from the text; the rest of the text stays as it was.
 
-    Needs an item set within the broadcast bound (ValueError beyond; use drop_documents there).
+    Null, empty and wordless texts stay as they are, repeated rows alike; wordless items and those of a
+    null id hit nothing. Beyond the broadcast bound hit words come from the join of windows, by the
+    text's digest. All columns are kept.
     """
-    import re
-
     items = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     if _bound(items) > max_broadcast_windows:
-        raise ValueError("the items exceed max_broadcast_windows")
+        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        hits = _window_hits(docs.select(key.alias("row"), F.col(text_col).alias("text")), items, n, Scratch(docs.sparkSession, "decontaminate"))
+        at = hits.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("i"), F.col("i") + F.col("k") - 1)))).alias("_hit_words"))
+
+        @F.pandas_udf("string")
+        def cut(texts, hit):
+            return texts.combine(hit, lambda t, h: t if t is None or h is None else _without_words(t, lambda words_: np.isin(np.arange(len(words_)), h)))
+
+        joined = docs.withColumn("_newsloom_key", key).join(at.withColumnRenamed("row", "_newsloom_key"), "_newsloom_key", "left")
+        return joined.withColumn(text_col, cut(F.col(text_col), F.col("_hit_words"))).select(docs.columns)
     matcher = send(docs.sparkSession, Matcher([tuple(r) for r in items.collect()], n))
-    word = re.compile(rb"[0-9a-z\x80-\xff]+")
 
     @F.pandas_udf("string")
     def clean(texts):
-        def one(t):
-            raw = (t or "").encode("utf-8", "surrogatepass")
-            at = [x.span() for x in word.finditer(raw.translate(_TABLE))]
-            hit, _ = matcher().hits([raw.translate(_TABLE)[a:b] for a, b in at])
-            if t is None or not hit.any():
-                return t
-            keep = np.ones(len(raw), dtype=bool)
-            for (a, b), h in zip(at, hit, strict=True):
-                if h:
-                    keep[a:b] = False
-            return np.frombuffer(raw, dtype=np.uint8)[keep].tobytes().decode("utf-8", "surrogatepass")
-
-        return texts.map(one, na_action=None)
+        return texts.map(lambda t: t if t is None else _without_words(t, lambda w: matcher().hits(w)[0]), na_action=None)
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
+
+
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def _without_words(text: str, hits) -> str:
+    """The text without the words that ``hits``, given all of its words, marks."""
+    raw = text.encode("utf-8", "surrogatepass")
+    low = raw.translate(_TABLE)
+    at = [x.span() for x in _WORD.finditer(low)]
+    keep = np.ones(len(raw), dtype=bool)
+    for (a, b), h in zip(at, hits([low[a:b] for a, b in at]), strict=True):
+        if h:
+            keep[a:b] = False
+    return text if keep.all() else np.frombuffer(raw, dtype=np.uint8)[keep].tobytes().decode("utf-8", "surrogatepass")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import send
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # may hold number signs such as superscripts, see words_of
 _BUCKETS = 1 << 16
 # First code points of runs of one script; the number names the script, 0 is none of these.
 _SCRIPT_STARTS = [
@@ -31,6 +31,14 @@ _STARTS = np.array([a for a, _ in _SCRIPT_STARTS])
 _SCRIPTS = np.array([b for _, b in _SCRIPT_STARTS])
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters, as str.isalpha has them, of the lower-cased text: number signs are no letters."""
+    found = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word number, bucket) of the byte n-grams, n from 2 to 5, and of the whole of each word."""
     import zlib
@@ -70,7 +78,7 @@ class Model:
         self.langs = sorted(set(langs))
         words = {k: Counter() for k in self.langs}
         for t, k in zip(texts, langs, strict=True):
-            words[k].update(_WORD.findall((t or "").lower()))
+            words[k].update(words_of(t))
         self.table = np.zeros((len(self.langs), _BUCKETS))
         self.scripts = np.zeros((len(self.langs), _SCRIPTS.max() + 1), dtype=bool)
         for i, k in enumerate(self.langs):
@@ -113,7 +121,7 @@ class Model:
 
     def paths(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """The words of each text and the number of the language Viterbi gives each."""
-        bags = [_WORD.findall((t or "").lower()) for t in texts]
+        bags = [words_of(t) for t in texts]
         if len(self._cache) > 500_000:
             self._cache.clear()
         out: list = [(b, np.zeros(0, dtype=np.int64)) for b in bags]
@@ -217,6 +225,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans) for every row: the runs of words of one language in text order; none without letters."""
+    """(id, spans) for every row: the runs of words of one language in text order.
+
+    Null and empty texts, texts without letters and a model that has learned no language give no spans.
+    Repeated rows each give a row; an empty table gives an empty result; other columns are not read.
+    """
     span = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())])
     return _apply(docs, model, id_col, text_col, "spans", "spans array<struct<first_word:long,n_words:long,lang:string>>", [pa.list_(span)])

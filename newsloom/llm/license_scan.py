@@ -81,24 +81,40 @@ def known_digests(spark: SparkSession, licenses: list[tuple[str, str]] | None =
     return flat.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def telling_words(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> list[str]:
+    """For each known text a word that any text of its canonical form holds as it is: its longest that is no equivalent spelling."""
+    rows = F.array(*(F.lit(text) for _, text in (licenses or KNOWN)))
+    texts = [r[0] for r in spark.range(1).select(F.explode(rows).alias("text")).select(canonical(F.col("text"))).collect()]  # the list given
+    spelled = {w for _, to in SPELLINGS for w in to.split()}
+    return sorted({max((w for w in t.split() if w not in spelled), key=lambda w: (len(w), w), default="") for t in texts if t})
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per row of ``docs``: id, whole_license, notices, n_notices.
 
     whole_license is the licence that the entire text is, null if none. notices are the distinct
     licences, sorted and comma-joined, whose known text an entire line or an entire paragraph
     (between blank lines) is; n_notices counts those lines and paragraphs. Null, empty and wordless
-    texts match nothing. Repeated rows each give a row; other columns are not read. The digest table
-    has a row per known text, so it is broadcast; only matches are shuffled, with the rows' numbers.
+    texts match nothing. Repeated rows each give a row, null ids too; other columns are not read. The
+    digest table has a row per known text, so it is broadcast. Texts and units that hold none of the
+    known texts' telling words can match none and are not normalised; only matches are shuffled, keyed
+    by id and the text's digest, which are the same whenever a lost task is run again.
     """
-    known = F.broadcast(known_digests(docs.sparkSession, licenses))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    parts = F.filter(F.concat(F.split("text", "\n"), F.when(F.col("text").rlike("\n[ \t]*\n"), F.split("text", "\n[ \t]*\n")).otherwise(F.array())), lambda x: F.length(x) > 0)
-    whole = rows.select("row", F.lit(True).alias("whole"), digest(F.col("text")).alias("digest"))
-    units = rows.select("row", F.lit(False).alias("whole"), F.explode(parts).alias("unit")).select("row", "whole", digest(F.col("unit")).alias("digest"))
-    hits = whole.unionByName(units).join(known, "digest")
-    of = hits.groupBy("row").agg(
-        F.max(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notices"),
-        F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("n_notices"),
+    spark = docs.sparkSession
+    known = F.broadcast(known_digests(spark, licenses))
+    told = telling_words(spark, licenses)
+    told_in = lambda c: F.exists(F.array(*(F.lit(w) for w in told)), lambda w: F.contains(F.lower(c), w)) if len(told) > 32 else F.lower(c).rlike("|".join(told))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = rows.where(told_in(F.col("text"))).withColumn("key", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
+    parts = F.concat(F.split("text", "\n"), F.when(F.col("text").rlike("\n[ \t]*\n"), F.split("text", "\n[ \t]*\n")).otherwise(F.array()))
+    whole = some.select("id", "key", F.lit(-1).alias("at"), digest(F.col("text")).alias("digest"))
+    units = some.select("id", "key", F.posexplode(parts).alias("at", "unit")).where(told_in(F.col("unit"))).select("id", "key", "at", digest(F.col("unit")).alias("digest"))
+    hits = whole.unionByName(units).join(known, "digest").select("id", "key", "at", "license").distinct()  # repeated rows give one hit each
+    of = hits.groupBy("id", "key").agg(
+        F.max(F.when(F.col("at") < 0, F.col("license"))).alias("whole_license"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("at") >= 0, F.col("license")))), ",").alias("notices"),
+        F.sum(F.when(F.col("at") < 0, 0).otherwise(1)).alias("n_notices"),
     )
-    return rows.select("id", "row").join(of, "row", "left").select(F.col("id").alias(id_col), "whole_license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    keyed = rows.select("id", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("key")).alias("r")
+    out = keyed.join(of.alias("o"), F.col("r.id").eqNullSafe(F.col("o.id")) & (F.col("r.key") == F.col("o.key")), "left")
+    return out.select(F.col("r.id").alias(id_col), "whole_license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

@@ -34,12 +34,12 @@ GRAM = 48
 _CHUNK = 1 << 20  # windows of a text handled at a time, which bounds memory for very long texts
 
 
-def _constants() -> tuple[np.ndarray, np.uint64]:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0xD6E8FEB86659FD93)
+def _bytes_table(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_BYTE, _STEP = _constants()
+_BYTE, _SECOND = _bytes_table(20240229), _bytes_table(20260817)  # of two independent hashes
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _UNSTEP = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
@@ -51,7 +51,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Prefix:
     """Hashes of any substrings of one byte string, from prefix sums."""
 
-    def __init__(self, b: np.ndarray):
+    def __init__(self, b: np.ndarray, table: np.ndarray = _BYTE):
         self.n = len(b)
         power = np.full(self.n + 1, _STEP, dtype=np.uint64)
         power[0] = 1
@@ -60,7 +60,7 @@ class Prefix:
         self.back[0] = 1
         np.cumprod(self.back, out=self.back)
         self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[b] * power[: self.n], out=self.sums[1:])
+        np.cumsum(table[b] * power[: self.n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -94,7 +94,7 @@ def spans(b: np.ndarray, length: int) -> dict[str, np.ndarray]:
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         n = np.diff(np.concatenate([start, [len(at)]]))
         anchor = at[start]
-        kind = p.of(start, start + n - 1 + length) ^ _mix((anchor - start).astype(np.uint64) * _STEP)
+        kind = Prefix(part, _SECOND).of(start, start + n - 1 + length) ^ _mix((anchor - start).astype(np.uint64) * _STEP)
         out.append((h[anchor].view(np.int64), kind.view(np.int64), start + first, n))
     cols = [np.concatenate(c) if out else np.zeros(0, dtype=np.int64) for c in (zip(*out, strict=True) if out else [[]] * 4)]
     return dict(zip(("gram", "kind", "start", "n"), cols, strict=True))
@@ -172,24 +172,25 @@ def intervals(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = _sorted_batch(b)
-            names, starts, ids = [], [], []
+            names, kinds, starts, ids = [], [], [], []
             for r in b.itertuples():
                 raw = _bytes(r.text)
                 for s in r.open:
-                    p = Prefix(raw[s["start"] : s["start"] + s["n"] - 1 + length])
-                    names.append(p.each(length).view(np.int64))
+                    part = raw[s["start"] : s["start"] + s["n"] - 1 + length]
+                    names.append(Prefix(part).each(length).view(np.int64))
+                    kinds.append(Prefix(part, _SECOND).each(length).view(np.int64))
                     starts.append(np.arange(s["start"], s["start"] + s["n"]))
                     ids.append(np.full(s["n"], r.id))
             if names:
                 name = np.concatenate(names)
-                # a second name, so that equal means equal at any size
-                cols = {"gram": name, "kind": name, "start": np.concatenate(starts), "n": np.ones(len(name), dtype=np.int64)}
+                # two names of independent hashes, so that equal means equal at any size
+                cols = {"gram": name, "kind": np.concatenate(kinds), "start": np.concatenate(starts), "n": np.ones(len(name), dtype=np.int64)}
                 ids = np.concatenate(ids)
                 order = np.lexsort((cols["start"], ids))
-                yield _rows(ids[order], {k: v[order] for k, v in cols.items()}, length).drop(columns=["kind"])
+                yield _rows(ids[order], {k: v[order] for k, v in cols.items()}, length)
 
-    fine = docs.join(open_, "id").select("id", "text", "open").mapInPandas(windows, "gram long, id long, start long, n long, gone boolean")
-    again = fine.withColumn("before", F.lag("gram").over(W.partitionBy("gram").orderBy("id", "start"))).where("gone OR before IS NOT NULL")
+    fine = docs.join(open_, "id").select("id", "text", "open").mapInPandas(windows, _NAMED)
+    again = fine.withColumn("before", F.lag("gram").over(W.partitionBy("gram", "kind").orderBy("id", "start"))).where("gone OR before IS NOT NULL")
     late = again.select("id", "start", F.when(F.col("gone"), F.col("start") + F.col("n")).otherwise(F.col("start") + length).alias("end"))
     return first.unionByName(whole).unionByName(late)
 
@@ -243,14 +244,19 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
-    """(id, text): the texts without the bytes that ``report`` removes.
+    """All rows and columns of ``docs``, the texts without the bytes that ``report`` removes.
 
-    A cut may split a character; its remaining bytes are replaced by U+FFFD, as a string can't hold them.
+    As there, rows repeated under one id are one document, the first text by order: a row with that
+    text loses what the document loses, and a row with another text keeps all. Null ids and null texts
+    stay as they are. A cut may split a character; its remaining bytes are replaced by U+FFFD, as a
+    string can't hold them. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    one = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(text_col).alias("text"))
+    ranges = _with_ranges(one, length).where("size(ranges) > 0").select(F.col("id").alias("_cut_id"), F.xxhash64("text").alias("_cut_text"), F.col("ranges").alias("_cut"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text": [None if t is None else _cut(t, r)[0].decode("utf-8", "replace") for t, r in zip(b["text"], b["ranges"], strict=True)]})
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or c is None else _cut(t, c)[0].decode("utf-8", "replace") for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
-    return _with_ranges(docs, length).mapInPandas(run, "id long, text string").withColumnRenamed("id", id_col)
+    held = docs.join(ranges, (F.col(id_col).cast("long") == F.col("_cut_id")) & (F.xxhash64(text_col) == F.col("_cut_text")), "left")
+    return held.withColumn(text_col, F.when(F.col("_cut_id").isNull(), F.col(text_col)).otherwise(cut(text_col, F.col("_cut")))).select(docs.columns)
