@@ -69,9 +69,18 @@ def tokens(text: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+_FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000"
+_HALF_WIDTH = "".join(chr(0x21 + i) for i in range(94)) + " "
+
+
+def half_width(text: Column) -> Column:
+    """Full-width letters, digits, signs and spaces in ASCII: what NFKC does to titles, in the JVM. ``python.nfkc`` does the rest of it."""
+    return F.translate(text, _FULL_WIDTH, _HALF_WIDTH)
+
+
 def normalized_title(title: Column, min_length: int = 10) -> Column:
-    """Token runs joined by spaces; empty if they have fewer than ``min_length`` characters. NFKC is up to the caller."""
-    t = F.array_join(tokens(F.coalesce(title, F.lit(""))), " ")
+    """Token runs joined by spaces; empty if they have fewer than ``min_length`` characters. Full-width forms count as ASCII."""
+    t = F.array_join(tokens(half_width(F.coalesce(title, F.lit("")))), " ")
     return F.when(F.length(F.replace(t, F.lit(" "), F.lit(""))) < min_length, F.lit("")).otherwise(t)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
@@ -21,17 +20,16 @@ def ratio(part: Column, whole: Column) -> Column:
 def dominance(stats: DataFrame, source: str) -> DataFrame:
     """Shares, ratios and reasons per source from candidate_count, document_count, title_heat, engaged, noise."""
     n, d = F.col("candidate_count"), F.col("document_count")
-    one = W.partitionBy()  # a row per source
-    top = F.max(F.struct(n, -F.col("_pos"))).over(one)
-    df = stats.withColumn("_pos", F.dense_rank().over(W.orderBy(source)))
-    df = df.withColumns({"_total": F.sum(n).over(one), "_most": F.max(d).over(one), "_top": -top["col2"]})
+    # one row of totals; the top source is that of most candidates, the first by its id among equals
+    totals = stats.agg(F.sum(n).alias("_total"), F.max(d).alias("_most"), F.min_by(F.col(source), F.struct(-n, F.col(source))).alias("_top"))
+    df = stats.crossJoin(F.broadcast(totals))
     df = df.withColumn("candidate_share", ratio(n, F.col("_total")))
     why = fn.reasons(
-        ((F.col("_pos") == F.col("_top")) & (F.col("candidate_share") >= 0.5), "volume_advantage"), ((d > 0) & (d == F.col("_most")), "fetch_advantage"), (F.col("title_heat") > 0, "language_advantage"),
+        ((F.col(source) == F.col("_top")) & (F.col("candidate_share") >= 0.5), "volume_advantage"), ((d > 0) & (d == F.col("_most")), "fetch_advantage"), (F.col("title_heat") > 0, "language_advantage"),
         (F.col("engaged") > 0, "real_engagement_advantage"), ((F.col("engaged") <= 0) & (F.col("title_heat") > 0), "false_heat_advantage"), (F.col("noise") > 0, "noise_advantage"),
     )
-    out = df.withColumns({"document_coverage": ratio(d, n), "noise_ratio": ratio(F.col("noise"), n), "dominant": F.col("_pos") == F.col("_top"), "reasons": why})
-    return out.drop("_pos", "_total", "_most", "_top")
+    out = df.withColumns({"document_coverage": ratio(d, n), "noise_ratio": ratio(F.col("noise"), n), "dominant": F.col(source) == F.col("_top"), "reasons": why})
+    return out.drop("_total", "_most", "_top")
 
 
 def health(sources: DataFrame, source: str) -> DataFrame:

@@ -12,13 +12,15 @@ from newsloom import functions as fn
 def cluster_keys(df: DataFrame, title: Column, url: Column, kind: Column) -> DataFrame:
     """Adds cluster_key and merge_reason: shared URL, else type and title, else URL, else a digest."""
     df = df.withColumns({"_url": fn.canonical_url(url), "_title": fn.normalized_title(title), "_kind": F.coalesce(kind, F.lit("news"))})
-    shared = (F.count(F.lit(1)).over(W.partitionBy("_url")) > 1) & (F.col("_url") != "")
+    several = df.where("_url <> ''").groupBy("_url").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_url", F.lit(True).alias("_shared"))
+    df = df.join(several, "_url", "left")  # a URL of very many rows is counted before it is shuffled, and the join splits it
+    shared = F.coalesce("_shared", F.lit(False))
     digest = fn.short_hash(F.regexp_replace(F.trim(F.lower(F.coalesce(title, F.lit("")))), r"\s+", " "))
     row = lambda k, why: F.struct(k.alias("k"), F.lit(why).alias("w"))
     by_url = row(F.concat(F.lit("url:"), F.col("_url")), "canonical_url")
     key = F.when(shared, by_url).when(F.col("_title") != "", row(F.concat_ws(":", F.lit("title"), F.col("_kind"), F.col("_title")), "normalized_title")).when(F.col("_url") != "", by_url).otherwise(row(F.concat_ws(":", F.lit("fallback"), F.col("_kind"), digest), "fallback_hash"))
     df = df.withColumn("_key", key)
-    return df.withColumns({"cluster_key": F.col("_key.k"), "merge_reason": F.col("_key.w")}).drop("_url", "_title", "_kind", "_key")
+    return df.withColumns({"cluster_key": F.col("_key.k"), "merge_reason": F.col("_key.w")}).drop("_url", "_title", "_kind", "_key", "_shared")
 
 
 def story_clusters(df: DataFrame, ordinal: str) -> DataFrame:

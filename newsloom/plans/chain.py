@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
-from newsloom.operators import event_store, events, packs, reports
+from newsloom.operators import event_store, events, packs, probes, reports
 from newsloom.plans.news_sql import _CLAIM_STOP, _HTML_TITLE, _STOP, _canon, _words
 
 
@@ -169,11 +169,84 @@ def fallback_warnings(spark, d):
     return reports.fallback_warnings(reports.shadow_task_stats(r), 0.4)
 
 
+def _probe_candidates(spark, d):
+    """Conversations as candidates of a discussion."""
+    c = _t(spark, d, "conversations").where("turn = 0")
+    n = F.col("conv_id")
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (n % len(xs) + 1).cast("int"))
+    return c.select(
+        n.alias("ordinal"), F.concat(F.lit("Topic  "), (n % 90).cast("string"), pick(" | IGN news", " - report", "")).alias("title"), F.lit("").alias("snippet"), F.lit("").alias("query"),
+        F.when(n % 6 > 0, F.concat(F.lit("https://example.com/"), (n % 120).cast("string"))).alias("url"), pick("ign", "bilibili", "other").alias("source_id"), F.lit(None).cast("string").alias("language"),
+        pick("news", "guide", "general_tech", "manual_review").alias("candidate_type"), pick("main", "supplemental").alias("candidate_lane"), (n % 40).cast("double").alias("discussion_score"), F.lit("weak").alias("discussion_level"),
+        F.struct((n % 40).cast("double").alias("score"), F.lit("weak").alias("level"), F.lit(False).alias("has_discussion_evidence")).alias("discussion_profile"),
+    )
+
+
+def discussion_probe_requests(spark, d):
+    return probes.probe_requests(_probe_candidates(spark, d), "ordinal", 25)
+
+
+def discussion_probes_applied(spark, d):
+    p = _t(spark, d, "pages").where("page_id % 2 = 1")
+    score = (F.col("page_id") % 80).cast("double")
+    profile = F.struct(score.alias("score"), F.when(score >= 70, "trending").when(score >= 35, "discussed").otherwise("weak").alias("level"), (F.col("page_id") % 5 == 0).alias("has_discussion_evidence"))
+    results = p.select(F.concat(F.lit("https://example.com/"), (F.col("page_id") % 120).cast("string")).alias("candidate_url"), F.col("page_id").alias("probe_no"), profile.alias("discussion_profile"))
+    return probes.apply_probes(_probe_candidates(spark, d), results).select("ordinal", "discussion_probe_status", "discussion_score", "discussion_level")
+
+
+def editorial_judgment_requests(spark, d):
+    return probes.judgment_requests(_probe_candidates(spark, d), "ordinal", 30).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _diagnosed(spark, d):
+    """Parts as sources with counts that follow from their number."""
+    n = F.col("p_partkey")
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (n % len(xs) + 1).cast("int"))
+    return _t(spark, d, "part").select(
+        n.cast("string").alias("source_id"), pick("media_rss", "official_rss", "web").alias("collector"), (n % 13).alias("candidate_count"), (n % 2).alias("raw_fetch_count"), (n % 4).alias("error_count"), F.lit(0).alias("health_errors"),
+        (n % 200).alias("link_count"), (n % 7).alias("missing_time_count"), (n % 6).alias("duplicate_url_count"), (n % 50).alias("irrelevant_rejects"), (n % 3).alias("missing_time_rejects"), (n % 5).alias("rejected_missing_time_count"),
+        (n % 9).alias("parse_warning_count"), pick("ok", "ok", "ok", "source_blocked").alias("health_status"), F.create_map(F.lit("irrelevant_topic"), n % 50, F.lit("missing_time"), n % 3).alias("reject_reasons"),
+    )
+
+
+def source_recovery_issues(spark, d):
+    return probes.recovery_issues(_diagnosed(spark, d)).groupBy("issue_type", "why").agg(F.count(F.lit(1)).alias("n"), F.min("source_id").alias("first"))
+
+
+def source_navigation_requests(spark, d):
+    return probes.navigation_requests(_diagnosed(spark, d), 20).select("source_id", "need_score", "rank")
+
+
+def social_heat_relevance_summary(spark, d):
+    e = _t(spark, d, "events")
+    checks = e.select(
+        F.when(F.col("value") > 10, "off_topic").when(F.col("value") > 5, "relevant").alias("deterministic_status"), F.when(F.col("event_id") % 3 == 0, "within").otherwise("outside").alias("time_hint_status"),
+        F.col("event_type").alias("result_type"), (F.col("value") < 1).alias("requires_semantic_review"),
+    )
+    return probes.relevance_summary(checks)
+
+
+def semantic_relevance_requests(spark, d):
+    checks = _t(spark, d, "events").withColumn("requires_semantic_review", F.col("value") < 1)
+    return probes.semantic_requests(checks, "event_id", 15).select("request_id", "event_id")
+
+
+def html_document_times(spark, d):
+    """The time of a page from its meta elements; pages here name it in one of the keys that are read, or in one that is not."""
+    from newsloom.functions.python import parse_page
+
+    key = F.element_at(F.array(*(F.lit(k) for k in ("article:published_time", "date", "pubdate", "other"))), (F.col("page_id") % 4 + 1).cast("int"))
+    page = F.concat(F.lit('<html><head><meta name="'), key, F.lit('" content="2024-01-0'), (F.col("page_id") % 9 + 1).cast("string"), F.lit('T00:00:00Z"><title>T '), F.col("page_id").cast("string"), F.lit("</title></head><body><p>x</p></body></html>"))
+    p = _t(spark, d, "pages").select("page_id", "url", page.alias("html")).withColumn("p", parse_page("url", "html"))
+    return p.select("page_id", F.col("p.title").alias("title"), F.coalesce("p.published", F.lit("")).alias("published"), F.col("p.content").alias("content"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         context_packs, claims_from_packs, claims_verified, evidence_with_filters, fact_inference_split, story_event_types, story_events, event_news_links, news_game_links, game_event_timeline, source_theme_counts,
         collector_diagnostics, source_selection_diagnostics, source_health_warnings, fallback_warnings,
+        discussion_probe_requests, discussion_probes_applied, editorial_judgment_requests, source_recovery_issues, source_navigation_requests, social_heat_relevance_summary, semantic_relevance_requests, html_document_times,
     )
 }
 
@@ -252,8 +325,36 @@ SELECT source_id, 'RUN-006' AS issue_id, 'search_candidates' AS stage, 'warning'
 FALLBACK = """WITH r AS (SELECT event_type || '_' || (user_id % 20) AS task_type, value > 6 AS bad FROM events), s AS (SELECT task_type, count(*) AS total, count(*) FILTER (bad) AS problem_count FROM r GROUP BY 1)
 SELECT task_type, total, problem_count, round(problem_count / total, 3) AS problem_rate, 'warning' AS severity FROM s WHERE problem_count / total >= 0.4"""
 
+_PC = """pc AS (SELECT conv_id AS o, 'Topic  ' || (conv_id % 90) || [' | IGN news', ' - report', ''][conv_id % 3 + 1] AS title, CASE WHEN conv_id % 6 > 0 THEN 'https://example.com/' || (conv_id % 120) END AS url, ['ign', 'bilibili', 'other'][conv_id % 3 + 1] AS source_id,
+  ['news', 'guide', 'general_tech', 'manual_review'][conv_id % 4 + 1] AS kind, conv_id % 2 AS lane, (conv_id % 40)::DOUBLE AS score FROM conversations WHERE turn = 0)"""
+PROBE_REQUESTS = f"""WITH {_PC}, k AS (SELECT *, coalesce(url, trim(title)) AS key FROM pc QUALIFY row_number() OVER (PARTITION BY key ORDER BY o) = 1)
+SELECT row_number() OVER (ORDER BY o) AS request_no, url AS candidate_url, trim(regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '\\s*[|_-]\\s*(IGN|GameSpot|PC Gamer).*$', '', 'i')) AS query,
+ CASE source_id WHEN 'ign' THEN 'en_global' WHEN 'bilibili' THEN 'zh_cn' ELSE 'global' END AS heat_region FROM k QUALIFY request_no <= 25"""
+PROBES_APPLIED = f"""WITH {_PC}, r AS (SELECT 'https://example.com/' || (page_id % 120) AS u, arg_max(page_id, page_id) AS p FROM pages WHERE page_id % 2 = 1 GROUP BY 1),
+j AS (SELECT o, score, p, (p % 80)::DOUBLE AS s FROM pc LEFT JOIN r ON url = u), b AS (SELECT *, p IS NOT NULL AND (p % 5 = 0 OR s >= 35) AND s > score AS better FROM j)
+SELECT o AS ordinal, CASE WHEN p IS NULL THEN NULL WHEN better THEN 'promoted' ELSE 'kept_existing' END AS discussion_probe_status, CASE WHEN better THEN s ELSE score END AS discussion_score,
+ CASE WHEN better THEN CASE WHEN s >= 70 THEN 'trending' WHEN s >= 35 THEN 'discussed' ELSE 'weak' END ELSE 'weak' END AS discussion_level FROM b"""
+JUDGMENT = f"""WITH {_PC}, r AS (SELECT o, url, title, array_to_string(list_filter([CASE WHEN kind IN ('general_tech', 'manual_review') THEN 'ambiguous_candidate_type:' || kind END, CASE WHEN lane = 1 THEN 'supplemental_lane' END,
+  CASE WHEN score >= 25 AND kind <> 'news' THEN 'social_heat_needs_game_relevance_check' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pc),
+n AS (SELECT *, row_number() OVER (ORDER BY o) AS request_no FROM r WHERE reasons <> '' QUALIFY request_no <= 30)
+SELECT 'editorial_judgment_' || substr(sha1(coalesce(url, '') || '|' || title || '|' || request_no), 1, 10) AS request_id, o AS ordinal, request_no, reasons FROM n"""
+_DG = """dg AS (SELECT p_partkey AS n, p_partkey % 13 AS c, p_partkey % 2 AS raw, p_partkey % 4 AS e, p_partkey % 200 AS l, p_partkey % 7 AS mt, p_partkey % 6 AS du, p_partkey % 50 AS ir, p_partkey % 3 AS mr, p_partkey % 5 AS rm, p_partkey % 9 AS pw,
+  [5, 3, 8][p_partkey % 3 + 1] AS least FROM part)"""
+RECOVERY = f"""WITH {_DG}, i AS (SELECT n, 'entry_broken' AS issue_type, 'errors_without_candidates' AS why FROM dg WHERE e >= 2 AND c = 0 UNION ALL SELECT n, 'network_persistent', 'source_blocked' FROM dg WHERE n % 4 = 3
+ UNION ALL SELECT n, 'low_count', 'below_expected' FROM dg WHERE c > 0 AND c < least UNION ALL SELECT n, 'low_count', 'no_candidates' FROM dg WHERE c = 0 AND e < 2 AND raw > 0
+ UNION ALL SELECT n, 'structure_change', 'few_links_accepted' FROM dg WHERE l > 0 AND c > 0 AND c / l < 0.1 UNION ALL SELECT n, 'structure_change', 'irrelevant_rejects' FROM dg WHERE ir >= greatest(3 * c, 10)
+ UNION ALL SELECT n, 'missing_timestamps', 'missing_time_ratio' FROM dg WHERE mt / greatest(c + mr, 1) >= 0.3 UNION ALL SELECT n, 'structure_change', 'duplicate_urls' FROM dg WHERE c > 0 AND du / c >= 0.5)
+SELECT issue_type, why, count(*) AS n, min(n::VARCHAR) AS first FROM i GROUP BY 1, 2"""
+NAVIGATION = f"""WITH {_DG}, s AS (SELECT n::VARCHAR AS source_id, round(CASE WHEN c = 0 THEN 80.0 WHEN c < 5 THEN 30.0 WHEN c < 10 THEN 10.0 ELSE 0.0 END + e * 20.0 + pw * 8.0 + mt * 4.0 + rm * 4.0 + du + mr * 3.0 + ir * 5.0, 2)::DOUBLE AS need_score FROM dg)
+SELECT source_id, need_score, row_number() OVER (ORDER BY need_score DESC, source_id) AS rank FROM s WHERE need_score > 0 QUALIFY rank <= 20"""
+RELEVANCE = """WITH c AS (SELECT CASE WHEN value > 10 THEN 'off_topic' WHEN value > 5 THEN 'relevant' ELSE 'unknown' END AS s, CASE WHEN event_id % 3 = 0 THEN 'within' ELSE 'outside' END AS t, event_type AS r, (value < 1)::VARCHAR AS q FROM events),
+r AS (SELECT 'status' AS kind, s AS value FROM c UNION ALL SELECT 'time_hint', t FROM c UNION ALL SELECT 'result_type', r FROM c UNION ALL SELECT 'semantic_review', q FROM c) SELECT kind, value, count(*) AS n FROM r GROUP BY 1, 2"""
+SEMANTIC = "SELECT 'semantic_relevance_' || row_number() OVER (ORDER BY event_id) AS request_id, event_id FROM events WHERE value < 1 ORDER BY event_id LIMIT 15"
+PAGE_TIMES = "SELECT page_id, 'T ' || page_id AS title, CASE WHEN page_id % 4 < 3 THEN '2024-01-0' || (page_id % 9 + 1) || 'T00:00:00Z' ELSE '' END AS published, 'x' AS content FROM pages"
+
 ORACLE_SQL = {
     "context_packs": CONTEXT_PACKS, "claims_from_packs": CLAIMS, "claims_verified": VERIFIED, "evidence_with_filters": FILTERED, "fact_inference_split": FACTS, "story_event_types": TYPES, "story_events": EVENTS,
     "event_news_links": LINKS, "news_game_links": GAME_LINKS, "game_event_timeline": EVENT_NEWS, "source_theme_counts": THEMES, "collector_diagnostics": COLLECTORS, "source_selection_diagnostics": SELECTION,
-    "source_health_warnings": WARNINGS, "fallback_warnings": FALLBACK,
+    "source_health_warnings": WARNINGS, "fallback_warnings": FALLBACK, "discussion_probe_requests": PROBE_REQUESTS, "discussion_probes_applied": PROBES_APPLIED, "editorial_judgment_requests": JUDGMENT,
+    "source_recovery_issues": RECOVERY, "source_navigation_requests": NAVIGATION, "social_heat_relevance_summary": RELEVANCE, "semantic_relevance_requests": SEMANTIC, "html_document_times": PAGE_TIMES,
 }
