@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
-from newsloom.operators import event_store, events, packs, probes, reports
+from newsloom.operators import event_store, events, newsroom, packs, probes, reports
 from newsloom.plans.news_sql import _CLAIM_STOP, _HTML_TITLE, _STOP, _canon, _words
 
 
@@ -241,12 +241,86 @@ def html_document_times(spark, d):
     return p.select("page_id", F.col("p.title").alias("title"), F.coalesce("p.published", F.lit("")).alias("published"), F.col("p.content").alias("content"))
 
 
+def _told_stories(spark, d):
+    """Customers as stories: their names and segments, sources among the pages."""
+    n = F.col("c_custkey")
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (n % len(xs) + 1).cast("int"))
+    return _t(spark, d, "customer").select(
+        n.alias("story_id"), F.concat("c_name", pick(" on xbox", " zelda patch", " steam and sony", "")).alias("title"), pick("", "nintendo released", "", "", "switch").alias("summary"), pick("", "pc", "nowhere").alias("theme_section"),
+        pick("ready", "rejected", "ready", "draft").alias("status"), pick("verified", "rumor", "likely", "unheard", "credible_rumor").alias("internal_status"), (n % 100).cast("double").alias("story_score"),
+        F.array(F.concat(F.lit("u"), (n % 70).cast("string")), F.concat(F.lit("u"), (n % 11).cast("string"))).alias("source_urls"),
+    )
+
+
+def story_sections(spark, d):
+    s = _told_stories(spark, d)
+    section = newsroom.story_section(F.col("title"), F.concat_ws(" ", "title", "summary"), F.col("theme_section"))
+    return s.groupBy(section.alias("section")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def candidate_theme_sections(spark, d):
+    s = _told_stories(spark, d)
+    entry = F.when(F.col("story_id") % 4 == 0, F.array(F.lit("sony"), F.lit("mars"), F.lit("pc"))).otherwise(F.array().cast("array<string>"))
+    found = newsroom.theme_sections(F.col("theme_section"), entry, F.when(F.col("story_id") % 7 == 0, "pc"), F.when(F.col("story_id") % 2 == 0, "nintendo"), F.lit("supplemental"))
+    return s.groupBy(F.array_join(found, ",").alias("sections")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _assets(spark, d):
+    p = _t(spark, d, "pages")
+    return p.select(F.concat(F.lit("u"), (F.col("page_id") % 90).cast("string")).alias("source_url"), F.concat(F.lit("img"), (F.col("page_id") % 130).cast("string")).alias("url"), F.when(F.col("page_id") % 3 == 0, "available").otherwise("pending").alias("status"), F.col("page_id").alias("asset_no"))
+
+
+def story_assets(spark, d):
+    return newsroom.story_assets(_told_stories(spark, d), _assets(spark, d)).drop("asset_no")
+
+
+def platform_posts(spark, d):
+    p = newsroom.platform_posts(_told_stories(spark, d), _assets(spark, d))
+    return p.select("story_id", "title", "publish_status", "public_label_text", "asset_status")
+
+
+def historical_context(spark, d):
+    """Orders as past items of a few games; stories of a hundred customers."""
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("o_orderkey") % len(xs) + 1).cast("int"))
+    past = _t(spark, d, "orders").select(F.col("o_orderkey").alias("past_id"), pick("zelda delayed", "a halo patch", "steam sale", "nothing", "sony award").alias("title"), F.col("o_orderdate").cast("timestamp").alias("published_at"))
+    return newsroom.historical_context(_told_stories(spark, d), past, 1998, 3)
+
+
+def parsed_judgments(spark, d):
+    n = F.col("event_id")
+    good = F.concat(F.lit('{"game_relevance": "'), F.when(n % 3 == 0, "core_game_news").otherwise("strange"), F.lit('", "publishability": "publishable", "heat_validity": "game_discussion", "confidence": '), F.round("value", 2).cast("string"), F.lit("}"))
+    raw = F.when(n % 5 == 0, F.lit("no json")).when(n % 5 == 1, F.concat(F.lit("```json\n"), F.replace(good, F.lit("}"), F.lit(",}")), F.lit("\n```"))).when(n % 5 == 2, F.lit('{"reason": "x", "publishability": "publishable"}')).otherwise(good)
+    j = newsroom.parsed_judgments(_t(spark, d, "events").select("event_id", raw.alias("raw_response")))
+    return j.select("event_id", "parse_status", "game_relevance", "publishability", "heat_validity", F.round("confidence", 4).alias("confidence"))
+
+
+def story_reviews(spark, d):
+    r = _t(spark, d, "events").select(F.col("event_id").alias("review_id"), F.col("user_id").alias("story_id"), F.col("event_type").alias("decision"), F.col("ts").alias("created_at"))
+    return newsroom.latest_decisions(r)
+
+
+def artifacts_by_stage(spark, d):
+    a = _t(spark, d, "part").select(F.concat(F.lit("file"), (F.col("p_partkey") % 9).cast("string")).alias("file_name"))
+    out = newsroom.artifacts_by_stage(a, {"collect": ["file1", "file2", "file77"], "verify": ["file3"], "render": ["file99"]})
+    return out.withColumn("missing", F.array_join("missing", ","))
+
+
+def notification_issues(spark, d):
+    n = F.col("event_id")
+    rows = _t(spark, d, "events").select(
+        F.when(n % 4 > 0, F.concat(F.lit("notif_"), F.substring(F.sha1(n.cast("string").cast("binary")), 1, 12))).otherwise(F.lit("nid")).alias("notification_id"), F.when(n % 5 > 0, "RUN-006").otherwise("run6").alias("issue_id"),
+        F.when(n % 7 > 0, "collect").otherwise(" ").alias("stage"), F.when(n % 3 > 0, "warning").otherwise("odd").alias("severity"), F.when(n % 11 > 0, "open").alias("status"), F.col("event_type").alias("title"), F.lit("m").alias("message"),
+    )
+    return newsroom.notification_issues(rows).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         context_packs, claims_from_packs, claims_verified, evidence_with_filters, fact_inference_split, story_event_types, story_events, event_news_links, news_game_links, game_event_timeline, source_theme_counts,
         collector_diagnostics, source_selection_diagnostics, source_health_warnings, fallback_warnings,
         discussion_probe_requests, discussion_probes_applied, editorial_judgment_requests, source_recovery_issues, source_navigation_requests, social_heat_relevance_summary, semantic_relevance_requests, html_document_times,
+        story_sections, candidate_theme_sections, story_assets, platform_posts, historical_context, parsed_judgments, story_reviews, artifacts_by_stage, notification_issues,
     )
 }
 
@@ -352,9 +426,38 @@ r AS (SELECT 'status' AS kind, s AS value FROM c UNION ALL SELECT 'time_hint', t
 SEMANTIC = "SELECT 'semantic_relevance_' || row_number() OVER (ORDER BY event_id) AS request_id, event_id FROM events WHERE value < 1 ORDER BY event_id LIMIT 15"
 PAGE_TIMES = "SELECT page_id, 'T ' || page_id AS title, CASE WHEN page_id % 4 < 3 THEN '2024-01-0' || (page_id % 9 + 1) || 'T00:00:00Z' ELSE '' END AS published, 'x' AS content FROM pages"
 
+_TS = """ts AS (SELECT c_custkey AS id, c_name || [' on xbox', ' zelda patch', ' steam and sony', ''][c_custkey % 4 + 1] AS title, ['', 'nintendo released', '', '', 'switch'][c_custkey % 5 + 1] AS summary, ['', 'pc', 'nowhere'][c_custkey % 3 + 1] AS given,
+  ['ready', 'rejected', 'ready', 'draft'][c_custkey % 4 + 1] AS status, ['verified', 'rumor', 'likely', 'unheard', 'credible_rumor'][c_custkey % 5 + 1] AS internal FROM customer)"""
+STORY_SECTIONS = f"""WITH {_TS}, x AS (SELECT given, id % 4 AS k, id % 5 IN (1, 4) AS nin FROM ts)
+SELECT CASE WHEN given = 'pc' THEN 'pc' WHEN k = 0 THEN 'microsoft' WHEN k = 1 THEN 'nintendo' WHEN k = 2 THEN 'sony' WHEN nin THEN 'nintendo' ELSE 'supplemental' END AS section, count(*) AS n FROM x GROUP BY 1"""
+THEME_SECTIONS = f"""WITH {_TS}, x AS (SELECT given, list_distinct([]::VARCHAR[]) AS e, CASE WHEN id % 4 = 0 THEN 'sony,pc' WHEN id % 7 = 0 AND id % 2 = 0 THEN 'pc,nintendo' WHEN id % 7 = 0 THEN 'pc' WHEN id % 2 = 0 THEN 'nintendo' ELSE 'supplemental' END AS f, id FROM ts)
+SELECT CASE WHEN given = 'pc' THEN 'pc' WHEN id % 4 = 0 THEN 'sony,pc,nintendo' ELSE f END AS sections, count(*) AS n FROM x GROUP BY 1"""
+_AS = """a AS (SELECT 'u' || (page_id % 90) AS source_url, 'img' || (page_id % 130) AS url, CASE WHEN page_id % 3 = 0 THEN 'available' ELSE 'pending' END AS status, page_id AS no FROM pages),
+su AS (SELECT DISTINCT c_custkey AS story_id, unnest(['u' || (c_custkey % 70), 'u' || (c_custkey % 11)]) AS source_url FROM customer),
+sa AS (SELECT story_id, source_url, url, arg_min(status, no) AS status FROM su JOIN a USING (source_url) GROUP BY 1, 2, 3)"""
+STORY_ASSETS = f"WITH {_AS} SELECT * FROM sa"
+POSTS = f"""WITH {_TS}, {_AS} SELECT id AS story_id, title, CASE WHEN internal IN ('rumor', 'credible_rumor', 'unheard') THEN 'needs_review' ELSE status END AS publish_status,
+ CASE internal WHEN 'verified' THEN '[已核实]' WHEN 'likely' THEN '[证据支持]' WHEN 'credible_rumor' THEN '[流言][可信爆料]' WHEN 'rumor' THEN '[流言][未验证]' ELSE '[待核查]' END AS public_label_text,
+ CASE WHEN id IN (SELECT story_id FROM sa WHERE status = 'available') THEN 'available' ELSE 'manual_fill_required' END AS asset_status FROM ts WHERE status <> 'rejected'"""
+HISTORY = f"""WITH {_TS}, p AS (SELECT o_orderkey AS past_id, o_orderdate AS day, [['zelda', 'delay'], ['halo', 'update'], ['steam'], []::VARCHAR[], ['sony', 'award']][o_orderkey % 5 + 1] AS k FROM orders WHERE year(o_orderdate) >= 1995),
+w AS (SELECT id, list_filter([CASE WHEN id % 4 = 0 THEN 'xbox' END, CASE WHEN id % 4 = 1 THEN 'zelda' END, CASE WHEN id % 4 = 1 THEN 'update' END, CASE WHEN id % 4 = 2 THEN 'steam' END, CASE WHEN id % 4 = 2 THEN 'sony' END], lambda x: x IS NOT NULL) AS k FROM ts),
+q AS (SELECT DISTINCT id, past_id, day FROM (SELECT id, unnest(k) AS k FROM w) JOIN (SELECT past_id, day, unnest(k) AS k FROM p) USING (k))
+SELECT id AS story_id, past_id, row_number() OVER (PARTITION BY id ORDER BY day DESC, past_id) AS rank FROM q QUALIFY rank <= 8"""
+JUDGMENTS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'ok_repaired' WHEN 2 THEN 'fallback_inconsistent' ELSE 'ok' END AS parse_status,
+ CASE WHEN event_id % 5 IN (1, 3, 4) AND event_id % 3 = 0 THEN 'core_game_news' ELSE 'unknown' END AS game_relevance, CASE WHEN event_id % 5 IN (1, 3, 4) THEN 'publishable' ELSE 'needs_human_review' END AS publishability,
+ CASE WHEN event_id % 5 IN (1, 3, 4) THEN 'game_discussion' ELSE 'unclear' END AS heat_validity, CASE WHEN event_id % 5 IN (1, 3, 4) THEN round(least(greatest(round(value, 2), 0.0), 1.0), 4) ELSE 0.0 END AS confidence FROM events"""
+REVIEWS = "SELECT user_id AS story_id, arg_max(event_type, (ts, event_id)) AS decision, count(*) AS n_reviews FROM events GROUP BY 1"
+STAGES = """WITH s AS (SELECT * FROM (VALUES ('collect', 'file1'), ('collect', 'file2'), ('collect', 'file77'), ('verify', 'file3'), ('render', 'file99')) v(stage, f)), a AS (SELECT DISTINCT 'file' || (p_partkey % 9) AS f FROM part)
+SELECT stage, count(*)::INT AS expected, count(a.f) AS present, coalesce(string_agg(s.f, ',' ORDER BY s.f) FILTER (a.f IS NULL), '') AS missing FROM s LEFT JOIN a USING (f) GROUP BY stage
+UNION ALL SELECT 'other', 0, count(*), '' FROM a WHERE f NOT IN (SELECT f FROM s) HAVING count(*) > 0"""
+NOTES = """WITH x AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'malformed:notification_id' END AS issue FROM events UNION ALL SELECT CASE WHEN event_id % 5 = 0 THEN 'malformed:issue_id' END FROM events UNION ALL SELECT CASE WHEN event_id % 7 = 0 THEN 'blank:stage' END FROM events
+ UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN 'invalid:severity' END FROM events UNION ALL SELECT CASE WHEN event_id % 11 = 0 THEN 'missing:status' END FROM events) SELECT issue, count(*) AS n FROM x WHERE issue IS NOT NULL GROUP BY 1"""
+
 ORACLE_SQL = {
     "context_packs": CONTEXT_PACKS, "claims_from_packs": CLAIMS, "claims_verified": VERIFIED, "evidence_with_filters": FILTERED, "fact_inference_split": FACTS, "story_event_types": TYPES, "story_events": EVENTS,
     "event_news_links": LINKS, "news_game_links": GAME_LINKS, "game_event_timeline": EVENT_NEWS, "source_theme_counts": THEMES, "collector_diagnostics": COLLECTORS, "source_selection_diagnostics": SELECTION,
     "source_health_warnings": WARNINGS, "fallback_warnings": FALLBACK, "discussion_probe_requests": PROBE_REQUESTS, "discussion_probes_applied": PROBES_APPLIED, "editorial_judgment_requests": JUDGMENT,
-    "source_recovery_issues": RECOVERY, "source_navigation_requests": NAVIGATION, "social_heat_relevance_summary": RELEVANCE, "semantic_relevance_requests": SEMANTIC, "html_document_times": PAGE_TIMES,
+    "source_recovery_issues": RECOVERY, "source_navigation_requests": NAVIGATION, "social_heat_relevance_summary": RELEVANCE, "semantic_relevance_requests": SEMANTIC, "html_document_times": PAGE_TIMES, "story_sections": STORY_SECTIONS,
+    "candidate_theme_sections": THEME_SECTIONS, "story_assets": STORY_ASSETS, "platform_posts": POSTS, "historical_context": HISTORY, "parsed_judgments": JUDGMENTS, "story_reviews": REVIEWS, "artifacts_by_stage": STAGES,
+    "notification_issues": NOTES,
 }
