@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Scratch, components
+from newsloom.llm.common import Scratch, components, may_hold
 
 MAX_BITS = 4
 SPACES = bytes(range(9, 14)) + b" "
@@ -174,3 +174,117 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words, max_list)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")
+
+
+# Near copies by a similarity of shingle sets. At a Jaccard index of 0.8 SimHashes of whole texts differ in
+# about ten of 64 bits, so no eight positional bytes can be equal with certainty. The wide fingerprint has
+# POSITIONS positions of eight bytes, each voted by a sample of one shingle, the least under the position's
+# own hash, so that it is equal with the probability of the Jaccard index; index, tally and verification are
+# as above.
+POSITIONS, LEAST_SHARED = 16, 5  # at 0.8 fewer than five of sixteen are shared once in four million pairs
+FEW = 16  # sets, or groups, of a list that are all compared with each other in the end
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """The positional values of a set of shingle digests; of an empty set the positions' numbers."""
+    out = np.arange(POSITIONS, dtype=np.uint64)
+    if len(h):
+        for p in range(POSITIONS):
+            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (p + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            out[p] = (x ^ (x >> np.uint64(29))).min()  # of a bijection of the digests, so it names the shingle
+    return out
+
+
+def _members(docs: DataFrame, words: int) -> DataFrame:
+    """(id, text_key, sid, n, values) of every row: its text's digest, its set's digest and size, the wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            sets = [np.unique(shingles(x.as_py(), words)) for x in b.column(2)]
+            sid = pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string())
+            values = pa.array([wide_fingerprint(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sid, pa.array([len(s) for s in sets], pa.int64()), values], names=["id", "text_key", "sid", "n", "values"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"id {kind}, text_key long, sid string, n long, values array<bigint>")
+
+
+def _hubs(held: DataFrame, fits) -> DataFrame:
+    """(p, q, x, y): each set with the hub, of those of its lists, that it shares most lists with, where labels and sizes allow a link."""
+    hub = held.groupBy("key").agg(F.min_by("sid", "at").alias("p"), F.min_by("label", "at").alias("x"), F.min_by("n", "at").alias("m"))
+    spokes = held.select("key", F.col("sid").alias("q"), F.col("label").alias("y"), "n").join(hub, "key").where(fits)
+    shared = spokes.groupBy("q", "p", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    return shared.groupBy("q").agg(F.max(F.struct("c", "p", "x", "y")).alias("b")).select(F.col("b.p").alias("p"), "q", F.col("b.x").alias("x"), F.col("b.y").alias("y"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: id and component_id, the smallest id reachable.
+
+    Texts link if the Jaccard index of their sets of ``words``-word shingles is ``similarity`` or more;
+    texts of fewer words are one shingle, and those without words have the empty set and link with each
+    other. Pairs share LEAST_SHARED positions, by tally, and are verified on their whole texts: each set
+    with one hub of its lists; then in lists of at most FEW sets all that are in different groups, in longer
+    lists one set of each group, with all others if the groups are at most FEW and with the hub if more. Repeated ids each keep their row; a null id stays
+    null; an empty table gives an empty result; other columns are not read.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    members = scratch.save(_members(docs, words), "members")
+    sets = members.groupBy("sid").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.min("values").alias("values"))
+    index = sets.select("sid", "n", F.posexplode("values").alias("at", "v")).select("sid", "n", F.xxhash64("at", "v").alias("key"))
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    lists = scratch.save(index.join(shared, "key"), "lists")
+    some = scratch.save(sets.join(lists.select("sid").distinct(), "sid"), "sets")
+    keys = some.select("text_key").distinct()
+    texts = scratch.save(may_hold(docs.select(F.xxhash64("text").alias("text_key"), "text"), "text_key", keys).join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+    fits = (F.col("x") != F.col("y")) & (F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for s, t in zip(b["s"], b["t"], strict=True):
+                one, two = np.unique(shingles(s, words)), np.unique(shingles(t, words))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(common >= similarity * (len(one) + len(two) - common) - 1e-9)
+            yield b.loc[np.array(keep, dtype=bool), ["x", "y"]]
+
+    def relabel(labels: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        side = lambda sid, k, v: some.select(F.col("sid").alias(sid), F.col("text_key").alias(k), F.col("values").alias(v))
+        tallied = pairs.join(side("p", "j", "a"), "p").join(side("q", "k", "b"), "q").where(F.size(F.filter(F.zip_with("a", "b", lambda a, b: a == b), lambda e: e)) >= LEAST_SHARED)
+        both = tallied.select("j", "k", "x", "y").join(texts.select(F.col("text_key").alias("j"), F.col("text").alias("s")), "j").join(texts.select(F.col("text_key").alias("k"), F.col("text").alias("t")), "k")
+        edges = both.select("x", "y", "s", "t").mapInPandas(verified, "x string, y string")
+        with Scratch(spark, "similar") as own:
+            roots = components(edges, own).withColumnRenamed("node", "label")
+            return scratch.save(labels.join(roots, "label", "left").select("sid", F.coalesce("root", "label").alias("label")), name)
+
+    labels = some.select("sid", F.col("sid").alias("label"))
+    labels = relabel(labels, _hubs(lists.join(labels, "sid").withColumn("at", F.xxhash64("sid", F.lit(0))), fits), "labels0")
+    held = lists.join(labels, "sid").withColumn("at", F.xxhash64("sid", F.lit(1)))
+    size = held.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "sets")
+    mixed = held.join(size, "key")
+    each = mixed.where(F.col("sets") > FEW).groupBy("key", "label").agg(F.min_by("sid", "at").alias("sid"), F.min_by("n", "at").alias("n"), F.min("at").alias("at"))
+    each = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("groups")), "key")
+    whole = mixed.where(F.col("sets") <= FEW).select("key", "label", "sid", "n", "at", F.lit(0).cast("long").alias("groups"))
+    rest = scratch.save(whole.unionByName(each.select("key", "label", "sid", "n", "at", "groups")), "rest")
+    short = rest.where(F.col("groups") <= FEW)
+    a, b = short.select("key", F.col("sid").alias("p"), F.col("label").alias("x"), F.col("n").alias("m")), short.select("key", F.col("sid").alias("q"), F.col("label").alias("y"), "n")
+    pairs = a.join(b, "key").where((F.col("p") < F.col("q")) & fits).select("p", "q", "x", "y").distinct()
+    labels = relabel(labels, pairs.unionByName(_hubs(rest.where(F.col("groups") > FEW), fits)), "labels")
+    rooted = members.join(labels, "sid", "left").select("id", F.coalesce("label", "sid").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    scratch.drop("lists", "sets", "texts", "rest", "labels0")
+    return rooted.join(lowest, "root").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents with the smallest id of each component of ``similar_documents``; all columns as they were.
+
+    A row with a null id has no place in the order and stays. Rows repeated under one id stay together.
+    """
+    found = similar_documents(docs, id_col, text_col, words, similarity)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti")
