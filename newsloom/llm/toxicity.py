@@ -115,7 +115,11 @@ class Model:
         words = [f" {w} ".encode() for w, c in told.items() for _ in range(c)]
         rng = np.random.default_rng(seed)
         words = [words[i] for i in rng.permutation(len(words))]
-        pieces = lambda of: [" ".join(x).encode() for _, t, _ in of for x in _pieces(_WORD.findall((t or "").lower()), 8)]
+
+        def pieces(of: list[tuple]) -> list[bytes]:
+            found = [" ".join(x).encode() for _, t, _ in of for x in _pieces(_WORD.findall((t or "").lower()), 8)]
+            return [found[i] for i in rng.permutation(len(found))]
+
         # without a fragment that tells, the toxic documents' own windows
         self.toxic = self._train([b"".join(words[i : i + 4]) for i in range(0, len(words), 4)] or pieces(pos))
         self.ordinary = self._train(pieces(neg))
