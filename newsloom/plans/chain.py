@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
-from newsloom.operators import event_store, events, newsroom, packs, probes, reports
+from newsloom.operators import event_store, events, newsroom, packs, probes, reports, requests
 from newsloom.plans.news_sql import _CLAIM_STOP, _HTML_TITLE, _STOP, _canon, _words
 
 
@@ -314,6 +314,37 @@ def notification_issues(spark, d):
     return newsroom.notification_issues(rows).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def search_event_context(spark, d):
+    """Two rows of one context each: of all orders as candidates, and of those without an event's name."""
+    o = _t(spark, d, "orders")
+    words = F.when(F.col("o_orderkey") % 9 == 4, "gamescom demo").when(F.col("o_orderkey") % 9 == 2, "a showcase revealed").otherwise("nothing")
+    c = o.select(F.col("o_orderkey").alias("ordinal"), words.alias("title"), F.lit("").alias("snippet"), F.lit("").alias("query"))
+    return requests.event_context(c, "ordinal").withColumn("of", F.lit("all")).unionByName(requests.event_context(c.where("title = 'nothing'"), "ordinal").withColumn("of", F.lit("plain")))
+
+
+def _expansions(spark, d):
+    n = F.col("p_partkey")
+    pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (n % len(xs) + 1).cast("int"))
+    return _t(spark, d, "part").select(n.alias("request_no"), F.concat(F.lit("r"), n.cast("string")).alias("request_id"), pick("theme_gap", "event_burst", "candidate_followup").alias("method"), F.concat(F.lit("query "), n.cast("string")).alias("query"))
+
+
+def query_compression_requests(spark, d):
+    return requests.compression_requests(_expansions(spark, d), 40)
+
+
+def compressed_queries_applied(spark, d):
+    n = F.col("s_suppkey")
+    raw = F.when(n % 3 == 0, F.lit("nothing")).when(n % 3 == 1, F.concat(F.lit('{"queries": [" ", "short '), n.cast("string"), F.lit('"], "confidence": 7}'))).otherwise(F.lit('{"queries": []}'))
+    answers = _t(spark, d, "supplier").select(F.concat(F.lit("query-compression-r"), n.cast("string")).alias("request_id"), raw.alias("raw_response"))
+    return requests.with_compressed_queries(_expansions(spark, d), answers).groupBy("query_source").agg(F.count(F.lit(1)).alias("n"), F.min("query").alias("first"))
+
+
+def result_relevance_applied(spark, d):
+    e = _t(spark, d, "events").select((F.col("user_id") % 20).alias("request_id"), F.col("event_type").alias("platform"), F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string")).alias("url"), "event_id", "value")
+    made = e.where("event_id % 4 = 0").select("request_id", "platform", "url", F.col("event_id").alias("decision_no"), F.when(F.col("value") > 6, "reject").otherwise("same_game").alias("relevance"))
+    return requests.with_relevance(e, made).groupBy("platform", "llm_relevance", "llm_rejected").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -321,6 +352,7 @@ QUERIES = {
         collector_diagnostics, source_selection_diagnostics, source_health_warnings, fallback_warnings,
         discussion_probe_requests, discussion_probes_applied, editorial_judgment_requests, source_recovery_issues, source_navigation_requests, social_heat_relevance_summary, semantic_relevance_requests, html_document_times,
         story_sections, candidate_theme_sections, story_assets, platform_posts, historical_context, parsed_judgments, story_reviews, artifacts_by_stage, notification_issues,
+        search_event_context, query_compression_requests, compressed_queries_applied, result_relevance_applied,
     )
 }
 
@@ -453,11 +485,19 @@ UNION ALL SELECT 'other', 0, count(*), '' FROM a WHERE f NOT IN (SELECT f FROM s
 NOTES = """WITH x AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'malformed:notification_id' END AS issue FROM events UNION ALL SELECT CASE WHEN event_id % 5 = 0 THEN 'malformed:issue_id' END FROM events UNION ALL SELECT CASE WHEN event_id % 7 = 0 THEN 'blank:stage' END FROM events
  UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN 'invalid:severity' END FROM events UNION ALL SELECT CASE WHEN event_id % 11 = 0 THEN 'missing:status' END FROM events) SELECT issue, count(*) AS n FROM x WHERE issue IS NOT NULL GROUP BY 1"""
 
+CONTEXT = """SELECT 'all' AS of, true AS active, CASE WHEN bool_or(o_orderkey % 9 = 4) THEN 'gamescom' ELSE 'showcase' END AS event_name, 2 AS event_signal_count, 3 AS new_content_signal_count, 'event_burst' AS quota_policy FROM orders
+UNION ALL SELECT 'plain', false, '', 0, 0, 'normal'"""
+COMPRESSION = "SELECT 'query-compression-r' || p_partkey AS request_id, 'r' || p_partkey AS source_request_id, CASE WHEN p_partkey % 3 = 1 THEN 'event_burst' ELSE 'candidate_followup' END AS method, 'query ' || p_partkey AS fallback_query FROM part WHERE p_partkey % 3 > 0 ORDER BY p_partkey LIMIT 40"
+COMPRESSED = """WITH j AS (SELECT p_partkey AS p, s_suppkey AS s FROM part LEFT JOIN supplier ON s_suppkey = p_partkey),
+x AS (SELECT CASE WHEN s IS NULL THEN NULL WHEN s % 3 = 1 THEN 'llm_compressed' ELSE 'fallback' END AS query_source, CASE WHEN s % 3 = 1 THEN 'short ' || s ELSE 'query ' || p END AS q FROM j) SELECT query_source, count(*) AS n, min(q) AS first FROM x GROUP BY 1"""
+RESULTS = """WITH e AS (SELECT user_id % 20 AS r, event_type AS platform, event_id % 50 AS u, event_id AS i, value AS v FROM events), d AS (SELECT r, platform, u, arg_max(CASE WHEN v > 6 THEN 'reject' ELSE 'same_game' END, i) AS llm_relevance FROM e WHERE i % 4 = 0 GROUP BY 1, 2, 3)
+SELECT platform, llm_relevance, coalesce(llm_relevance = 'reject', false) AS llm_rejected, count(*) AS n FROM e LEFT JOIN d USING (r, platform, u) GROUP BY 1, 2, 3"""
+
 ORACLE_SQL = {
     "context_packs": CONTEXT_PACKS, "claims_from_packs": CLAIMS, "claims_verified": VERIFIED, "evidence_with_filters": FILTERED, "fact_inference_split": FACTS, "story_event_types": TYPES, "story_events": EVENTS,
     "event_news_links": LINKS, "news_game_links": GAME_LINKS, "game_event_timeline": EVENT_NEWS, "source_theme_counts": THEMES, "collector_diagnostics": COLLECTORS, "source_selection_diagnostics": SELECTION,
     "source_health_warnings": WARNINGS, "fallback_warnings": FALLBACK, "discussion_probe_requests": PROBE_REQUESTS, "discussion_probes_applied": PROBES_APPLIED, "editorial_judgment_requests": JUDGMENT,
     "source_recovery_issues": RECOVERY, "source_navigation_requests": NAVIGATION, "social_heat_relevance_summary": RELEVANCE, "semantic_relevance_requests": SEMANTIC, "html_document_times": PAGE_TIMES, "story_sections": STORY_SECTIONS,
     "candidate_theme_sections": THEME_SECTIONS, "story_assets": STORY_ASSETS, "platform_posts": POSTS, "historical_context": HISTORY, "parsed_judgments": JUDGMENTS, "story_reviews": REVIEWS, "artifacts_by_stage": STAGES,
-    "notification_issues": NOTES,
+    "notification_issues": NOTES, "search_event_context": CONTEXT, "query_compression_requests": COMPRESSION, "compressed_queries_applied": COMPRESSED, "result_relevance_applied": RESULTS,
 }
