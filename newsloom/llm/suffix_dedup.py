@@ -187,9 +187,10 @@ def intervals(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
                 cols = {"gram": name, "kind": np.concatenate(kinds), "start": np.concatenate(starts), "n": np.ones(len(name), dtype=np.int64)}
                 ids = np.concatenate(ids)
                 order = np.lexsort((cols["start"], ids))
-                yield _rows(ids[order], {k: v[order] for k, v in cols.items()}, length)
+                rows = _rows(ids[order], {k: v[order] for k, v in cols.items()}, length)
+                yield rows.assign(kind=(rows["kind"] & 0x7FFFFFFF).astype("int32"))  # 95 bits of name are enough, and less to shuffle
 
-    fine = docs.join(open_, "id").select("id", "text", "open").mapInPandas(windows, _NAMED)
+    fine = docs.join(open_, "id").select("id", "text", "open").mapInPandas(windows, _NAMED.replace("kind long", "kind int"))
     again = fine.withColumn("before", F.lag("gram").over(W.partitionBy("gram", "kind").orderBy("id", "start"))).where("gone OR before IS NOT NULL")
     late = again.select("id", "start", F.when(F.col("gone"), F.col("start") + F.col("n")).otherwise(F.col("start") + length).alias("end"))
     return first.unionByName(whole).unionByName(late)
