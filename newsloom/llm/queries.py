@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, decontaminate, langid, license_scan, line_dedup, mixing, quality, simhash_dedup, suffix_dedup, toxicity
+from newsloom.llm import ann, decontaminate, langid, license_scan, line_dedup, mixing, pii, quality, resample, simhash_dedup, suffix_dedup, token_align, toxicity
 from newsloom.llm.common import crc_mod, table
 
 
@@ -56,6 +56,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count base spans, as base_sha256 digests them; n_added counts those of the deobfuscation."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    added = F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,5 +89,8 @@ QUERIES = {
         op8_decontamination,
         op9_line_dedup,
         op10_suffix_dedup,
+        op11_token_alignment,
+        op12_importance_resampling,
+        op13_pii,
     )
 }
