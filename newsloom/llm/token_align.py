@@ -5,10 +5,11 @@ an equi-join on (sequence, end) finds the offsets where tokens of both sides end
 these cuts number the groups, and the join's rows are the links, counted by pair of ids.
 
 Words repeat, and both tokenizers cut at certain places whatever stands around them: between a letter
-and a sign, before a space, around a single line end. The sequences that are tokenised and aligned are
-therefore the distinct pieces between such places, weighted by their counts; a text is the chain of
-its pieces. A piece's groups, links and ids are those of any text around it, so sums over pieces are
-exact. Where a vocabulary can't promise these cuts, whole texts are the pieces.
+and an ASCII sign, between a sign or digit and a space, around a single line end. The sequences that
+are tokenised and aligned are therefore the distinct pieces between such places, weighted by their
+counts; a text is the chain of its pieces. A piece's groups, links and ids are those of any text around
+it, so sums over pieces are exact. Where a vocabulary can't promise these cuts, whole texts are the
+pieces.
 
 Texts get their pieces' results back in two ways: the most frequent pieces, at most ``FREQUENT`` of at
 most ``FREQUENT_BYTES`` bytes, are broadcast; all others are joined by a shuffle. The counts of linked
@@ -25,19 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, send
 
-FREQUENT = 400_000
+FREQUENT = 1_000_000
 FREQUENT_BYTES = 48
-# Letters, signs and digits that every version of Unicode classes alike.
-_L = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я"
-_S = r"!-/:-@\[-`{-~«»“”‘’…–—"
-_CUTS = rf"(?<=[{_L}])(?=[\x00-@\[-`{{-\x7f«»“”‘’…–—&&[^0-9]])|(?<=[{_S}0-9])(?=[ \n])|(?<=[{_L}{_S}0-9]\n)(?=[{_L}{_S}0-9])"
-_UNSURE = re.compile(rf"[{_L}][\x00-/:-@\[-`{{-\x7f«»“”‘’…–—▁]|[{_S}0-9]▁|\n")
 _SPACE = "▁"
+# Letters and signs that every version of Unicode classes alike: ASCII, U+00C0 to U+017F, and Cyrillic.
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ſЀ-џ", r"!-/:-@\[-`{-~"
+_UNSURE = re.compile(rf"[{_LETTER}][\x00-/:-@\[-`{{-\x7f{_SPACE}]|[{_SIGN}0-9]{_SPACE}|\n")
 _held: dict[tuple[str, str], Tokenizers] = {}
 
 
@@ -97,10 +96,46 @@ def pair_bound(t: Tokenizers) -> int:
     return longer(a, b) + longer(b, a) + sum(n * b[k] for k, n in a.items())
 
 
-def pieces(text: Column, sure: bool) -> Column:
-    """A space and the text, cut where both tokenizers surely cut."""
-    spaced = F.concat(F.lit(" "), text)
-    return F.split(spaced, _CUTS, -1) if sure else F.array(spaced)
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By a byte and the one before it, whether it ends a letter; by byte, whether it is an ASCII sign or digit, and whether a letter or sign may start with it."""
+    byte = np.arange(256)
+    ascii_letter = ((byte | 32) >= 97) & ((byte | 32) <= 122) & (byte < 128)
+    sign = (byte > 32) & (byte < 127) & ~ascii_letter
+    letter = np.zeros((256, 256), dtype=bool)
+    letter[:, ascii_letter] = True
+    letter[0xC3:0xC6, 0x80:0xC0] = letter[0xD0, 0x80:0xC0] = letter[0xD1, 0x80:0xA0] = True
+    letter[0xC3, [0x97, 0xB7]] = False  # the signs of multiplication and division
+    return letter.ravel(), sign, ascii_letter | sign | np.isin(byte, [0xC3, 0xC4, 0xC5, 0xD0])
+
+
+_ENDS_LETTER, _IS_SIGN, _STARTS = _classes()
+_OTHER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def cut(texts: pa.Array, sure: bool) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, at): a space and each text, cut where both tokenizers surely cut; text i has the pieces from at[i] to at[i + 1].
+
+    Texts that are null or empty, or hold the sign that stands for a space, have no pieces.
+    """
+    texts = texts.cast(pa.string())
+    able = pc.fill_null(pc.and_(pc.not_equal(texts, ""), pc.invert(pc.match_substring(texts, _SPACE))), False)
+    one = lambda x: pa.scalar(x, pa.string())
+    spaced = pc.if_else(able, pc.binary_join_element_wise(one(" "), pc.fill_null(texts, ""), one("")), one(""))
+    ends = np.frombuffer(spaced.buffers()[1], dtype=np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+    data = spaced.buffers()[2]
+    first, last = (int(ends[0]), int(ends[-1])) if len(spaced) else (0, 0)
+    b = np.frombuffer(data, dtype=np.uint8)[first:last] if last > first else np.zeros(0, dtype=np.uint8)
+    starts = np.zeros(len(b) + 1, dtype=bool)
+    if sure and len(b) > 2:
+        letter = np.zeros(len(b), dtype=bool)
+        letter[1:] = _ENDS_LETTER[(b[:-1].astype(np.uint16) << 8) | b[1:]]
+        sign, line = _IS_SIGN[b], b == 10
+        starts[1:-1] = (letter[:-1] & _OTHER[b[1:]]) | (sign[:-1] & (line[1:] | (b[1:] == 32)))
+        starts[2:-1] |= line[1:-1] & (letter | sign)[:-2] & _STARTS[b[2:]]
+    starts[ends - first] = True
+    offsets = np.flatnonzero(starts).astype(np.int32) + first
+    found = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), data) if len(b) else pa.array([], pa.string())
+    return found, np.searchsorted(offsets, ends)
 
 
 _SIDE = "array<struct<id:int,len:int>>"
@@ -126,24 +161,29 @@ def _tokenise(a_path: str, b_path: str):
     return run
 
 
-def ends(sequences: DataFrame, side: str) -> DataFrame:
-    """(key, pos, id, end) of each token of a side: its place, id and the bytes up to its end."""
-    tokens = sequences.select("key", F.posexplode(side).alias("pos", "t"))
-    return tokens.select("key", "pos", F.col("t.id").alias("id"), F.sum("t.len").over(W.partitionBy("key").orderBy("pos")).alias("end"))
+def ends(sequences: DataFrame) -> DataFrame:
+    """(key, n, side, pos, id, end) of each token: its side (0 for a, 1 for b), place, id and the bytes up to its end.
+
+    Tokens stay in the partition of their sequence, so no later step on (key, ...) has to shuffle them.
+    """
+    sided = lambda side: F.transform(F.col("ab"[side]), lambda t: F.struct(F.lit(side).alias("side"), t["id"].alias("id"), t["len"].alias("len")))
+    tokens = sequences.select("key", "n", F.posexplode(F.concat(sided(0), sided(1))).alias("pos", "t"))
+    end = F.sum("t.len").over(W.partitionBy("key", "t.side").orderBy("pos"))
+    return tokens.select("key", "n", F.col("t.side").alias("side"), "pos", F.col("t.id").alias("id"), end.alias("end"))
 
 
 def links(sequences: DataFrame) -> DataFrame:
-    """(key, end, a, b): tokens of both sides that end together, for sequences (key, a, b) of (id, len) in bytes."""
-    a, b = (ends(sequences, s).select("key", "end", F.col("id").alias(s)) for s in "ab")
-    return a.join(b, ["key", "end"])
+    """(key, end, a, b, n): tokens of both sides that end together, for sequences (key, n, a, b) of (id, len) in bytes."""
+    tokens = ends(sequences)
+    a = tokens.where("side = 0").select("key", "end", "n", F.col("id").alias("a"))
+    return a.join(tokens.where("side = 1").select("key", "end", F.col("id").alias("b")), ["key", "end"])
 
 
 def groups(sequences: DataFrame, cuts: DataFrame) -> DataFrame:
     """(key, groups): each sequence's groups between the cuts (key, end), in order, as 'a1,a2|b1;a3|b2,b3'."""
-    both = ends(sequences, "a").withColumn("side", F.lit(0)).unionByName(ends(sequences, "b").withColumn("side", F.lit(1)))
-    marked = both.join(cuts.select("key", "end", F.lit(1).alias("cut")), ["key", "end"], "left")
+    marked = ends(sequences).join(cuts.select("key", "end", F.lit(1).alias("cut")), ["key", "end"], "left")
     before = W.partitionBy("key", "side").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    numbered = marked.withColumn("group", F.coalesce(F.count("cut").over(before), F.lit(0)))
+    numbered = marked.withColumn("group", F.count("cut").over(before))
     ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id")))), lambda x: x["id"].cast("string")), ",")
     written = numbered.groupBy("key", "group").agg(F.concat_ws("|", ids(0), ids(1)).alias("s"))
     return written.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "s"))), lambda x: x["s"]), ";").alias("groups"))
@@ -154,16 +194,18 @@ _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def align_pieces(sequences: DataFrame, scratch: Scratch, pairs_at_most: int) -> DataFrame:
     """Each sequence's numbers and groups, from (key, piece, n, a, b); ``n`` is how often the piece stands in the corpus."""
-    kept = sequences.select("key", "n", "a", "b").repartition("key")
-    found = scratch.save(links(kept).join(sequences.select("key", "n"), "key"), "links")
+    dealt = sequences.select("key", "n", "a", "b").repartition("key")
+    found = scratch.save(links(dealt), "links")
     counts = scratch.save(found.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
-    counted = counts.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy("b")))
     if counts.count() > pairs_at_most:
         raise ValueError("more linked pairs than the vocabularies allow")
+    counted = counts.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy("b")))
     numbers = found.join(F.broadcast(counted), ["a", "b"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
     sized = sequences.select("key", "piece", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-    rows = sized.join(numbers, "key").join(groups(kept, found), "key").withColumn("n_groups", F.col("n_links"))
-    return scratch.save(rows.select("piece", "n", *_NUMBERS, "groups"), "aligned")
+    rows = sized.join(numbers, "key").join(groups(dealt, found.repartition("key")), "key").withColumn("n_groups", F.col("n_links"))
+    aligned = scratch.save(rows.select("piece", "n", *_NUMBERS, "groups"), "aligned")
+    scratch.drop("links", "pairs", "tokens", "tokens-again")
+    return aligned
 
 
 def _frequent(aligned: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -185,13 +227,24 @@ def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate([[0], np.cumsum(lens)])
 
 
-def _rare(get):
-    """Arrow batches of (key columns, pieces) to (key columns, pos, piece): the pieces that are not broadcast."""
+def _count(sure: bool):
+    """Arrow batches of texts to (piece, n), each piece once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pc.value_counts(cut(b.column("text"), sure)[0])
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["piece", "n"])
+
+    return run
+
+
+def _places(get, sure: bool):
+    """Arrow batches of (id, h, text) to (id, h, pos, piece): the pieces that are not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = get()[0]
         for b in batches:
-            flat, at = _flat(b.column("pieces"))
+            flat, at = cut(b.column("text"), sure)
             new = np.flatnonzero(pc.is_null(pc.index_in(flat, value_set=known)).to_numpy(zero_copy_only=False))
             row = np.searchsorted(at, new, side="right") - 1
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("h").take(pa.array(row)), pa.array((new - at[row]).astype(np.int32)), flat.take(pa.array(new))], ["id", "h", "pos", "piece"])
@@ -199,11 +252,11 @@ def _rare(get):
     return run
 
 
-def _assemble(get, step: int = 1_000_000):
-    """Arrow batches of (id, pieces, rare) to sums over the pieces and the digest of their groups; ``rare`` has what is not broadcast."""
+def _assemble(get, sure: bool, step: int = 1 << 23):
+    """Arrow batches of (id, text, rare) to sums over the pieces and the digest of their groups; ``rare`` has what is not broadcast."""
 
     def some(known, numbers, written, b: pa.RecordBatch) -> pa.RecordBatch:
-        flat, at = _flat(b.column("pieces"))
+        flat, at = cut(b.column("text"), sure)
         rare, of = _flat(b.column("rare"))
         which = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(rare):
@@ -222,8 +275,9 @@ def _assemble(get, step: int = 1_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, numbers, written = get()
         for b in batches:
-            at, i = _flat(b.column("pieces"))[1], 0
-            while i < b.num_rows:
+            size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+            at, i = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+            while i < b.num_rows:  # about ``step`` bytes of text at a time
                 j = max(i + 1, int(np.searchsorted(at, at[i] + step, side="right")) - 1)
                 yield some(known, numbers, written, b.slice(i, j - i))
                 i = j
@@ -239,37 +293,30 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     text, each count and have a row; a null id is an id. Other columns are not read.
     """
     spark, t = docs.sparkSession, tokenizers(a_path, b_path)
-    scratch = Scratch(spark, "token-align")
+    scratch, sure = Scratch(spark, "token-align"), t.sure
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    id_type, lost = docs.schema[id_col].dataType.simpleString(), None
-    able = F.coalesce((F.col("text") != "") & ~F.col("text").contains(_SPACE), F.lit(False))  # a text's own sign for a space comes back as a space
-    while True:
-        held = named.where(able)
-        if lost is not None:
-            held = held.join(lost, held["id"].eqNullSafe(lost["lost_id"]) & (held["h"] == lost["lost_h"]), "left_anti")
-        cut = held.select("id", "h", pieces(F.col("text"), t.sure).alias("pieces"))
-        counts = cut.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    place, whole = f"id {docs.schema[id_col].dataType.simpleString()}, h long, pos int, piece string", lambda df, x: df["id"].eqNullSafe(x[f"{x.columns[0]}"]) & (df["h"] == x[f"{x.columns[1]}"])
+    for attempt in ("tokens", "tokens-again"):
+        counts = named.select("text").mapInArrow(_count(sure), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
         tokens = counts.mapInArrow(_tokenise(a_path, b_path), f"piece string, n long, ok boolean, a {_SIDE}, b {_SIDE}")
-        sequences = scratch.save(tokens.withColumn("key", F.monotonically_increasing_id()), "tokens" if lost is None else "tokens-again")
+        sequences = scratch.save(tokens.withColumn("key", F.monotonically_increasing_id()), attempt)
         broken = sequences.where("NOT ok").select("piece")
-        if lost is not None or broken.isEmpty():
+        if broken.isEmpty():
             break
-        lost = scratch.save(cut.select("id", "h", F.explode("pieces").alias("piece")).join(broken, "piece", "left_semi").select(F.col("id").alias("lost_id"), F.col("h").alias("lost_h")).distinct(), "lost")
+        # Texts with a piece that a tokenizer doesn't give back have no tokens: they are told and counted no more.
+        nothing = send(spark, (pa.array([], pa.string()),))
+        lost = named.mapInArrow(_places(nothing, sure), place).join(broken, "piece", "left_semi").select(F.col("id").alias("lost_id"), F.col("h").alias("lost_h")).distinct()
+        lost = scratch.save(lost, "lost")
+        named = named.join(lost, whole(named, lost), "left").select("id", F.when(F.col("lost_h").isNull(), F.col("text")).alias("text"), "h")
     aligned = align_pieces(sequences, scratch, pair_bound(t))
     often, least = _frequent(aligned, frequent)
     table = often.select("piece", *_NUMBERS, "groups").toArrow().combine_chunks()
     one = lambda c: table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type)
-    written = pa.array([f"{s};".encode() for s in one("groups").to_pylist()], pa.large_binary())
+    written = pc.binary_join_element_wise(one("groups").cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(";", pa.large_string())).cast(pa.large_binary())
     get = send(spark, (one("piece").cast(pa.string()), [one(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _NUMBERS], written))
     others = aligned.where((F.col("n") < least) | (F.octet_length("piece") > FREQUENT_BYTES)).drop("n") if least else aligned.drop("n")
-    places = cut.mapInArrow(_rare(get), f"id {id_type}, h long, pos int, piece string")
-    found = places.join(others, "piece").groupBy("id", "h").agg(F.collect_set(F.struct("pos", *_NUMBERS, "groups")).alias("rare"))
+    found = named.mapInArrow(_places(get, sure), place).join(others, "piece").groupBy("id", "h").agg(F.collect_set(F.struct("pos", *_NUMBERS, "groups")).alias("rare"))
     found = found.withColumnsRenamed({"id": "rare_id", "h": "rare_h"})
-    if lost is not None:
-        named = named.join(lost, named["id"].eqNullSafe(lost["lost_id"]) & (named["h"] == lost["lost_h"]), "left").withColumn("able", able & F.col("lost_h").isNull()).select("id", "text", "h", "able")
-    else:
-        named = named.withColumn("able", able)
-    joined = named.join(found, named["id"].eqNullSafe(found["rare_id"]) & (named["h"] == found["rare_h"]), "left")
-    whole = joined.select("id", F.when(F.col("able"), pieces(F.col("text"), t.sure)).otherwise(F.array().cast("array<string>")).alias("pieces"), "rare")
+    joined = named.join(found.select("rare_id", "rare_h", "rare"), whole(named, found), "left").select("id", "text", "rare")
     numbers = ", ".join(f"{c} long" for c in _NUMBERS)
-    return whole.mapInArrow(_assemble(get), f"id {id_type}, {numbers}, groups_sha256 string").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(_assemble(get, sure), f"id {docs.schema[id_col].dataType.simpleString()}, {numbers}, groups_sha256 string").withColumnRenamed("id", id_col)
