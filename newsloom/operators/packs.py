@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from newsloom import functions as fn
 from newsloom.operators import evidence
 from newsloom.operators import rules as R
+from newsloom.operators.fulltext import FullTextIndex
 from newsloom.operators.selection import top_per_group
 
 # Claim types by candidate type.
@@ -165,12 +166,17 @@ def fact_and_inference(text: Column) -> Column:
     return F.when(t == "", row(none, none, zero, zero, none, False)).when(marker == "", row(t, none, F.lit(0.9), zero, none, False)).otherwise(row(fact, why, sure, guess, marker, True))
 
 
-def retrieve_evidence(queries: DataFrame, query_id: str, query_text: Column, chunks: DataFrame, max_results: int = 5, where: Column | None = None, keyword_where: Column | None = None) -> DataFrame:
-    """(query id, retriever, chunk_id, score, rank): BM25 with filters, for queries that finds nothing for by keywords.
+def retrieve_evidence(queries: DataFrame, query_id: str, query_text: Column, chunks: DataFrame, max_results: int = 5, where: Column | None = None, keyword_where: Column | None = None, index: FullTextIndex | None = None, **filters) -> DataFrame:
+    """(query id, retriever, chunk_id, score, rank): from the full-text index if it is built, else BM25 with filters, for queries that finds nothing for by keywords.
+
+    The index answers alone, by its relevance_score and with the ``filters`` of its search.
 
     BM25's statistics are of all chunks; ``where`` (see ``passes_filters``) holds for the chunks that
     may be returned. ``keyword_where`` holds for those of the keyword search, which filters by source only.
     """
+    if index is not None and index.exists():
+        best = index.search(queries, query_id, query_text, max_results, **filters)
+        return best.select(query_id, F.lit("fts5").alias("retriever"), "chunk_id", F.col("relevance_score").alias("score"), "rank")
     docs = chunks.withColumn("_text", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("quote", F.lit(""))))
     found = evidence.bm25(docs, "chunk_id", F.col("_text"), queries, query_id, query_text, max_results, where=where).withColumn("retriever", F.lit("bm25"))
     rest = queries.join(found.select(query_id).distinct(), query_id, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import chain, news, news_sql
+from newsloom.plans import chain, intake, news, news_sql
 
-ORACLE_SQL: dict[str, str] = {**news_sql.ORACLE_SQL, **chain.ORACLE_SQL}
-QUERIES = {name: getattr(news, name) for name in [*news_sql.ORACLE_SQL, "html_document_parse"]} | chain.QUERIES
+ORACLE_SQL: dict[str, str] = {**news_sql.ORACLE_SQL, **chain.ORACLE_SQL, **intake.ORACLE_SQL}
+QUERIES = {name: getattr(news, name) for name in [*news_sql.ORACLE_SQL, "html_document_parse"]} | chain.QUERIES | intake.QUERIES
