@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, send
@@ -138,16 +138,11 @@ def cut(texts: pa.Array, sure: bool) -> tuple[pa.Array, np.ndarray]:
     return found, np.searchsorted(offsets, ends)
 
 
-_SIDE = "array<struct<id:int,len:int>>"
-
-
 def _tokenise(a_path: str, b_path: str):
-    side = pa.list_(pa.struct([("id", pa.int32()), ("len", pa.int32())]))
-
-    def column(found: list[list[int]], lens: np.ndarray) -> pa.Array:
+    def columns(found: list[list[int]], lens: np.ndarray) -> list[pa.Array]:
         ids = np.fromiter((i for x in found for i in x), dtype=np.int32)
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(ids), pa.array(lens[ids])], ["id", "len"])).cast(side)
+        at = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
+        return [pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(lens[ids]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(a_path, b_path)
@@ -156,56 +151,71 @@ def _tokenise(a_path: str, b_path: str):
             texts = b.column("piece").to_pylist()
             a_ids, b_ids = t.encode_a(texts), t.encode_b(texts)
             ok = [b"".join(map(t.a_bytes.__getitem__, x)) == (raw := s.encode()) and b"".join(map(t.b_bytes.__getitem__, y)) == raw for s, x, y in zip(texts, a_ids, b_ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("n"), pa.array(ok), column(a_ids, len_a), column(b_ids, len_b)], ["piece", "n", "ok", "a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("n"), pa.array(ok), *columns(a_ids, len_a), *columns(b_ids, len_b)], ["piece", "n", "ok", "a", "a_len", "b", "b_len"])
 
     return run
 
 
-def ends(sequences: DataFrame) -> DataFrame:
-    """(key, n, side, pos, id, end) of each token: its side (0 for a, 1 for b), place, id and the bytes up to its end.
+def ends(sequences: DataFrame, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(key, n, side, pos, id, end, piece) of each token: its side (0 for a, 1 for b), place, id and the bytes up to its end; the piece is with its first token only.
 
     Tokens stay in the partition of their sequence, so no later step on (key, ...) has to shuffle them.
     """
-    sided = lambda side: F.transform(F.col("ab"[side]), lambda t: F.struct(F.lit(side).alias("side"), t["id"].alias("id"), t["len"].alias("len")))
-    tokens = sequences.select("key", "n", F.posexplode(F.concat(sided(0), sided(1))).alias("pos", "t"))
+    sided = lambda side, s: F.zip_with(s, f"{s}_len", lambda i, n: F.struct(F.lit(side).alias("side"), i.alias("id"), n.alias("len")))
+    tokens = sequences.select("key", "piece", "n", F.posexplode(F.concat(*(sided(i, "ab"[i]) for i in sides))).alias("pos", "t"))
     end = F.sum("t.len").over(W.partitionBy("key", "t.side").orderBy("pos"))
-    return tokens.select("key", "n", F.col("t.side").alias("side"), "pos", F.col("t.id").alias("id"), end.alias("end"))
+    return tokens.select("key", "n", F.col("t.side").alias("side"), "pos", F.col("t.id").alias("id"), end.alias("end"), F.when(F.col("pos") == 0, F.col("piece")).alias("piece"))
 
 
 def links(sequences: DataFrame) -> DataFrame:
-    """(key, end, a, b, n): tokens of both sides that end together, for sequences (key, n, a, b) of (id, len) in bytes."""
-    tokens = ends(sequences)
-    a = tokens.where("side = 0").select("key", "end", "n", F.col("id").alias("a"))
-    return a.join(tokens.where("side = 1").select("key", "end", F.col("id").alias("b")), ["key", "end"])
+    """(key, end, n, a, b): tokens of both sides that end together, for sequences (key, piece, n, a, a_len, b, b_len): ids, and their lengths in bytes."""
+    a = ends(sequences, (0,)).select("key", "end", "n", F.col("id").alias("a"))
+    return a.join(ends(sequences, (1,)).select("key", "end", F.col("id").alias("b")), ["key", "end"])
 
 
-def groups(sequences: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(key, groups): each sequence's groups between the cuts (key, end), in order, as 'a1,a2|b1;a3|b2,b3'."""
-    marked = ends(sequences).join(cuts.select("key", "end", F.lit(1).alias("cut")), ["key", "end"], "left")
+def groups(sequences: DataFrame, counted: DataFrame) -> DataFrame:
+    """(piece, n, numbers, groups) of each sequence: its groups between the cuts, in order, as 'a1,a2|b1;a3|b2,b3', and sums over its links (key, end, count, best)."""
+    marked = ends(sequences).join(counted, ["key", "end"], "left")
     before = W.partitionBy("key", "side").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    numbered = marked.withColumn("group", F.count("cut").over(before))
-    ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id")))), lambda x: x["id"].cast("string")), ",")
-    written = numbered.groupBy("key", "group").agg(F.concat_ws("|", ids(0), ids(1)).alias("s"))
-    return written.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "s"))), lambda x: x["s"]), ";").alias("groups"))
+    numbered = marked.withColumn("group", F.count("count").over(before))
+    of = lambda side, x: F.when(F.col("side") == side, x)
+    ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(of(side, F.struct("pos", "id")))), lambda x: x["id"].cast("string")), ",")
+    link = of(0, F.col("count"))
+    written = numbered.groupBy("key", "group").agg(
+        F.concat_ws("|", ids(0), ids(1)).alias("s"), F.count(of(0, F.lit(1))).alias("a"), F.count(of(1, F.lit(1))).alias("b"), F.count(link).alias("links"), F.count(F.when(link.isNotNull() & F.col("best"), 1)).alias("bests"), F.sum(link).alias("sums"), F.max("piece").alias("piece"), F.max("n").alias("n")
+    )
+    total = lambda c, name: F.sum(c).alias(name)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "s"))), lambda x: x["s"]), ";").alias("groups")
+    each = written.groupBy("key").agg(F.max("piece").alias("piece"), F.max("n").alias("n"), total("a", "n_a"), total("b", "n_b"), total("links", "n_links"), total("bests", "n_best"), total("sums", "count_sum"), text)
+    return each.select("piece", "n", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups")
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def align_pieces(sequences: DataFrame, scratch: Scratch, pairs_at_most: int) -> DataFrame:
-    """Each sequence's numbers and groups, from (key, piece, n, a, b); ``n`` is how often the piece stands in the corpus."""
-    dealt = sequences.select("key", "n", "a", "b").repartition("key")
-    found = scratch.save(links(dealt), "links")
-    counts = scratch.save(found.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
-    if counts.count() > pairs_at_most:
+def _by_key(spark: SparkSession) -> SparkSession:
+    """A session like this one whose joins on (key, end) take rows that are dealt by key as they are."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return own
+
+
+def align_pieces(spark: SparkSession, path: str, pairs_at_most: int) -> DataFrame:
+    """Each piece's numbers and groups, from the table at ``path``: key, piece, n (how often the piece stands in the corpus), a, a_len, b, b_len."""
+    own = Scratch(_by_key(spark), "token-align-pieces")
+    dealt = own.spark.read.parquet(path).repartition("key")
+    found = own.save(links(dealt), "links")
+    pairs = own.save(found.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
+    if pairs.count() > pairs_at_most:
         raise ValueError("more linked pairs than the vocabularies allow")
-    counted = counts.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy("b")))
-    numbers = found.join(F.broadcast(counted), ["a", "b"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum"))
-    sized = sequences.select("key", "piece", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-    rows = sized.join(numbers, "key").join(groups(dealt, found.repartition("key")), "key").withColumn("n_groups", F.col("n_links"))
-    aligned = scratch.save(rows.select("piece", "n", *_NUMBERS, "groups"), "aligned")
-    scratch.drop("links", "pairs", "tokens", "tokens-again")
-    return aligned
+    best = pairs.withColumn("best", F.col("count") == F.max("count").over(W.partitionBy("b")))
+    counted = found.join(F.broadcast(best), ["a", "b"]).select("key", "end", "count", "best").repartition("key")
+    aligned = own.save(groups(dealt, counted), "aligned")
+    own.drop("links", "pairs")
+    return spark.read.schema(aligned.schema).parquet(f"{own.root}/aligned")
 
 
 def _frequent(aligned: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -298,7 +308,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     place, whole = f"id {docs.schema[id_col].dataType.simpleString()}, h long, pos int, piece string", lambda df, x: df["id"].eqNullSafe(x[f"{x.columns[0]}"]) & (df["h"] == x[f"{x.columns[1]}"])
     for attempt in ("tokens", "tokens-again"):
         counts = named.select("text").mapInArrow(_count(sure), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-        tokens = counts.mapInArrow(_tokenise(a_path, b_path), f"piece string, n long, ok boolean, a {_SIDE}, b {_SIDE}")
+        tokens = counts.mapInArrow(_tokenise(a_path, b_path), "piece string, n long, ok boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
         sequences = scratch.save(tokens.withColumn("key", F.monotonically_increasing_id()), attempt)
         broken = sequences.where("NOT ok").select("piece")
         if broken.isEmpty():
@@ -308,7 +318,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         lost = named.mapInArrow(_places(nothing, sure), place).join(broken, "piece", "left_semi").select(F.col("id").alias("lost_id"), F.col("h").alias("lost_h")).distinct()
         lost = scratch.save(lost, "lost")
         named = named.join(lost, whole(named, lost), "left").select("id", F.when(F.col("lost_h").isNull(), F.col("text")).alias("text"), "h")
-    aligned = align_pieces(sequences, scratch, pair_bound(t))
+    aligned = align_pieces(spark, f"{scratch.root}/{attempt}", pair_bound(t))
+    scratch.drop("tokens", "tokens-again")
     often, least = _frequent(aligned, frequent)
     table = often.select("piece", *_NUMBERS, "groups").toArrow().combine_chunks()
     one = lambda c: table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type)
