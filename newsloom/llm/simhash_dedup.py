@@ -177,8 +177,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 # Near copies by a similarity of shingle sets. At a Jaccard index of 0.8 SimHashes of whole texts differ in
-# about ten of 64 bits, so no eight positional bytes can be equal with certainty. The wide fingerprint has
-# POSITIONS positions of eight bytes, each voted by a sample of one shingle, the least under the position's
+# about ten of 64 bits, so no eight positional bytes can be equal with certainty. The wide fingerprint is
+# MinHash: it has POSITIONS positions of eight bytes, each the one shingle that is least under the position's
 # own hash, so that it is equal with the probability of the Jaccard index; index, tally and verification are
 # as above.
 POSITIONS, LEAST_SHARED = 16, 5  # at 0.8 fewer than five of sixteen are shared once in four million pairs
@@ -212,6 +212,12 @@ def _members(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"id {kind}, text_key long, sid string, n long, values array<bigint>")
 
 
+def _pairs(held: DataFrame, fits) -> DataFrame:
+    """(p, q, x, y): the sets of each list with each other, where labels and sizes allow a link."""
+    a, b = held.select("key", F.col("sid").alias("p"), F.col("label").alias("x"), F.col("n").alias("m")), held.select("key", F.col("sid").alias("q"), F.col("label").alias("y"), "n")
+    return a.join(b, "key").where((F.col("p") < F.col("q")) & fits).select("p", "q", "x", "y")
+
+
 def _hubs(held: DataFrame, fits) -> DataFrame:
     """(p, q, x, y): each set with the hub, of those of its lists, that it shares most lists with, where labels and sizes allow a link."""
     hub = held.groupBy("key").agg(F.min_by("sid", "at").alias("p"), F.min_by("label", "at").alias("x"), F.min_by("n", "at").alias("m"))
@@ -220,6 +226,22 @@ def _hubs(held: DataFrame, fits) -> DataFrame:
     return shared.groupBy("q").agg(F.max(F.struct("c", "p", "x", "y")).alias("b")).select(F.col("b.p").alias("p"), "q", F.col("b.x").alias("x"), F.col("b.y").alias("y"))
 
 
+def _by_shingles(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, sid, label, n, at): lists of sets by their rarest shingles; two sets of ``similarity`` share a list with certainty (prefix filter)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(x.as_py(), words)).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "keys"])
+
+    kept = rows.select("sid", "label", "n", "at", "text_key").distinct()
+    held = kept.join(texts, "text_key").select("sid", "text").mapInArrow(run, "sid string, keys array<bigint>").select("sid", F.explode("keys").alias("key"))
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = held.join(often, "key").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("o")).join(kept.drop("text_key"), "sid")
+    length = F.size("o") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1  # shingles of one set only come first and link nothing
+    return ranked.where(length > 0).select(F.explode(F.slice("o", F.lit(1), length)).alias("s"), "sid", "label", "n", "at").select("s.key", "sid", "label", "n", "at")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: id and component_id, the smallest id reachable.
 
@@ -227,8 +249,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts of fewer words are one shingle, and those without words have the empty set and link with each
     other. Pairs share LEAST_SHARED positions, by tally, and are verified on their whole texts: each set
     with one hub of its lists; then in lists of at most FEW sets all that are in different groups, in longer
-    lists one set of each group, with all others if the groups are at most FEW and with the hub if more. Repeated ids each keep their row; a null id stays
-    null; an empty table gives an empty result; other columns are not read.
+    lists one set of each group with all others. If those are more than FEW, as with documents of one
+    template, their sets get further lists, by their rarest shingles; only where such a list is long too does
+    each meet the hub and no other. Repeated ids each keep their row; a null id stays null; an empty table
+    gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
@@ -271,12 +295,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = mixed.where(F.col("sets") <= FEW).select("key", "label", "sid", "n", "at", F.lit(0).cast("long").alias("groups"))
     rest = scratch.save(whole.unionByName(each.select("key", "label", "sid", "n", "at", "groups")), "rest")
     short = rest.where(F.col("groups") <= FEW)
-    a, b = short.select("key", F.col("sid").alias("p"), F.col("label").alias("x"), F.col("n").alias("m")), short.select("key", F.col("sid").alias("q"), F.col("label").alias("y"), "n")
-    pairs = a.join(b, "key").where((F.col("p") < F.col("q")) & fits).select("p", "q", "x", "y").distinct()
-    labels = relabel(labels, pairs.unionByName(_hubs(rest.where(F.col("groups") > FEW), fits)), "labels")
+    pairs = _pairs(short, fits)
+    long = rest.where(F.col("groups") > FEW)
+    if not long.isEmpty():
+        further = _by_shingles(long.join(some.select("sid", "text_key"), "sid"), texts, words, similarity)
+        each = further.groupBy("key", "label").agg(F.min_by("sid", "at").alias("sid"), F.min_by("n", "at").alias("n"), F.min("at").alias("at"))
+        found = scratch.save(each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1"), "key"), "further")
+        pairs = pairs.unionByName(_pairs(found.where(F.col("groups") <= FEW), fits)).unionByName(_hubs(long, fits)).unionByName(_hubs(found.where(F.col("groups") > FEW), fits))
+    labels = relabel(labels, pairs.distinct(), "labels")
     rooted = members.join(labels, "sid", "left").select("id", F.coalesce("label", "sid").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    scratch.drop("lists", "sets", "texts", "rest", "labels0")
+    scratch.drop("lists", "sets", "texts", "rest", "further", "labels0")
     return rooted.join(lowest, "root").select(F.col("id").alias(id_col), "component_id")
 
 

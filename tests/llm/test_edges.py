@@ -104,7 +104,7 @@ def test_pipeline_stage_by_stage(spark):
     lines = stages["line_dedup"](spark, good, sf).cache()
     assert ids(lines) == ids(good) and lines.where("n_chars <> length(text)").count() == good.where("n_chars <> length(text)").count()
     near = stages["simhash_near_dedup"](spark, lines, sf).cache()
-    assert ids(near) == ids(simhash_dedup.near_duplicates(lines).where("doc_id = component_id"))
+    assert ids(near) == ids(simhash_dedup.similar_documents(lines).where("doc_id = component_id"))
     clean = stages["benchmark_decontamination"](spark, near, sf).cache()
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert ids(clean) == ids(decontaminate.report(near, items).where("NOT contaminated"))
