@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, send
 
-FREQUENT = 1_000_000
+FREQUENT = 300_000
 FREQUENT_BYTES = 48
+STEP = 1 << 22  # bytes of text that a task cuts at a time
 _SPACE = "▁"
 # Letters and signs that every version of Unicode classes alike: ASCII, U+00C0 to U+017F, and Cyrillic.
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ſЀ-џ", r"!-/:-@\[-`{-~"
@@ -177,17 +178,17 @@ def groups(sequences: DataFrame, counted: DataFrame) -> DataFrame:
     """(piece, n, numbers, groups) of each sequence: its groups between the cuts, in order, as 'a1,a2|b1;a3|b2,b3', and sums over its links (key, end, count, best)."""
     marked = ends(sequences).join(counted, ["key", "end"], "left")
     before = W.partitionBy("key", "side").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    numbered = marked.withColumn("group", F.count("count").over(before))
     of = lambda side, x: F.when(F.col("side") == side, x)
-    ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(of(side, F.struct("pos", "id")))), lambda x: x["id"].cast("string")), ",")
     link = of(0, F.col("count"))
-    written = numbered.groupBy("key", "group").agg(
-        F.concat_ws("|", ids(0), ids(1)).alias("s"), F.count(of(0, F.lit(1))).alias("a"), F.count(of(1, F.lit(1))).alias("b"), F.count(link).alias("links"), F.count(F.when(link.isNotNull() & F.col("best"), 1)).alias("bests"), F.sum(link).alias("sums"), F.max("piece").alias("piece"), F.max("n").alias("n")
-    )
-    total = lambda c, name: F.sum(c).alias(name)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "s"))), lambda x: x["s"]), ";").alias("groups")
-    each = written.groupBy("key").agg(F.max("piece").alias("piece"), F.max("n").alias("n"), total("a", "n_a"), total("b", "n_b"), total("links", "n_links"), total("bests", "n_best"), total("sums", "count_sum"), text)
-    return each.select("piece", "n", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups")
+    # Each token is written with what follows it, so a sequence's groups are its tokens by group, side and place.
+    behind = F.when(F.col("count").isNull(), ",").when(F.col("side") == 0, "|").otherwise(";")
+    token = F.struct(F.count("count").over(before).alias("group"), "side", "pos", F.concat(F.col("id").cast("string"), behind).alias("s"))
+    each = marked.select("key", "n", "piece", "side", "count", "best", token.alias("token")).groupBy("key").agg(
+        F.max("piece").alias("piece"), F.max("n").alias("n"), F.count(of(0, F.lit(1))).alias("n_a"), F.count(of(1, F.lit(1))).alias("n_b"), F.count(link).alias("n_links"),
+        F.count(F.when(link.isNotNull() & F.col("best"), 1)).alias("n_best"), F.sum(link).alias("count_sum"), F.sort_array(F.collect_list("token")).alias("tokens"),
+    )
+    text = F.rtrim(F.array_join(F.col("tokens").getField("s"), ""), F.lit(";"))
+    return each.select("piece", "n", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", text.alias("groups"))
 
 
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -237,11 +238,22 @@ def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.concatenate([[0], np.cumsum(lens)])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``STEP`` bytes of text, of one row at least."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        at, i = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + STEP, side="right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def _count(sure: bool):
-    """Arrow batches of texts to (piece, n), each piece once a batch."""
+    """Arrow batches of texts to (piece, n), each piece once a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             found = pc.value_counts(cut(b.column("text"), sure)[0])
             yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["piece", "n"])
 
@@ -253,7 +265,7 @@ def _places(get, sure: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = get()[0]
-        for b in batches:
+        for b in _slices(batches):
             flat, at = cut(b.column("text"), sure)
             new = np.flatnonzero(pc.is_null(pc.index_in(flat, value_set=known)).to_numpy(zero_copy_only=False))
             row = np.searchsorted(at, new, side="right") - 1
@@ -262,7 +274,7 @@ def _places(get, sure: bool):
     return run
 
 
-def _assemble(get, sure: bool, step: int = 1 << 23):
+def _assemble(get, sure: bool):
     """Arrow batches of (id, text, rare) to sums over the pieces and the digest of their groups; ``rare`` has what is not broadcast."""
 
     def some(known, numbers, written, b: pa.RecordBatch) -> pa.RecordBatch:
@@ -284,13 +296,8 @@ def _assemble(get, sure: bool, step: int = 1 << 23):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, numbers, written = get()
-        for b in batches:
-            size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-            at, i = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
-            while i < b.num_rows:  # about ``step`` bytes of text at a time
-                j = max(i + 1, int(np.searchsorted(at, at[i] + step, side="right")) - 1)
-                yield some(known, numbers, written, b.slice(i, j - i))
-                i = j
+        for b in _slices(batches):
+            yield some(known, numbers, written, b)
 
     return run
 
