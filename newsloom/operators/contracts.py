@@ -123,4 +123,4 @@ def validation_notifications(report: DataFrame, critical: list[str] = CRITICAL)
     bad = report.where(F.col("artifact_key").isin(list(critical)) & ~F.col("valid"))
     title = F.concat(F.lit("Schema validation failed for critical artifact '"), "artifact_key", F.lit("'"))
     identity = F.concat_ws("|", "run_id", F.lit("SCHEMA-001"), "artifact_key", F.col("file_id").cast("string"))
-    return bad.select("run_id", F.concat(F.lit("notice_"), F.substring(F.sha1(identity), 1, 12)).alias("notification_id"), F.lit("warning").alias("severity"), F.lit("schema_validation").alias("stage"), F.lit("SCHEMA-001").alias("issue_id"), title.alias("title"), F.array_join("errors", "; ").alias("message"), F.array("artifact_key").alias("artifact_refs"))
+    return bad.select("run_id", F.concat(F.lit("notif_"), F.substring(F.sha1(identity), 1, 12)).alias("notification_id"), F.lit("warning").alias("severity"), F.lit("schema_validation").alias("stage"), F.lit("SCHEMA-001").alias("issue_id"), title.alias("title"), F.array_join("errors", "; ").alias("message"), F.array("artifact_key").alias("artifact_refs"))

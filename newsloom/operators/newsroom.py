@@ -162,16 +162,38 @@ def artifacts_by_stage(artifacts: DataFrame, stages: dict[str, list[str]]) -> Da
 
 
 # The forms of a notification's ids and its allowed values.
-SEVERITIES, STATES = ["info", "warning", "blocking"], ["open", "acknowledged", "resolved"]
+SEVERITIES, STATES = ["info", "warning", "needs_user_action", "blocking"], ["open", "acknowledged", "resolved"]
+
+
+def _shape(c: str) -> Column:
+    """The type of a column's JSON; VOID for none."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit("VOID"))
+
+
+def _told(items: Column, said: Column) -> Column:
+    """``said`` with the place of each item (kind, i) that is no text."""
+    return F.transform(F.filter(items, lambda x: x["kind"] != "STRING"), lambda x: F.concat(said, x["i"].cast("string"), F.lit("]")))
 
 
 def notification_issues(notifications: DataFrame, required: tuple[str, ...] = ("notification_id", "issue_id", "stage", "severity", "status", "title", "message")) -> DataFrame:
-    """(notification_id, issue): what breaks a notification's contract, a row for each. ``required`` columns may not be null."""
+    """(notification_id, issue): what breaks a notification's contract, a row for each. ``required`` columns may not be null.
+
+    Where there are columns suggested_actions, artifact_refs (JSON) and details (JSON), the first two have to be lists of
+    texts, by place, and the last an object; a null one is left out.
+    """
     blank = lambda c: fn.clean(F.col(c)) == ""
     found = fn.reasons(
         *((F.col(c).isNull(), f"missing:{c}") for c in required),
         (F.col("notification_id").isNotNull() & ~F.col("notification_id").rlike("^notif_[0-9a-f]{12}$"), "malformed:notification_id"), (F.col("severity").isNotNull() & ~F.col("severity").isin(SEVERITIES), "invalid:severity"),
         (F.col("status").isNotNull() & ~F.col("status").isin(STATES), "invalid:status"), (F.col("issue_id").isNotNull() & ~F.col("issue_id").rlike("^[A-Z]{2,5}-[0-9]{3,}$"), "malformed:issue_id"),
         *((F.col(c).isNotNull() & blank(c), f"blank:{c}") for c in ("stage", "title", "message")),
+        *((F.col(c).isNotNull() & ~_shape(c).startswith("ARRAY"), f"not_a_list:{c}") for c in ("suggested_actions", "artifact_refs") if c in notifications.columns),
+        *((F.col(c).isNotNull() & ~_shape(c).startswith("OBJECT"), f"not_an_object:{c}") for c in ("details",) if c in notifications.columns),
     )
+    for c in ("suggested_actions", "artifact_refs"):
+        if c in notifications.columns:
+            items = F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "array<variant>"), F.array().cast("array<variant>"))
+            told = F.lit(f"not_a_text:{c}[")
+            odd = F.transform(items, lambda v, i: F.struct(F.coalesce(F.schema_of_variant(v), F.lit("VOID")).alias("kind"), i.alias("i")))
+            found = F.concat(found, _told(odd, told))
     return notifications.select("notification_id", F.explode(found).alias("issue"))

@@ -128,10 +128,15 @@ def judgment_reasons(force_all: bool = False) -> Column:
 
 
 def judgment_requests(candidates: DataFrame, ordinal: str, limit: int = 20, force_all: bool = False) -> DataFrame:
-    """(request_id, ordinal, reasons) of the first ``limit`` candidates with a reason; the id is a digest of URL, title and place."""
-    held = candidates.withColumn("reasons", judgment_reasons(force_all)).where("size(reasons) > 0").withColumn("_all", F.lit(1))
-    ranked = top_per_group(held, "_all", [F.col(ordinal)], limit, "request_no")
-    raw = F.concat_ws("|", F.coalesce("url", F.lit("")), F.coalesce("title", F.lit("")), F.col("request_no").cast("string"))
+    """(request_id, ordinal, request_no, reasons) of the first ``limit`` candidates with a reason, one for each URL, or title where there is none.
+
+    ``ordinal`` is a candidate's place in the input, from 0; the id is a digest of URL, title and place.
+    """
+    held = candidates.withColumn("reasons", judgment_reasons(force_all)).where("size(reasons) > 0")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    once = held.groupBy(F.when(text("url") != "", text("url")).otherwise(text("title")).alias("_key")).agg(F.min(F.struct(F.col(ordinal), text("url").alias("url"), text("title").alias("title"), "reasons")).alias("c"))
+    ranked = top_per_group(once.select("c.*", F.lit(1).alias("_all")), "_all", [F.col(ordinal)], limit, "request_no")
+    raw = F.concat_ws("|", "url", "title", F.col(ordinal).cast("string"))
     return ranked.select(fn.short_hash(raw, "editorial_judgment_", 10).alias("request_id"), ordinal, "request_no", "reasons")
 
 

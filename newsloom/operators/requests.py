@@ -57,13 +57,17 @@ def compressed_queries(answers: DataFrame, max_chars: int = 24, max_spaces: int
     own = F.regexp_replace("request_id", "^query-compression-", "")
     return answers.select(
         F.when(object_, F.coalesce(F.nullif(j["source_request_id"], F.lit("")), own)).otherwise(own).alias("source_request_id"), F.when(object_, "parsed").otherwise("invalid_json").alias("parse_status"),
-        F.when(object_, F.slice(F.array_distinct(usable), 1, 3)).otherwise(F.array().cast("array<string>")).alias("queries"), F.when(object_, F.least(F.greatest(F.coalesce(j["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("confidence"),
+        F.when(object_, F.slice(F.array_distinct(usable), 1, 3)).otherwise(F.array().cast("array<string>")).alias("queries"), F.when(object_, F.least(F.greatest(F.coalesce(j["confidence"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("confidence"), *(["answer_no"] if "answer_no" in answers.columns else []),
     )
 
 
 def with_compressed_queries(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """Requests with the first query of their answer; query_source is llm_compressed, fallback, or null without an answer. Of answers to one request the last by request_id holds."""
-    of = compressed_queries(answers).groupBy("source_request_id").agg(F.max_by(F.struct("parse_status", "queries"), "parse_status").alias("_a"))
+    """Requests with the first query of their answer; query_source is llm_compressed, fallback, or null without an answer. 
+
+    Of answers to one request the last by answer_no holds where there is such a column, else a parsed one, the first by its text.
+    """
+    order = F.col("answer_no") if "answer_no" in answers.columns else F.struct(F.when(F.col("parse_status") == "parsed", 1).otherwise(0), F.hash("queries"), "confidence")
+    of = compressed_queries(answers).groupBy("source_request_id").agg(F.max_by(F.struct("parse_status", "queries"), order).alias("_a"))
     joined = requests.join(of, F.col("request_id") == F.col("source_request_id"), "left")
     chosen = F.when(F.col("_a.parse_status") == "parsed", F.try_element_at("_a.queries", F.lit(1)))
     out = joined.withColumns({"fallback_query": F.when(F.col("_a").isNotNull(), F.col("query")), "query_source": F.when(F.col("_a").isNull(), None).when(chosen.isNotNull(), "llm_compressed").otherwise("fallback")})
@@ -78,8 +82,14 @@ def with_relevance(results: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def verification_requests(claims: DataFrame, packs: DataFrame, max_evidence: int = 5) -> DataFrame:
-    """(request_id, claim_id, text, rule_check_status, evidence): each claim with the evidence of its pack, ``max_evidence`` at most."""
-    joined = claims.join(packs.select(F.col("candidate_id").alias("claim_id"), "evidence"), "claim_id", "left")
+    """(request_id, claim_id, text, rule_check_status, evidence): each claim with the evidence of its pack, else its own, ``max_evidence`` at most.
+
+    The request is named after the claim, so that several claims of a story have one each; after its story or text without an id.
+    """
+    own = "evidence" in claims.columns
+    joined = claims.withColumnRenamed("evidence", "_own").join(packs.select(F.col("candidate_id").alias("claim_id"), "evidence"), "claim_id", "left")
+    if own:
+        joined = joined.withColumn("evidence", F.when(F.size(F.coalesce("evidence", F.array().cast(packs.schema["evidence"].dataType))) > 0, F.col("evidence")).otherwise(F.col("_own")))
     return joined.select(
-        F.coalesce(*(F.nullif(fn.clean(F.col(c).cast("string")), F.lit("")) for c in ("story_id", "claim_id", "text")), F.lit("")).alias("request_id"), "claim_id", "text", F.col("check_status").alias("rule_check_status"), F.slice("evidence", 1, max_evidence).alias("evidence"),
+        F.coalesce(*(F.nullif(fn.clean(F.col(c).cast("string")), F.lit("")) for c in ("claim_id", "story_id", "text")), F.lit("")).alias("request_id"), "claim_id", "text", F.col("check_status").alias("rule_check_status"), F.slice("evidence", 1, max_evidence).alias("evidence"),
     )

@@ -68,8 +68,8 @@ def parsed_verdicts(df: DataFrame, response: str) -> DataFrame:
 
 
 def applied_verdicts(verifications: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rule verifications with the parsed verdict of their request in place of status and confidence."""
-    v = verdicts.where("parse_status = 'parsed'").groupBy("request_id").agg(F.max_by(F.struct("check_status", "confidence"), "confidence").alias("_v"))
+    """Rule verifications with the parsed verdict of their request in place of status and confidence: of several the surest, of equal ones the first status by name."""
+    v = verdicts.where("parse_status = 'parsed'").groupBy("request_id").agg(F.min(F.struct((-F.col("confidence")).alias("_o"), "check_status", "confidence")).alias("_v"))
     j = verifications.join(v, "request_id", "left")
     return j.withColumns({"check_status": F.coalesce("_v.check_status", "check_status"), "confidence": F.coalesce("_v.confidence", "confidence"), "verified_by": F.when(F.col("_v").isNotNull(), "model").otherwise("rules")}).drop("_v")
 

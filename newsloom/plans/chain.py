@@ -116,7 +116,7 @@ def news_game_links(spark, d):
 
 
 def game_event_timeline(spark, d):
-    """Events of the 90 days before a date, with their news items in order."""
+    """Events of the 900 days before a date, with their news items in order."""
     stories, items = _stories(spark, d), _news_items(spark, d)
     found = event_store.event_timeline(event_store.events(stories), event_store.news_links(stories, items), items, F.lit("1998-08-03").cast("timestamp"), 900)
     return found.select("event_id", F.date_format("started_at", "yyyy-MM-dd").alias("started"), F.array_join(F.transform("news_items", lambda x: x["title"]), ",").alias("news"))
@@ -442,8 +442,9 @@ SELECT o AS ordinal, CASE WHEN p IS NULL THEN NULL WHEN better THEN 'promoted' E
  CASE WHEN better THEN CASE WHEN s >= 70 THEN 'trending' WHEN s >= 35 THEN 'discussed' ELSE 'weak' END ELSE 'weak' END AS discussion_level FROM b"""
 JUDGMENT = f"""WITH {_PC}, r AS (SELECT o, url, title, array_to_string(list_filter([CASE WHEN kind IN ('general_tech', 'manual_review') THEN 'ambiguous_candidate_type:' || kind END, CASE WHEN lane = 1 THEN 'supplemental_lane' END,
   CASE WHEN score >= 25 AND kind <> 'news' THEN 'social_heat_needs_game_relevance_check' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pc),
-n AS (SELECT *, row_number() OVER (ORDER BY o) AS request_no FROM r WHERE reasons <> '' QUALIFY request_no <= 30)
-SELECT 'editorial_judgment_' || substr(sha1(coalesce(url, '') || '|' || title || '|' || request_no), 1, 10) AS request_id, o AS ordinal, request_no, reasons FROM n"""
+u AS (SELECT * FROM r WHERE reasons <> '' QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(url, ''), title) ORDER BY o) = 1),
+n AS (SELECT *, row_number() OVER (ORDER BY o) AS request_no FROM u QUALIFY request_no <= 30)
+SELECT 'editorial_judgment_' || substr(sha1(coalesce(url, '') || '|' || title || '|' || o), 1, 10) AS request_id, o AS ordinal, request_no, reasons FROM n"""
 _DG = """dg AS (SELECT p_partkey AS n, p_partkey % 13 AS c, p_partkey % 2 AS raw, p_partkey % 4 AS e, p_partkey % 200 AS l, p_partkey % 7 AS mt, p_partkey % 6 AS du, p_partkey % 50 AS ir, p_partkey % 3 AS mr, p_partkey % 5 AS rm, p_partkey % 9 AS pw,
   [5, 3, 8][p_partkey % 3 + 1] AS least FROM part)"""
 RECOVERY = f"""WITH {_DG}, i AS (SELECT n, 'entry_broken' AS issue_type, 'errors_without_candidates' AS why FROM dg WHERE e >= 2 AND c = 0 UNION ALL SELECT n, 'network_persistent', 'source_blocked' FROM dg WHERE n % 4 = 3

@@ -253,3 +253,54 @@ def test_replacements_equal_a_plain_loop(spark):
 def test_listing_times(text, want):
     assert NOW - listing.time_in(text, NOW) == want
     assert listing.time_in("2024-13-41 99:00", NOW) is None
+
+
+def test_trace_is_recorded_once(spark, tmp_path):
+    """Events keep their numbers when a batch is replayed after later ones; decisions are one row each."""
+    from newsloom.streaming import trace
+
+    at = lambda h: datetime(2024, 1, 1, h)
+    schema = "run_id string, event_type string, created_at timestamp, event_no long, details map<string,string>"
+    one = spark.createDataFrame([("r", "run_started", at(0), 0, None), ("r", "node", at(1), 2, {"k": "v"}), ("r", "node", at(1), 1, {}), ("s", "run_started", at(0), 0, None)], schema)
+    two = spark.createDataFrame([("r", "run_done", at(2), 0, None)], schema)
+    path = str(tmp_path / "events")
+    write = trace.event_sink(path)
+    for batch, no in ((one, 0), (two, 1), (one, 0), (two, 1)):
+        write(batch, no)
+    got = sorted((r.run_id, r.event_id, r.event_type, r.details) for r in spark.read.parquet(path).collect())
+    assert got == [("r", "evt_00001", "run_started", "{}"), ("r", "evt_00002", "node", "{}"), ("r", "evt_00003", "node", '{"k":"v"}'), ("r", "evt_00004", "run_done", "{}"), ("s", "evt_00001", "run_started", "{}")]
+    decisions = spark.createDataFrame([("r", "rank", "keep", None, {"a": "1"}, None, None)] * 2, "run_id string, stage string, decision_type string, input_artifact_refs array<string>, output_decision map<string,string>, model_used string, prompt_version string")
+    log = trace.decision_sink(str(tmp_path / "decisions"), F.lit("2024"))
+    log(decisions, 3)
+    log(decisions, 3)
+    assert [(r.stage, r.output_decision, r.batch_id) for r in spark.read.parquet(str(tmp_path / "decisions")).collect()] == [("rank", '{"a":"1"}', 3)]
+
+
+def test_notifications_with_lists(spark):
+    from newsloom.operators import newsroom
+
+    row = lambda i, severity, actions, details: (f"notif_{i:012x}", "RUN-006", "s", severity, "open", "t", "m", actions, details)
+    rows = [row(1, "needs_user_action", '["do"]', "{}"), row(2, "odd", '["do", 5, null]', "[]"), row(3, "info", '"do"', None), row(4, "info", None, "x")]
+    df = spark.createDataFrame(rows, "notification_id string, issue_id string, stage string, severity string, status string, title string, message string, suggested_actions string, details string")
+    got = sorted((int(r.notification_id[-1]), r.issue) for r in newsroom.notification_issues(df).collect())
+    assert got == [(2, "invalid:severity"), (2, "not_a_text:suggested_actions[1]"), (2, "not_a_text:suggested_actions[2]"), (2, "not_an_object:details"), (3, "not_a_list:suggested_actions"), (4, "not_an_object:details")]
+
+
+def test_requests_are_one_for_each_claim_and_url(spark):
+    from newsloom.operators import probes, requests, review
+
+    cands = spark.createDataFrame([(0, "u", "a", "general_tech"), (1, "u", "b", "general_tech"), (2, "", "c", "manual_review"), (3, None, "c", "manual_review"), (4, "v", "d", "news")], "ordinal long, url string, title string, candidate_type string")
+    cands = cands.selectExpr("*", "'' AS snippet", "'main' AS candidate_lane", "0.0D AS discussion_score")
+    assert [(r.ordinal, r.request_no) for r in probes.judgment_requests(cands, "ordinal").orderBy("ordinal").collect()] == [(0, 1), (2, 2)]
+    evidence = "array<struct<chunk_id:string>>"
+    claims = spark.createDataFrame([("c1", "s", "t", "likely", [("own",)]), ("c2", "s", "t", "likely", [("own",)]), (None, "s", "t", "rumor", None)], f"claim_id string, story_id string, text string, check_status string, evidence {evidence}")
+    packs_ = spark.createDataFrame([("c1", [("pack",)]), ("c2", [])], f"candidate_id string, evidence {evidence}")
+    got = sorted((r.request_id, [e.chunk_id for e in r.evidence or []]) for r in requests.verification_requests(claims, packs_).collect())
+    assert got == [("c1", ["pack"]), ("c2", ["own"]), ("s", [])]
+    answers = spark.createDataFrame([(1, "query-compression-r", '{"queries": ["old"]}'), (2, "query-compression-r", "broken")], "answer_no int, request_id string, raw_response string")
+    asked = spark.createDataFrame([("r", "long query")], "request_id string, query string")
+    assert [r.query_source for r in requests.with_compressed_queries(asked, answers).collect()] == ["fallback"]
+    assert [r.query for r in requests.with_compressed_queries(asked, answers.drop("answer_no")).collect()] == ["old"]
+    verdicts = spark.createDataFrame([("a", "parsed", "rumor", 0.5), ("a", "parsed", "likely", 0.5)], "request_id string, parse_status string, check_status string, confidence double")
+    rules = spark.createDataFrame([("a", "reject", 0.1)], "request_id string, check_status string, confidence double")
+    assert [r.check_status for r in review.applied_verdicts(rules, verdicts).collect()] == ["likely"]
