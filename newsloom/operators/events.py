@@ -27,6 +27,7 @@ EVENT_TYPES = {
     "release_or_launch": "发售|解锁|预载|上线|推出|登陆|launch|已登陆|即将登陆",
     "development": r"开发|制作人|主创|工作室|团队|开发进展|\b(developer|studio update)\b",
 }
+CORRECTIONS = ["更正", "纠正", "修正", "澄清", "辟谣", "correction", "correct", "clarify"]
 TYPE_EVENTS = {"rumor": "leak_or_rumor", "review_score": "review_or_score", "platform_price": "price_or_market"}
 # Keywords of event types of past items; several may hold.
 HISTORY_TYPES = {
@@ -94,6 +95,50 @@ def timeline(items: DataFrame, key: list[str], ts: str, ordinal: str) -> DataFra
     return items.withColumn("entry_label", label)
 
 
+def cluster_timelines(clusters: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(timelines, entries) of story clusters with their claims: clusters of the same entities and event type are one event.
+
+    Clusters have story_cluster_id, canonical_title, entity_signatures, source_urls, candidate_count and
+    may lack, or have null, candidate_type, observed_at, published_at, heat_score, discussion_score and
+    tags; those then come from the first claim (by claim_no) of the story. Claims have story_id, claim_no
+    and those fields. A cluster without a time stands first, as at 2000-01-01; ties by cluster id. An
+    event's rows meet in windows by event key, which hold the clusters of one set of entities.
+    """
+    fields = {"candidate_type": "string", "observed_at": "timestamp", "published_at": "timestamp", "heat_score": "double", "discussion_score": "double", "tags": "array<string>"}
+    typed = lambda df: df.withColumns({c: F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t) for c, t in fields.items()})
+    told = typed(claims).where(fn.clean(F.col("story_id")) != "").groupBy(F.col("story_id").alias("story_cluster_id")).agg(F.count(F.lit(1)).alias("claim_count"), F.min_by(F.struct(*fields), F.struct("claim_no", "claim_id")).alias("_m"))
+    named = [c for c in ("title", "snippet", "game_title") if c in clusters.columns]
+    rows = typed(clusters).join(told, "story_cluster_id", "left")
+    empty = {"string": lambda x: F.nullif(x, F.lit("")), "double": lambda x: F.nullif(x, F.lit(0.0)), "array<string>": lambda x: F.when(F.size(x) > 0, x), "timestamp": lambda x: x}
+    rows = rows.withColumns({c: F.coalesce(empty[t](F.col(c)), F.col(f"_m.{c}")) for c, t in fields.items()}).withColumn("claim_count", F.coalesce("claim_count", F.lit(0)))
+    rows = rows.withColumns({"candidate_type": F.coalesce("candidate_type", F.lit("news")), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
+    text = F.concat_ws(" ", *named, "canonical_title", "candidate_type")
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("entity_signatures", F.array().cast("array<string>")), lambda e: F.lower(F.trim(e))), lambda e: e != "")))
+    rows = rows.withColumns({"event_type": event_type(text, F.col("candidate_type")), "_names": names})
+    key = F.concat(F.lit("ev:"), F.when(F.size("_names") > 0, F.substring(F.sha1(F.array_join("_names", "|").cast("binary")), 1, 16)).otherwise("no_entity"), F.lit(":"), "event_type")
+    low = F.lower(F.coalesce("canonical_title", F.lit("")))
+    corrected = fn.any_contained(CORRECTIONS, low) | (F.size(F.array_intersect(F.transform("tags", F.lower), F.array(*map(F.lit, CORRECTIONS)))) > 0)
+    rows = rows.withColumns({"event_key": key, "at": F.coalesce("observed_at", "published_at"), "is_correction": corrected})
+    order = W.partitionBy("event_key").orderBy(F.coalesce("at", F.lit("2000-01-01 00:00:00").cast("timestamp")), "story_cluster_id")
+    rows = rows.withColumn("chronological_index", (F.row_number().over(order) - 1).cast("int"))
+    label = fn.first_match([
+        (F.col("is_correction"), "correction"), (F.col("chronological_index") == 0, "initial_report"), ((F.col("event_type") == "confirmed_report") & (F.col("candidate_type") == "news"), "official_confirmation"), (F.col("event_type") == "community_reaction", "reaction"),
+    ], "new_detail")
+    entries = rows.withColumn("event_label", label).select(
+        fn.short_hash(F.col("event_key")).alias("event_id"), "event_key", "story_cluster_id", "chronological_index", "event_label", "canonical_title", "entity_signatures", "source_urls", "candidate_count", "candidate_type", "event_type", "observed_at", "published_at",
+        F.coalesce("heat_score", F.lit(0.0)).alias("heat_score"), F.coalesce("discussion_score", F.lit(0.0)).alias("discussion_score"), "claim_count", "is_correction", "at",
+    )
+    first = F.struct("chronological_index", "entity_signatures")
+    g = entries.groupBy("event_id", "event_key").agg(
+        F.count(F.lit(1)).alias("entry_count"), F.min_by("at", "chronological_index").alias("started_at"), F.max_by("at", "chronological_index").alias("last_updated_at"), F.min(first).alias("_f"), F.first("event_type").alias("event_type"), F.bool_or("is_correction").alias("has_correction")
+    )
+    official = F.col("event_type") == "confirmed_report"
+    two = F.array_join(F.slice(F.array_distinct(F.coalesce("_f.entity_signatures", F.array().cast("array<string>"))), 1, 2), " / ")
+    label_ = F.concat(F.when(two == "", F.lit("未识别游戏")).otherwise(two), F.when(official, F.lit(" — 官方动态时间线")).otherwise(F.lit(" — 事件时间线")))
+    timelines = g.select("event_id", "event_key", label_.alias("timeline_label"), "started_at", "last_updated_at", "entry_count", official.alias("has_official_confirmation"), (F.col("event_type") == "community_reaction").alias("has_community_reaction"), "has_correction", "event_type")
+    return timelines, entries.drop("is_correction", "at")
+
+
 def year_gaps(items: DataFrame, key: str, year: str, current_year: int, least: int = 2) -> DataFrame:
     """(key, pattern, from_year, to_year): first_since_year to now, resumed_after_gap between years that follow."""
     years = items.where(F.col(key).isNotNull() & F.col(year).isNotNull()).select(key, F.col(year).alias("y")).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
-from newsloom.operators import contracts, evidence, heat, matching
+from newsloom.operators import contracts, events, evidence, heat, matching, quality
 from newsloom.operators.fulltext import FullTextIndex
 from newsloom.plans.news_sql import _canon, _norm, _words
 from newsloom.sources import landed, listing
@@ -309,8 +309,94 @@ r AS (SELECT *, row_number() OVER (PARTITION BY want ORDER BY heat DESC, page_id
 SELECT doc_id AS story_id, rank, page_id AS candidate_no FROM documents JOIN r ON coalesce(trim(lang), '') = want WHERE rank <= 8"""
 
 
+# Quality of a run, timelines of its story clusters
+
+
+def _quality(spark, d):
+    """Events as candidates, customers as stories of their nation, suppliers as posts, nations as sources by their region."""
+    e, c, s = _t(spark, d, "events"), _t(spark, d, "customer"), _t(spark, d, "supplier")
+    kind = lambda k: e.where(F.col("event_type") == k)
+    status = F.element_at(F.array(*(F.lit(x) for x in ("healthy", "healthy", "needs_fill", "source_blocked", "source_broken"))), (F.col("n_regionkey") + 1).cast("int"))
+    return quality.metrics({
+        "candidates": kind("view").select(F.col("user_id").alias("source_id"), (F.col("value") > 5).alias("has_heat"), (F.col("value") > 12).alias("has_discussion")), "supplemental": kind("click"), "rejected": kind("error"), "documents": _t(spark, d, "documents"),
+        "verifications": _t(spark, d, "labels"), "stories": c.select(F.array(F.concat(F.lit("https://www.n"), "c_nationkey", F.lit(".example/x"))).alias("source_urls"), (F.col("c_acctbal") < 0).alias("has_rumor")),
+        "posts": s.select(F.lit(False).alias("has_rumor"), F.when(F.col("s_acctbal") < 0, "manual_fill_required").alias("asset_status")), "llm_requests": _t(spark, d, "part"), "llm_results": _t(spark, d, "nation"), "health": _t(spark, d, "nation").select(status.alias("status")),
+    })
+
+
+def content_quality_report(spark, d):
+    return quality.report(_quality(spark, d)).withColumn("issues", F.array_join("issues", ","))
+
+
+def content_quality_stages(spark, d):
+    """Each stage's score and status with its criteria, in order of their names."""
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("criteria")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return quality.stage_scores(_quality(spark, d)).withColumn("criteria", shown)
+
+
+_Q = """m AS (SELECT (SELECT count(*) FROM events WHERE event_type = 'view') AS cand, (SELECT count(*) FROM events WHERE event_type = 'click') + (SELECT count(*) FROM events WHERE event_type = 'error') AS lanes, (SELECT count(*) FROM documents) AS docs,
+  (SELECT count(*) FROM labels) AS ver, (SELECT count(*) FROM customer) AS st, (SELECT count(*) FROM supplier) AS posts, (SELECT count(*) FROM part) AS req, (SELECT count(*) FROM nation) AS res,
+  (SELECT round(count(*) FILTER (value > 12) / count(*), 4) FROM events WHERE event_type = 'view') AS disc, (SELECT round(max(n) / sum(n), 4) FROM (SELECT count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id)) AS cshare,
+  (SELECT round(max(n) / sum(n), 4) FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)) AS sshare, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS rumors, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS manual,
+  (SELECT count(*) FILTER (n_regionkey < 2) FROM nation) AS ok, (SELECT count(*) FILTER (n_regionkey = 2) FROM nation) AS fill, (SELECT count(*) FILTER (n_regionkey > 2) FROM nation) AS bad),
+k AS (SELECT *, round(docs / cand, 4) AS cover, round(manual / posts, 4) AS mratio, ok + fill + bad AS src FROM m),
+c(stage, criterion, raw, weight) AS (
+  SELECT 'source_collection', 'healthy_source_ratio', ok / src * 100, 0.7 FROM k UNION ALL SELECT 'source_collection', 'blocked_source_penalty', (1 - bad / src) * 100, 0.2 FROM k UNION ALL SELECT 'source_collection', 'manual_fill_penalty', (1 - fill / src) * 100, 0.1 FROM k
+  UNION ALL SELECT 'candidate_filtering', 'candidate_volume', least(100, cand * 10), 0.25 FROM k UNION ALL SELECT 'candidate_filtering', 'source_diversity', (1 - cshare) * 100, 0.35 FROM k UNION ALL SELECT 'candidate_filtering', 'lane_separation', CASE WHEN lanes > 0 THEN 100 ELSE 60 END, 0.2 FROM k
+  UNION ALL SELECT 'candidate_filtering', 'discussion_signal_support', disc * 100, 0.2 FROM k UNION ALL SELECT 'evidence_fetch', 'document_coverage', cover * 100, 0.65 FROM k UNION ALL SELECT 'evidence_fetch', 'minimum_evidence_depth', least(100, docs * 12), 0.35 FROM k
+  UNION ALL SELECT 'claim_verification', 'rule_verification_coverage', 100, 0.35 FROM k UNION ALL SELECT 'claim_verification', 'llm_or_manual_coverage', res / req * 100, 0.45 FROM k UNION ALL SELECT 'claim_verification', 'rumor_safety', CASE WHEN rumors > 0 AND res = 0 THEN 0 ELSE 100 END, 0.2 FROM k
+  UNION ALL SELECT 'story_selection', 'story_volume', least(100, st * 25), 0.35 FROM k UNION ALL SELECT 'story_selection', 'story_source_diversity', (1 - sshare) * 100, 0.45 FROM k UNION ALL SELECT 'story_selection', 'briefing_focus', CASE WHEN st <= 8 THEN 80 ELSE 60 END, 0.2 FROM k
+  UNION ALL SELECT 'platform_packaging', 'copy_coverage', least(1.0, posts / st) * 100, 0.45 FROM k UNION ALL SELECT 'platform_packaging', 'asset_readiness', (1 - mratio) * 100, 0.35 FROM k UNION ALL SELECT 'platform_packaging', 'reviewability', 85, 0.2 FROM k),
+x AS (SELECT stage, criterion, least(greatest(round_even(raw::DOUBLE, 0), 0), 100)::INT AS score, weight::DOUBLE AS weight FROM c),
+s AS (SELECT stage, CASE WHEN stage = 'evidence_fetch' AND (SELECT docs FROM k) >= 5 THEN greatest(60, v) ELSE v END AS score, criteria FROM (SELECT stage, least(greatest(round_even(sum(score * weight) / sum(weight), 0), 0), 100)::INT AS v, string_agg(criterion || '=' || score, ',' ORDER BY criterion) AS criteria FROM x GROUP BY 1))"""
+QUALITY_STAGES = f"WITH {_Q} SELECT stage, score, CASE WHEN score >= 85 THEN 'pass' WHEN score >= 60 THEN 'needs_review' ELSE 'blocked' END AS status, criteria FROM s"
+QUALITY_REPORT = f"""WITH {_Q}, o AS (SELECT max(score) FILTER (stage = 'source_collection') AS source_collection, max(score) FILTER (stage = 'candidate_filtering') AS candidate_filtering, max(score) FILTER (stage = 'evidence_fetch') AS evidence_fetch,
+  max(score) FILTER (stage = 'claim_verification') AS claim_verification, max(score) FILTER (stage = 'story_selection') AS story_selection, max(score) FILTER (stage = 'platform_packaging') AS platform_packaging FROM s),
+i AS (SELECT list_filter([CASE WHEN ok = 0 AND bad > 0 THEN 'source_collection_blocked' END, CASE WHEN cand >= 4 AND disc < 0.4 THEN 'low_discussion_signal_coverage' END, CASE WHEN st >= 3 AND sshare >= 0.67 THEN 'single_source_story_dominance' END,
+  CASE WHEN docs < least(cand, 5) THEN 'limited_document_fetch' END, CASE WHEN manual = posts THEN 'manual_assets_required' END], lambda v: v IS NOT NULL) AS codes FROM k),
+t AS (SELECT *, least(greatest(round_even(source_collection * 0.15::DOUBLE + candidate_filtering * 0.15::DOUBLE + evidence_fetch * 0.2::DOUBLE + claim_verification * 0.25::DOUBLE + story_selection * 0.15::DOUBLE + platform_packaging * 0.1::DOUBLE, 0), 0), 100)::INT AS overall_score FROM o, i)
+SELECT CASE WHEN list_contains(codes, 'source_collection_blocked') THEN 'blocked' WHEN len(codes) > 0 THEN 'needs_review' ELSE 'pass' END AS gate_status, overall_score,
+  CASE WHEN list_contains(codes, 'source_collection_blocked') THEN 'blocked' WHEN len(codes) = 0 AND overall_score >= 85 THEN 'ready_for_layout' ELSE 'ready_for_content_review' END AS readiness, array_to_string(codes, ',') AS issues,
+  source_collection, candidate_filtering, evidence_fetch, claim_verification, story_selection, platform_packaging FROM t"""
+
+
+def _clusters(spark, d):
+    """Documents as story clusters about their source, labels as their claims."""
+    docs = _t(spark, d, "documents")
+    identity = F.concat(F.lit("story_"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    clusters = docs.select(identity.alias("story_cluster_id"), F.element_at(F.split("text", "\n"), 1).alias("canonical_title"), F.array(F.upper("source")).alias("entity_signatures"), F.array("source").alias("source_urls"), F.lit(1).alias("candidate_count"))
+    kind = F.when(F.col("toxic") == 1, "rumor").when(F.col("quality") == 1, "news").otherwise("review_score")
+    claims = _t(spark, d, "labels").join(docs, "doc_id").select(identity.alias("story_id"), F.col("doc_id").alias("claim_no"), F.col("doc_id").cast("string").alias("claim_id"), kind.alias("candidate_type"), F.timestamp_seconds(1_700_000_000 + F.col("n_chars")).alias("published_at"))
+    return clusters, claims
+
+
+def cluster_timelines(spark, d):
+    t = events.cluster_timelines(*_clusters(spark, d))[0]
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return t.select("event_id", "event_key", "timeline_label", shown("started_at"), shown("last_updated_at"), "entry_count", "has_official_confirmation", "has_community_reaction", "has_correction")
+
+
+def timeline_entries(spark, d):
+    return events.cluster_timelines(*_clusters(spark, d))[1].select("event_id", "story_cluster_id", "chronological_index", "event_label", "event_type", "candidate_type", "claim_count")
+
+
+_TYPES = " ".join(f"WHEN regexp_matches(txt, '{p}', 'i') THEN '{name}'" for name, p in events.EVENT_TYPES.items())
+_CORRECTED = _any(events.CORRECTIONS, "lower(coalesce(title, ''))")
+_TL = f"""l AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'rumor' WHEN quality = 1 THEN 'news' ELSE 'review_score' END AS kind, n_chars FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT 'story_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS sid, string_split(text, chr(10))[1] AS title, source, coalesce(kind, 'news') AS kind, CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS claims, TIMESTAMP '2023-11-14 22:13:20' + to_seconds(l.n_chars) AS tm FROM documents d LEFT JOIN l USING (doc_id)),
+t AS (SELECT *, concat_ws(' ', title, kind) AS txt FROM r),
+y AS (SELECT *, CASE {_TYPES} WHEN kind = 'rumor' THEN 'leak_or_rumor' WHEN kind = 'review_score' THEN 'review_or_score' WHEN kind = 'platform_price' THEN 'price_or_market' ELSE 'general_news' END AS et, {_CORRECTED} AS fixed FROM t),
+k AS (SELECT *, 'ev:' || CASE WHEN source IS NULL THEN 'no_entity' ELSE substr(sha1(lower(source)), 1, 16) END || ':' || et AS event_key FROM y),
+o AS (SELECT *, substr(sha1(event_key), 1, 12) AS event_id, CAST(row_number() OVER (PARTITION BY event_key ORDER BY coalesce(tm, TIMESTAMP '2000-01-01'), sid) - 1 AS INT) AS i FROM k)"""
+TIMELINE_ENTRIES = f"""WITH {_TL} SELECT event_id, sid AS story_cluster_id, i AS chronological_index, CASE WHEN fixed THEN 'correction' WHEN i = 0 THEN 'initial_report' WHEN et = 'confirmed_report' AND kind = 'news' THEN 'official_confirmation' WHEN et = 'community_reaction' THEN 'reaction' ELSE 'new_detail' END AS event_label,
+  et AS event_type, kind AS candidate_type, claims AS claim_count FROM o"""
+TIMELINES = f"""WITH {_TL} SELECT event_id, event_key, CASE WHEN arg_min(source, i) IS NULL THEN '未识别游戏' ELSE upper(arg_min(source, i)) END || CASE WHEN any_value(et) = 'confirmed_report' THEN ' — 官方动态时间线' ELSE ' — 事件时间线' END AS timeline_label,
+  strftime((array_agg(tm ORDER BY i))[1], '%Y-%m-%d %H:%M:%S') AS started_at, strftime((array_agg(tm ORDER BY i))[-1], '%Y-%m-%d %H:%M:%S') AS last_updated_at, count(*) AS entry_count, any_value(et) = 'confirmed_report' AS has_official_confirmation, any_value(et) = 'community_reaction' AS has_community_reaction, bool_or(fixed) AS has_correction FROM o GROUP BY event_id, event_key"""
+
+
 ORACLE_SQL = {
     "fulltext_search": FULLTEXT, "fulltext_by_section": FULLTEXT_SECTION, "listing_links": LISTING_LINKS, "listing_diagnostics": LISTING_DIAGNOSTICS, "collected_sources": COLLECTED, "schema_report": SCHEMA_REPORT, "heat_observations": HEAT_OBSERVATIONS,
     "heat_summary": HEAT_SUMMARY, "historical_matches": HISTORICAL, "story_packs": STORY_PACKS, "theme_replacements": REPLACEMENTS,
+    "content_quality_report": QUALITY_REPORT, "content_quality_stages": QUALITY_STAGES, "cluster_timelines": TIMELINES, "timeline_entries": TIMELINE_ENTRIES,
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
