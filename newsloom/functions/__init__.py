@@ -115,6 +115,11 @@ def url_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == "") | (url_host(a) != url_host(b)), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(same_host)
 
 
+def quote_plus(text: Column) -> Column:
+    """URL encoding as of a form: letters, digits and _.-~ stay, a space becomes +."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def short_hash(text: Column, prefix: str = "", n: int = 12) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha1(text.cast("binary")), 1, n))
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
-from newsloom.operators.selection import top_per_group
+from newsloom.operators.selection import round_robin, top_per_group
+from newsloom.operators.social import SEARCH_URLS
 
 # Names of events, those that name none, and words of new content.
 EVENT_NAMES = {
@@ -22,6 +23,73 @@ NEW_CONTENT = ["announced", "reveal", "reveals", "revealed", "new trailer", "rel
 COMPRESSED_METHODS = ["candidate_followup", "event_burst", "new_content_watch"]
 REJECTED_RELEVANCE = ["reject"]
 
+# Methods in order, themes in order with their seeds and the number that fills them, templates, and what candidates' titles are searched with.
+METHODS = ["theme_gap", "event_burst", "candidate_followup", "new_content_watch"]
+THEME_SEEDS = {
+    "nintendo": ["Switch 2 玩家 热议", "任天堂 新作 曝光 玩家反馈", "Switch 2 涨价 争议"], "sony": ["PlayStation PS5 玩家 热议", "索尼 游戏 争议 玩家", "PS5 新作 爆料 玩家讨论"], "microsoft": ["Xbox 玩家 热议", "微软 游戏 独占 争议", "Game Pass 新作 玩家讨论"],
+    "pc": ["Steam 新作 玩家 热议", "PC 游戏 争议 评论区", "Steam 差评 玩家讨论"], "supplemental": ["游戏 梗图 玩家 离谱操作", "游戏 聊天截图 热议", "玩家 操作 笑疯 转发"],
+}
+THEME_TARGET = 20
+BURST_TEMPLATES = [
+    ("pc", "{} new games trailer release date discussion"), ("microsoft", "Xbox {} new games player reactions"), ("sony", "PlayStation {} new games player reactions"), ("nintendo", "Nintendo {} new games player reactions"), ("supplemental", "{} memes player reactions"),
+]
+WATCH_TEMPLATES = [
+    ("pc", "{} new game announced trailer player discussion"), ("microsoft", "{} Xbox new game reveal player discussion"), ("sony", "{} PlayStation new game reveal player discussion"), ("nintendo", "{} Nintendo new game reveal player discussion"), ("supplemental", "{} game showcase memes player reactions"),
+]
+DISCUSSION_WORDS = "玩家讨论 热议"
+PLATFORMS = ["bilibili", "weibo"]
+
+
+def query_text(text: Column, most: int = 96) -> Column:
+    """Without URLs and brackets, white space collapsed, cut at the last space within ``most`` characters."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://\S+", " "), r"[\[\]{}()|<>]", " ")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    cut = F.substring(t, 1, most)
+    whole = F.trim(F.regexp_replace(cut, r" [^ ]*$", ""))
+    return F.when(F.length(t) <= most, t).otherwise(F.when(whole != "", whole).otherwise(F.trim(cut)))
+
+
+def search_targets(query: Column, platforms: list[str] = PLATFORMS) -> Column:
+    """An array of (platform, query, url, access) for a query."""
+    url = lambda p: F.replace(F.lit(SEARCH_URLS[p]), F.lit("{}"), fn.quote_plus(query)) if p in ("bilibili", "weibo", "reddit", "steam") else F.lit("")
+    access = lambda p: F.lit("public_search_page" if p in ("bilibili", "weibo", "reddit", "steam") else "manual_or_api_required")
+    return F.array(*(F.struct(F.lit(p).alias("platform"), query.alias("query"), url(p).alias("url"), access(p).alias("access")) for p in platforms))
+
+
+def expansion_requests(topic: str, theme_counts: DataFrame, candidates: DataFrame, ordinal: str, methods: list[str] = METHODS, limit: int = 10, platforms: list[str] = PLATFORMS) -> DataFrame:
+    """(request_id, request_no, method, theme_section, query, usage_policy, quota_policy, source_candidate_url, source_candidate_title, search_targets): ``limit`` searches, in turn from the methods.
+
+    theme_gap asks the seeds of the themes with the fewest candidates (theme, n) first; event_burst and
+    new_content_watch ask for the event that candidates speak of; candidate_followup for what is said
+    about the first candidates with title and URL. A query stands once, whatever its case.
+    """
+    spark = theme_counts.sparkSession
+    seeds = spark.createDataFrame([(t, i, j, q) for i, (t, qs) in enumerate(THEME_SEEDS.items()) for j, q in enumerate(qs)], "theme_section string, theme_no int, seed_no int, seed string")
+    n = theme_counts.groupBy(F.col("theme").alias("theme_section")).agg(F.sum("n").alias("n"))
+    counted = seeds.join(n, "theme_section", "left").withColumn("n", F.coalesce("n", F.lit(0)))  # a row for each seed
+    gap = F.concat(F.col("seed"), F.lit(f" {topic}")) if topic and topic.lower() != "games" else F.col("seed")
+    none = F.lit(None).cast("string")
+    row = lambda df, method, at, query, policy, quota=none, url=none, title=none: df.select(F.lit(method).alias("method"), F.lit(METHODS.index(method) if method not in methods else methods.index(method)).alias("pos"), at.alias("at"), "theme_section", query.alias("query"), F.lit(policy).alias("usage_policy"), quota.alias("quota_policy"), url.alias("source_candidate_url"), title.alias("source_candidate_title"))
+    place = F.concat_ws(".", *(F.lpad(F.col(f"o.{c}").cast("string"), 12, "0") for c in ("seed_no", "full", "n", "theme_no")))
+    parts = [row(counted.withColumn("o", F.struct("seed_no", (F.col("n") >= THEME_TARGET).cast("int").alias("full"), "n", "theme_no")), "theme_gap", place, gap, "low_frequency_search_expansion")]
+    context = event_context(candidates, ordinal).where("active").select(F.coalesce(F.nullif(F.trim("event_name"), F.lit("")), F.lit("game showcase")).alias("name"))
+    for method, templates, policy in (("event_burst", BURST_TEMPLATES, "event_burst_search_expansion"), ("new_content_watch", WATCH_TEMPLATES, "new_content_watch_search_expansion")):
+        made = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(templates)], "i int, theme_section string, template string").crossJoin(F.broadcast(context))  # one row at most
+        text = F.replace(F.col("template"), F.lit("{}"), F.col("name"))
+        if method == "event_burst":
+            text = F.regexp_replace(text, r"(?i)\b(Xbox|PlayStation|Nintendo)\s+\1\b", "$1")
+        parts.append(row(made, method, F.lpad(F.col("i").cast("string"), 12, "0"), query_text(text), policy, F.lit("event_burst_briefing_candidate")))
+    named = candidates.select(ordinal, query_text(F.col("title")).alias("t"), fn.clean(F.col("url")).alias("u"), F.coalesce(F.nullif(F.col("theme_section"), F.lit("")), F.lit("supplemental")).alias("theme_section"), F.lit(1).alias("_all"))
+    first = top_per_group(named.where("t <> '' AND u <> ''"), "_all", [F.col(ordinal)], max(limit, 0))
+    parts.append(row(first, "candidate_followup", F.lpad(F.col("rank").cast("string"), 12, "0"), query_text(F.concat("t", F.lit(f" {DISCUSSION_WORDS}"))), "candidate_followup_search_expansion", url=F.col("u"), title=F.col("t")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = every.where(F.col("method").isin(methods) & (F.trim("query") != "")).withColumn("_key", F.lower(F.trim("query")))
+    picked = round_robin(every, "method", "pos", "_key", "at", max(limit, 0))
+    identity = F.concat_ws("-", F.lit("search-expansion"), "method", "theme_section", F.col("request_no").cast("string"))
+    return picked.select(identity.alias("request_id"), "request_no", "method", "theme_section", "query", "usage_policy", "quota_policy", "source_candidate_url", "source_candidate_title", search_targets(F.col("query"), platforms).alias("search_targets"))
+
 
 def event_context(candidates: DataFrame, ordinal: str, threshold: int = 2) -> DataFrame:
     """One row: active, event_name, event_signal_count, new_content_signal_count, quota_policy: whether candidates look like the day of a showcase.

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
-from newsloom.operators import contracts, events, evidence, heat, matching, quality
+from newsloom.operators import contracts, events, evidence, heat, matching, quality, requests
 from newsloom.operators.fulltext import FullTextIndex
 from newsloom.plans.news_sql import _canon, _norm, _words
 from newsloom.sources import landed, listing
@@ -394,9 +394,51 @@ TIMELINES = f"""WITH {_TL} SELECT event_id, event_key, CASE WHEN arg_min(source,
   strftime((array_agg(tm ORDER BY i))[1], '%Y-%m-%d %H:%M:%S') AS started_at, strftime((array_agg(tm ORDER BY i))[-1], '%Y-%m-%d %H:%M:%S') AS last_updated_at, count(*) AS entry_count, any_value(et) = 'confirmed_report' AS has_official_confirmation, any_value(et) = 'community_reaction' AS has_community_reaction, bool_or(fixed) AS has_correction FROM o GROUP BY event_id, event_key"""
 
 
+# Search expansion
+
+_THEME = {"en": "pc", "de": "sony", "fr": "nintendo", "es": "microsoft"}
+
+
+def search_expansion_requests(spark, d):
+    """Forty searches: themes by the languages of documents, pages as candidates, whose titles name no event, with one that does."""
+    docs, pages = _t(spark, d, "documents"), _t(spark, d, "pages")
+    theme = lambda c: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in _THEME.items() for x in kv)), c), F.lit("supplemental"))
+    counts = docs.groupBy(theme(F.col("lang")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
+    title = F.concat_ws(" ", F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.when(F.col("url").contains("spam"), "gamescom demo revealed"))
+    cands = pages.select("page_id", title.alias("title"), F.lit("").alias("snippet"), F.lit("").alias("query"), "url", theme(F.regexp_extract("html", '<html lang="([^"]*)"', 1)).alias("theme_section"))
+    found = requests.expansion_requests("Zelda", counts, cands, "page_id", limit=40)
+    return found.select("request_id", "request_no", "method", "theme_section", "query", "usage_policy", F.array_join(F.transform("search_targets", lambda t: t["url"]), " ").alias("urls"))
+
+
+def _query(x):
+    t = f"trim(regexp_replace(regexp_replace(regexp_replace({x}, 'https?://\\S+', ' ', 'g'), '[\\[\\]{{}}()|<>]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    cut = f"substr({t}, 1, 96)"
+    return f"CASE WHEN length({t}) <= 96 THEN {t} WHEN trim(regexp_replace({cut}, ' [^ ]*$', '')) <> '' THEN trim(regexp_replace({cut}, ' [^ ]*$', '')) ELSE trim({cut}) END"
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+_LANG = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _THEME.items()) + " ELSE 'supplemental' END"
+_TEMPLATES = [(2, "event_burst", "event_burst_search_expansion", i, t, x) for i, (t, x) in enumerate(requests.BURST_TEMPLATES)] + [(4, "new_content_watch", "new_content_watch_search_expansion", i, t, x) for i, (t, x) in enumerate(requests.WATCH_TEMPLATES)]
+EXPANSION = f"""WITH n AS (SELECT {_LANG.format('lang')} AS theme, count(*) AS n FROM documents GROUP BY 1),
+c AS (SELECT page_id, url, concat_ws(' ', {_TITLE}, CASE WHEN contains(url, 'spam') THEN 'gamescom demo revealed' END) AS title, {_LANG.format("regexp_extract(html, '<html lang=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS theme FROM pages),
+seen AS (SELECT bool_or(contains(lower(title), 'gamescom')) AND bool_or(contains(lower(title), 'demo')) AS active FROM c),
+s(theme, theme_no, seed_no, seed) AS (VALUES {_values([(t, i, j, q) for i, (t, qs) in enumerate(requests.THEME_SEEDS.items()) for j, q in enumerate(qs)])}),
+t(pos, method, policy, i, theme, template) AS (VALUES {_values(_TEMPLATES)}),
+r AS (SELECT 1 AS pos, 'theme_gap' AS method, 'low_frequency_search_expansion' AS policy, row_number() OVER (ORDER BY seed_no, coalesce(n, 0) >= 20, coalesce(n, 0), theme_no) AS at_, s.theme, seed || ' Zelda' AS query FROM s LEFT JOIN n USING (theme)
+  UNION ALL SELECT pos, method, policy, i, theme, {_query("replace(template, '{}', 'gamescom')".replace('{}', '{' + '}'))} FROM t, seen WHERE active
+  UNION ALL SELECT 3, 'candidate_followup', 'candidate_followup_search_expansion', k, theme, {_query("tt || ' 玩家讨论 热议'")} FROM (SELECT *, {_query('title')} AS tt, row_number() OVER (ORDER BY page_id) AS k FROM c WHERE trim(url) <> '' AND {_query('title')} <> '') WHERE k <= 40),
+u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lower(trim(query)) ORDER BY pos, at_) = 1),
+v AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY at_) AS turn FROM u), w AS (SELECT *, row_number() OVER (ORDER BY turn, pos) AS request_no FROM v QUALIFY request_no <= 40)
+SELECT 'search-expansion-' || method || '-' || theme || '-' || request_no AS request_id, request_no, method, theme AS theme_section, query, policy AS usage_policy,
+  'https://search.bilibili.com/all?keyword=' || replace(url_encode(query), '%20', '+') || ' https://s.weibo.com/weibo?q=' || replace(url_encode(query), '%20', '+') AS urls FROM w"""
+
+
 ORACLE_SQL = {
     "fulltext_search": FULLTEXT, "fulltext_by_section": FULLTEXT_SECTION, "listing_links": LISTING_LINKS, "listing_diagnostics": LISTING_DIAGNOSTICS, "collected_sources": COLLECTED, "schema_report": SCHEMA_REPORT, "heat_observations": HEAT_OBSERVATIONS,
     "heat_summary": HEAT_SUMMARY, "historical_matches": HISTORICAL, "story_packs": STORY_PACKS, "theme_replacements": REPLACEMENTS,
-    "content_quality_report": QUALITY_REPORT, "content_quality_stages": QUALITY_STAGES, "cluster_timelines": TIMELINES, "timeline_entries": TIMELINE_ENTRIES,
+    "content_quality_report": QUALITY_REPORT, "content_quality_stages": QUALITY_STAGES, "cluster_timelines": TIMELINES, "timeline_entries": TIMELINE_ENTRIES, "search_expansion_requests": EXPANSION,
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}
