@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import Scratch, send
 
-FREQUENT = 300_000
+FREQUENT = 250_000
 FREQUENT_BYTES = 48
 STEP = 1 << 22  # bytes of text that a task cuts at a time
 _SPACE = "▁"
 # Letters and signs that every version of Unicode classes alike: ASCII, U+00C0 to U+017F, and Cyrillic.
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ſЀ-џ", r"!-/:-@\[-`{-~"
 _UNSURE = re.compile(rf"[{_LETTER}][\x00-/:-@\[-`{{-\x7f{_SPACE}]|[{_SIGN}0-9]{_SPACE}|\n")
-_held: dict[tuple[str, str], Tokenizers] = {}
+_HELD = "_newsloom_tokenizers"  # where a worker keeps them between tasks: functions come with their modules each time
 
 
 class Tokenizers:
@@ -83,9 +84,17 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
-    if (a_path, b_path) not in _held:
-        _held[a_path, b_path] = Tokenizers(a_path, b_path)
-    return _held[a_path, b_path]
+    """Loaded once for each worker."""
+    held = sys.__dict__.setdefault(_HELD, {})
+    if (a_path, b_path) not in held:
+        held.clear()
+        held[a_path, b_path] = Tokenizers(a_path, b_path)
+    return held[a_path, b_path]
+
+
+def _let_go() -> None:
+    """Frees a worker's tokenizers where no more is tokenised."""
+    sys.__dict__.pop(_HELD, None)
 
 
 def pair_bound(t: Tokenizers) -> int:
@@ -188,10 +197,10 @@ def groups(sequences: DataFrame, counted: DataFrame) -> DataFrame:
         F.count(F.when(link.isNotNull() & F.col("best"), 1)).alias("n_best"), F.sum(link).alias("count_sum"), F.sort_array(F.collect_list("token")).alias("tokens"),
     )
     text = F.rtrim(F.array_join(F.col("tokens").getField("s"), ""), F.lit(";"))
-    return each.select("piece", "n", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", text.alias("groups"))
+    return each.select("piece", "n", *(F.col(c).cast("int").alias(c) for c in _NUMBERS[:-1]), "count_sum", text.alias("groups"))
 
 
-_NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+_NUMBERS = ("n_a", "n_b", "n_links", "n_best", "count_sum")  # a text has as many groups as links
 
 
 def _by_key(spark: SparkSession) -> SparkSession:
@@ -264,6 +273,7 @@ def _places(get, sure: bool):
     """Arrow batches of (id, h, text) to (id, h, pos, piece): the pieces that are not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go()
         known = get()[0]
         for b in _slices(batches):
             flat, at = cut(b.column("text"), sure)
@@ -284,7 +294,7 @@ def _assemble(get, sure: bool):
         if len(rare):
             row = np.repeat(np.arange(b.num_rows), np.diff(of))
             which[at[row] + rare.field("pos").to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(rare))
-            numbers = [np.concatenate([x, rare.field(c).to_numpy(zero_copy_only=False)]) for c, x in zip(_NUMBERS, numbers, strict=True)]
+            numbers = [np.concatenate([x, rare.field(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c, x in zip(_NUMBERS, numbers, strict=True)]
             written = pa.concat_arrays([written, pc.binary_join_element_wise(rare.field("groups").cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(";", pa.large_string())).cast(pa.large_binary())])
         if len(which) and which.min() < 0:
             raise ValueError("a piece without an alignment")
@@ -295,6 +305,7 @@ def _assemble(get, sure: bool):
         return pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x[at[1:]] - x[at[:-1]]) for x in sums), pa.array(digests, pa.string())], ["id", *_NUMBERS, "groups_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go()
         known, numbers, written = get()
         for b in _slices(batches):
             yield some(known, numbers, written, b)
@@ -337,4 +348,5 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     found = found.withColumnsRenamed({"id": "rare_id", "h": "rare_h"})
     joined = named.join(found.select("rare_id", "rare_h", "rare"), whole(named, found), "left").select("id", "text", "rare")
     numbers = ", ".join(f"{c} long" for c in _NUMBERS)
-    return joined.mapInArrow(_assemble(get, sure), f"id {docs.schema[id_col].dataType.simpleString()}, {numbers}, groups_sha256 string").withColumnRenamed("id", id_col)
+    out = joined.mapInArrow(_assemble(get, sure), f"id {docs.schema[id_col].dataType.simpleString()}, {numbers}, groups_sha256 string")
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
