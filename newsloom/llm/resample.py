@@ -147,7 +147,9 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     scored = weigh(docs, gain, id_col, text_col, n).withColumn("score", F.col("weight") + noise)
     order = [F.col("score").desc(), F.col(id_col).asc()]
     able = F.col("n_words") >= min_words
+    scored = scratch.save(scored, "weighed")  # ranging reads its input twice
     ranged = scratch.save(scored.repartitionByRange(F.when(able, F.col("score")).desc_nulls_last(), F.col(id_col)).withColumn("_part", F.spark_partition_id()), "scored")
+    scratch.drop("weighed")
     counts = ranged.where(able).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     before = counts.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).withColumn("_able", F.sum("_n").over(W.partitionBy()))
     rows = ranged.join(F.broadcast(before), "_part", "left")
