@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
+from newsloom.functions.folders import shared_folder
 from newsloom.operators import contracts, events, evidence, heat, matching, quality, requests
 from newsloom.operators.fulltext import FullTextIndex
 from newsloom.plans.news_sql import _canon, _norm, _words
@@ -22,17 +21,6 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _folder(spark, name):
-    """A new folder that driver and executors share; a local session without one gets its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _now():
     return F.to_timestamp(F.lit("2024-01-20 00:00:00"))
 
@@ -49,7 +37,7 @@ def _evidence(spark, d):
 
 def _index(spark, d):
     """The index of all chunks, added run by run: English first, then all other languages."""
-    index = FullTextIndex(spark, _folder(spark, "fulltext"))
+    index = FullTextIndex(spark, shared_folder(spark, "fulltext"))
     chunks = _evidence(spark, d)
     index.add("en", chunks.where("run_id = 'en'").drop("run_id"))
     index.add("other", chunks.where("run_id <> 'en'").drop("run_id"))
@@ -124,7 +112,7 @@ def collected_sources(spark, d):
     payload = F.format_string('{"type":"updatenodelabel","isCache":true,"cacheTime":60,"nodeId":"%s","isNodeId":"true","page":%d}', "node", "page")
     url = F.concat(F.lit("https://list.example/api?jsondata="), F.url_encode(payload))
     body = F.concat(F.lit("cb("), F.to_json(F.struct(F.col("html").alias("body"))), F.lit(");"))
-    path = _folder(spark, "landed")
+    path = shared_folder(spark, "landed")
     landed.land(numbered.select(url.alias("url"), body.alias("text")), path)
     paged = lambda g: {"pagination_url": "https://list.example/api", "max_pages_per_entry": 1_000_000, "pagination_entries": [{"node_id": g, "theme_section": "pc"}]}
     catalog = [{"id": f"group_{g}", "collector": "jsonp_listing", "page_url": "https://list.example/", "tags": ["listed"], "collector_config": paged(g)} for g in _GROUPS]
