@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom import functions as fn
 from newsloom.functions.folders import shared_folder
-from newsloom.operators import contracts, events, evidence, heat, matching, quality, requests
+from newsloom.operators import contracts, events, evidence, heat, matching, memory, quality, requests
 from newsloom.operators.fulltext import FullTextIndex
 from newsloom.plans.news_sql import _canon, _norm, _words
 from newsloom.sources import landed, listing
@@ -424,9 +424,34 @@ SELECT 'search-expansion-' || method || '-' || theme || '-' || request_no AS req
   'https://search.bilibili.com/all?keyword=' || replace(url_encode(query), '%20', '+') || ' https://s.weibo.com/weibo?q=' || replace(url_encode(query), '%20', '+') AS urls FROM w"""
 
 
+# Memory
+
+
+def memory_store_update(spark, d):
+    """The memory after two runs, the documents in English and then all of them, keyed by title."""
+    docs = _t(spark, d, "documents")
+    none = F.lit(None).cast("timestamp")
+    cands = docs.select("doc_id", "lang", F.element_at(F.split("text", "\n"), 1).alias("title"), F.lit("").alias("url"), F.col("source").alias("source_id"), none.alias("published_at"), F.timestamp_seconds(F.col("n_chars")).alias("observed_at"))
+    empty = spark.createDataFrame([], memory.RECORD)
+    first = memory.updated_records(empty, cands.where("lang = 'en'"), "doc_id", _now()).drop("state")
+    both = memory.updated_records(first, cands, "doc_id", _now() + F.expr("INTERVAL 1 DAY"))
+    return both.select(
+        "memory_key", F.date_format("first_seen_at", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"), "seen_count", F.size("titles").alias("n_titles"), F.array_join("source_ids", ",").alias("sources"),
+        F.size("published_at_values").alias("n_times"), "source_id", "state",
+    )
+
+
+MEMORY_UPDATE = f"""WITH c AS (SELECT doc_id, lang = 'en' AS en, trim(string_split(text, chr(10))[1]) AS title, array_to_string(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+|[一-鿿]+'), ' ') AS n, source, n_chars FROM documents),
+k AS (SELECT *, 'title:' || substr(sha1(n), 1, 16) AS memory_key FROM c WHERE n <> ''),
+r AS (SELECT memory_key, coalesce(bool_or(en), false) AS old, count(*) + count(*) FILTER (en) AS seen_count, count(DISTINCT nullif(title, '')) AS n_titles, count(DISTINCT n_chars) AS n_times, arg_max(source, doc_id) FILTER (source IS NOT NULL) AS source_id FROM k GROUP BY 1),
+f AS (SELECT memory_key, source, min(doc_id) FILTER (en) AS a, min(doc_id) AS b FROM k WHERE coalesce(source, '') <> '' GROUP BY 1, 2),
+s AS (SELECT memory_key, string_agg(source, ',' ORDER BY a IS NULL, coalesce(a, b)) AS sources FROM f GROUP BY 1)
+SELECT memory_key, CASE WHEN old THEN '2024-01-20' ELSE '2024-01-21' END AS first_seen, '2024-01-21' AS last_seen, seen_count, n_titles, coalesce(sources, '') AS sources, n_times, coalesce(source_id, '') AS source_id, CASE WHEN old THEN 'updated' ELSE 'new' END AS state FROM r LEFT JOIN s USING (memory_key)"""
+
+
 ORACLE_SQL = {
     "fulltext_search": FULLTEXT, "fulltext_by_section": FULLTEXT_SECTION, "listing_links": LISTING_LINKS, "listing_diagnostics": LISTING_DIAGNOSTICS, "collected_sources": COLLECTED, "schema_report": SCHEMA_REPORT, "heat_observations": HEAT_OBSERVATIONS,
     "heat_summary": HEAT_SUMMARY, "historical_matches": HISTORICAL, "story_packs": STORY_PACKS, "theme_replacements": REPLACEMENTS,
-    "content_quality_report": QUALITY_REPORT, "content_quality_stages": QUALITY_STAGES, "cluster_timelines": TIMELINES, "timeline_entries": TIMELINE_ENTRIES, "search_expansion_requests": EXPANSION,
+    "content_quality_report": QUALITY_REPORT, "content_quality_stages": QUALITY_STAGES, "cluster_timelines": TIMELINES, "timeline_entries": TIMELINE_ENTRIES, "search_expansion_requests": EXPANSION, "memory_store_update": MEMORY_UPDATE,
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -61,3 +61,37 @@ def test_timelines_of_clusters(spark):
     assert (t["confirmed_report"].timeline_label, t["confirmed_report"].entry_count, t["confirmed_report"].started_at, t["confirmed_report"].last_updated_at) == ("Zelda / zelda  — 官方动态时间线", 3, None, at(3))
     assert t["general_news"].timeline_label == "未识别游戏 — 事件时间线" and t["general_news"].has_correction and not t["general_news"].has_official_confirmation
     assert events.cluster_timelines(cl.limit(0), claims)[0].collect() == []
+
+
+def test_memory_equals_a_plain_loop(spark):
+    """Two runs with explicit keys, URLs that differ in case and slashes, titles, blanks and repeats."""
+    from newsloom.operators import memory
+
+    at = lambda d: datetime(2024, 1, d)
+    row = lambda i, key, url, title, source, when: (i, key, url, title, source, when, None)
+    one = [row(0, None, "https://A.x/p/", "A", "s1", at(1)), row(1, " ", "https://a.x/p", " A ", "s2", at(1)), row(2, "story 7", "u", None, None, None), row(3, None, None, "Some Title!", "s1", None), row(4, None, " ", " !", "s1", at(2))]
+    two = [row(0, None, "https://a.x/p//", "B", "", at(3)), row(1, None, "", "some title", "s3", at(1)), row(2, "new", "", "", "s9", None)]
+    schema = "o int, memory_key string, url string, title string, source_id string, published_at timestamp, observed_at timestamp"
+    records, want = spark.createDataFrame([], memory.RECORD), {}
+    for run, now in ((one, at(10)), (two, at(11))):
+        cands = spark.createDataFrame(run, schema)
+        done = memory.updated_records(records, cands, "o", F.lit(now))
+        stats = memory.update_stats(done, cands).collect()[0]
+        new = met = skipped = 0
+        for _, key, url, title, source, when, _ in run:
+            u = (url or "").strip().lower().rstrip("/")
+            k = (key or "").strip() or (f"url:{u}" if u else {"Some Title!": "t", "some title": "t"}.get(title, ""))
+            if not k:
+                skipped += 1
+                continue
+            new, met = new + (k not in want), met + (k in want)
+            r = want.setdefault(k, [now, now, 0, [], [], [], [], "", "", ""])
+            r[1], r[2] = now, r[2] + 1
+            for i, v in ((3, (title or "").strip()), (4, (url or "").strip()), (5, (source or "").strip()), (6, when)):
+                if v and v not in r[i]:
+                    r[i].append(v)
+            r[7:] = [(v or "").strip() or old for v, old in zip((title, url, source), r[7:], strict=True)]
+        assert tuple(stats) == (len(want), new, met, skipped)
+        records = spark.createDataFrame(done.drop("state").collect(), memory.RECORD)
+    got = {("t" if r.memory_key.startswith("title:") else r.memory_key): list(r)[1:] for r in records.collect()}
+    assert got == want and got["t"][2] == 2
