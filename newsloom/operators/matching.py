@@ -127,3 +127,32 @@ CHINESE_DOMAINS = ["gamersky.com", "bilibili.com", "weibo.com", "3dmgame.com", "
 
 def is_chinese(source_id: Column, url: Column, sources: list[str] = CHINESE_SOURCES) -> Column:
     return F.lower(fn.clean(source_id)).isin(sources) | fn.any_contained(CHINESE_DOMAINS, F.lower(F.coalesce(url, F.lit(""))))
+
+
+def localization_requests(stories: DataFrame, pool: DataFrame, selected: DataFrame | None = None, ordinal: str = "ordinal", limit: int | None = None, replacements_each: int = 8, quotes: int = 3) -> DataFrame:
+    """(request_id, story_id, title, theme_section, selected_final_story, evidence_quotes, candidate_replacements): what is asked for each story in English, the first ``limit`` of them.
+
+    Stories have id, title, theme_section, source_language, source_preference and evidence (an array of
+    source_id, title, quote, in order); the pool is of ``replacements`` with title, url and source_id, and only
+    its candidates in Chinese count. A story is English by its language, or by a fallback to an English or
+    original source unless it is in Chinese. Its id is its title where it has none; without both it is left out.
+    """
+    language, taken = F.lower(fn.clean(F.col("source_language"))), F.lower(fn.clean(F.col("source_preference")))
+    english = (language == "en") | (taken.isin("english_ign_fallback", "original_source_used") & (language != "zh"))
+    story_id = F.coalesce(F.nullif(fn.clean(F.col("id").cast("string")), F.lit("")), fn.clean(F.col("title")))
+    rows = stories.where(english).withColumn("story_id", story_id).where("story_id <> ''")
+    if limit is not None:
+        rows = rows.orderBy(ordinal).limit(max(limit, 0))
+    chinese = pool.where(is_chinese(F.col("source_id"), F.col("url")))
+    found = replacements(rows.select("story_id", "theme_section").distinct(), chinese, replacements_each)
+    item = F.struct("rank", F.struct("title", "url", "source_id", "theme_section", "heat_score").alias("c"))
+    named = found.join(chinese.select("candidate_no", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "url", "source_id", "theme_section")), F.coalesce("heat_score", F.lit(0.0)).alias("heat_score")), "candidate_no")
+    listed = named.groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("candidate_replacements"))
+    out = rows.join(listed, "story_id", "left")
+    if selected is not None:
+        out = out.join(selected.select(F.col("id").cast("string").alias("story_id"), F.lit(True).alias("_selected")).distinct(), "story_id", "left")
+    said = F.filter(F.coalesce("evidence", F.expr("cast(array() AS array<struct<source_id:string,title:string,quote:string>>)")), lambda e: fn.clean(e["quote"]) != "")
+    shown = F.transform(F.slice(said, 1, quotes), lambda e: F.struct(F.coalesce(e["source_id"], F.lit("")).alias("source_id"), F.coalesce(e["title"], F.lit("")).alias("title"), F.substring(F.trim(e["quote"]), 1, 700).alias("quote")))
+    none = F.array().cast(listed.schema["candidate_replacements"].dataType)
+    chosen = F.coalesce("_selected", F.lit(False)) if selected is not None else F.lit(False)
+    return out.select(F.concat(F.lit("story_localization:"), "story_id").alias("request_id"), "story_id", F.coalesce("title", F.lit("")).alias("title"), fn.clean(F.col("theme_section")).alias("theme_section"), chosen.alias("selected_final_story"), shown.alias("evidence_quotes"), F.coalesce("candidate_replacements", none).alias("candidate_replacements"))

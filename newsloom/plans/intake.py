@@ -382,6 +382,27 @@ TIMELINES = f"""WITH {_TL} SELECT event_id, event_key, CASE WHEN arg_min(source,
   strftime((array_agg(tm ORDER BY i))[1], '%Y-%m-%d %H:%M:%S') AS started_at, strftime((array_agg(tm ORDER BY i))[-1], '%Y-%m-%d %H:%M:%S') AS last_updated_at, count(*) AS entry_count, any_value(et) = 'confirmed_report' AS has_official_confirmation, any_value(et) = 'community_reaction' AS has_community_reaction, bool_or(fixed) AS has_correction FROM o GROUP BY event_id, event_key"""
 
 
+def localization_requests(spark, d):
+    """Documents in English as stories, their chunks as evidence; pages as the pool, those of two domains as if in Chinese; labelled good ones are selected."""
+    docs = _t(spark, d, "documents")
+    cut = evidence.chunks(docs, "doc_id", F.col("text")).where("chunk_index < 4").join(docs.select("doc_id", "source"), "doc_id")
+    quotes = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.col("source").alias("source_id"), F.lit("").alias("title"), "quote"))).alias("e"))
+    quotes = quotes.select("doc_id", F.transform("e", lambda x: F.struct(x["source_id"].alias("source_id"), x["title"].alias("title"), x["quote"].alias("quote"))).alias("evidence"))
+    stories = docs.join(quotes, "doc_id", "left").select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("lang").alias("source_language"), F.lit("").alias("source_preference"), F.lit("en").alias("theme_section"), "evidence")
+    lang = F.regexp_extract("html", '<html lang="([^"]*)"', 1)
+    source = F.when(F.col("url").contains("spam"), "weibo").otherwise(fn.url_host(F.col("url")))
+    pool = _t(spark, d, "pages").select(F.col("page_id").alias("candidate_no"), F.col("url").alias("key"), F.when(F.col("url").contains("?"), "").otherwise(lang).alias("theme_section"), F.length("html").cast("double").alias("heat_score"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url", source.alias("source_id"))
+    chosen = _t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    found = matching.localization_requests(stories, pool, chosen)
+    return found.select("request_id", "title", "selected_final_story", F.size("evidence_quotes").alias("n_quotes"), F.array_join(F.transform("candidate_replacements", lambda x: x["url"]), " ").alias("urls"))
+
+
+LOCALIZATION = """WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '?') THEN '' ELSE regexp_extract(html, '<html lang="([^"]*)"', 1) END AS theme, length(html) AS heat FROM pages WHERE contains(url, 'spam')),
+t AS (SELECT * FROM p WHERE theme IN ('', 'en') QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1), r AS (SELECT string_agg(url, ' ' ORDER BY heat DESC, page_id) AS urls FROM (SELECT * FROM t ORDER BY heat DESC, page_id LIMIT 8)),
+c AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, length(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS n FROM documents WHERE lang = 'en')
+SELECT 'story_localization:' || c.doc_id AS request_id, coalesce(title, '') AS title, coalesce(quality = 1, false) AS selected_final_story, CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n <= 700 THEN 1 WHEN n <= 1280 THEN 2 ELSE 3 END AS n_quotes, coalesce(urls, '') AS urls FROM c LEFT JOIN labels USING (doc_id), r"""
+
+
 # Search expansion
 
 _THEME = {"en": "pc", "de": "sony", "fr": "nintendo", "es": "microsoft"}
@@ -452,6 +473,6 @@ SELECT memory_key, CASE WHEN old THEN '2024-01-20' ELSE '2024-01-21' END AS firs
 ORACLE_SQL = {
     "fulltext_search": FULLTEXT, "fulltext_by_section": FULLTEXT_SECTION, "listing_links": LISTING_LINKS, "listing_diagnostics": LISTING_DIAGNOSTICS, "collected_sources": COLLECTED, "schema_report": SCHEMA_REPORT, "heat_observations": HEAT_OBSERVATIONS,
     "heat_summary": HEAT_SUMMARY, "historical_matches": HISTORICAL, "story_packs": STORY_PACKS, "theme_replacements": REPLACEMENTS,
-    "content_quality_report": QUALITY_REPORT, "content_quality_stages": QUALITY_STAGES, "cluster_timelines": TIMELINES, "timeline_entries": TIMELINE_ENTRIES, "search_expansion_requests": EXPANSION, "memory_store_update": MEMORY_UPDATE,
+    "content_quality_report": QUALITY_REPORT, "content_quality_stages": QUALITY_STAGES, "cluster_timelines": TIMELINES, "timeline_entries": TIMELINE_ENTRIES, "search_expansion_requests": EXPANSION, "memory_store_update": MEMORY_UPDATE, "localization_requests": LOCALIZATION,
 }
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -152,3 +152,21 @@ def artifact_index(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, modified, sha256) of the files under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
+def synthetic_documents(candidates: DataFrame, fetched_at: Column, ordinal: str, limit: int) -> DataFrame:
+    """The first ``limit`` candidates as documents made of their title and snippet, for runs without fetching; marked as synthetic."""
+    title, text = F.coalesce("title", F.lit("")), lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    first = candidates.orderBy(ordinal).limit(max(limit, 0))
+    return first.select(
+        F.coalesce("url", F.lit("")).alias("candidate_url"), F.when(title != "", title).otherwise(F.coalesce("url", F.lit(""))).alias("title"), F.coalesce("source_id", F.lit("")).alias("source_id"), F.trim(F.concat_ws("\n", text("title"), text("snippet"))).alias("content"),
+        F.coalesce("published_at", "observed_at").alias("published_at"), fetched_at.alias("fetched_at"), F.array().cast("array<string>").alias("image_urls"), F.lit(True).alias("dry_run_synthetic"),
+    )
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Files of one JSON array each, a file for each partition of ``df``, as ``read_json`` reads them; an empty table gives one empty array."""
+    rows = df.select(F.spark_partition_id().alias("p"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("j"))
+    arrays = rows.groupBy("p").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).select("value")
+    empty = df.sparkSession.range(1).select(F.lit("[]").alias("value"))
+    (empty if df.isEmpty() else arrays).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)

@@ -95,3 +95,24 @@ def test_memory_equals_a_plain_loop(spark):
         records = spark.createDataFrame(done.drop("state").collect(), memory.RECORD)
     got = {("t" if r.memory_key.startswith("title:") else r.memory_key): list(r)[1:] for r in records.collect()}
     assert got == want and got["t"][2] == 2
+
+
+def test_localization_and_synthetic_documents(spark, tmp_path):
+    from newsloom import sources
+    from newsloom.operators import matching
+
+    ev = "array<struct<source_id:string,title:string,quote:string>>"
+    rows = [(0, "1", "T", "EN ", "", "pc", [(None, None, " "), ("s", "t", " q ")]), (1, None, "by title", "", "original_source_used", None, None), (2, "3", "zh", "zh", "original_source_used", "pc", None), (3, " ", " ", "en", "", "pc", None), (4, "5", "x", "fr", "", "pc", None)]
+    stories = spark.createDataFrame(rows, f"ordinal int, id string, title string, source_language string, source_preference string, theme_section string, evidence {ev}")
+    pool = spark.createDataFrame([(0, "a", "pc", 1.0, "p", "u0", "weibo"), (1, "b", "sony", 9.0, "q", "u1", "weibo"), (2, "c", None, None, None, "https://www.bilibili.com/x", None), (3, "d", "pc", 5.0, "r", "u3", "ign")], "candidate_no int, key string, theme_section string, heat_score double, title string, url string, source_id string")
+    got = {r.story_id: r for r in matching.localization_requests(stories, pool, spark.createDataFrame([("1",)], "id string")).collect()}
+    assert set(got) == {"1", "by title"} and got["1"].selected_final_story and [tuple(q) for q in got["1"].evidence_quotes] == [("s", "t", "q")]
+    assert [c.url for c in got["1"].candidate_replacements] == ["u0", "https://www.bilibili.com/x"] and [c.url for c in got["by title"].candidate_replacements] == ["u1", "u0", "https://www.bilibili.com/x"]
+    assert matching.localization_requests(stories, pool.limit(0), limit=1).collect()[0].candidate_replacements == []
+    cands = spark.createDataFrame([(1, "u", "t", " s ", "a"), (0, "v", None, "", None), (2, "w", "z", None, "b")], "o int, url string, title string, snippet string, source_id string").selectExpr("*", "cast(null AS timestamp) AS published_at", "timestamp'2024-01-01' AS observed_at")
+    docs = sources.synthetic_documents(cands, F.current_timestamp(), "o", 2).collect()
+    assert [(r.candidate_url, r.title, r.content, r.source_id) for r in docs] == [("v", "v", "", ""), ("u", "t", "t\n s", "a")]
+    sources.write_json(cands.repartition(2).select("o", "url"), str(tmp_path / "j"))
+    assert sorted(map(tuple, sources.read_json(spark, str(tmp_path / "j"), "o int, url string").collect())) == [(0, "v"), (1, "u"), (2, "w")]
+    sources.write_json(cands.limit(0), str(tmp_path / "e"))
+    assert sources.read_json(spark, str(tmp_path / "e"), "o int").collect() == []
