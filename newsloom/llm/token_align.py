@@ -215,7 +215,8 @@ def _by_key(spark: SparkSession) -> SparkSession:
 
 def align_pieces(spark: SparkSession, path: str, pairs_at_most: int) -> DataFrame:
     """Each piece's numbers and groups, from the table at ``path``: key, piece, n (how often the piece stands in the corpus), a, a_len, b, b_len."""
-    own = Scratch(_by_key(spark), "token-align-pieces")
+    own = Scratch(spark, "token-align-pieces")
+    own.spark = _by_key(spark)
     dealt = own.spark.read.parquet(path).repartition("key")
     found = own.save(links(dealt), "links")
     pairs = own.save(found.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
