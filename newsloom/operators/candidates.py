@@ -102,8 +102,11 @@ def with_memory_status(df: DataFrame, memory: DataFrame, now: Column, lookback_h
     return joined.withColumn("memory_status", status).drop("_key", "_first", "_known")
 
 
-def with_relevance(df: DataFrame) -> DataFrame:
-    """Adds relevance_reasons from the source's url and keyword rules (array columns, empty or null for none)."""
+def with_relevance(df: DataFrame, only: Column | None = None) -> DataFrame:
+    """Adds relevance_reasons from the source's url and keyword rules (array columns, empty or null for none).
+
+    Rows for which ``only`` does not hold have no reasons, and neither their rules nor their texts are sent to Python.
+    """
     from newsloom.functions.python import any_pattern
 
     none = F.array().cast("array<string>")
@@ -111,12 +114,13 @@ def with_relevance(df: DataFrame) -> DataFrame:
     word = lambda k: F.when(F.startswith(F.lower(k), F.lit("re:")), F.substring(k, 4, 10_000)).when(F.lower(k).rlike("^[a-z0-9]+$"), F.concat(F.lit("(?<![a-z0-9])"), F.lower(k), F.lit("(?![a-z0-9])"))).otherwise(F.concat(F.lit(r"(?:"), F.regexp_replace(F.lower(k), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(")")))
     rule = {k: F.coalesce(F.col(k), none) for k in ("allowed_url_patterns", "excluded_url_patterns", "excluded_keywords", "required_any_keywords")}
     url = F.coalesce("url", F.lit(""))
-    hit = lambda k, t, f=None: any_pattern(F.transform(rule[k], f) if f else rule[k], t)
+    asked = (lambda c: c) if only is None else (lambda c: F.when(only, c))
+    hit = lambda k, t, f=None: any_pattern(asked(F.transform(rule[k], f) if f else rule[k]), asked(t))
     why = fn.reasons(
         ((F.size(rule["allowed_url_patterns"]) > 0) & ~hit("allowed_url_patterns", url), "url_not_allowed"), (hit("excluded_url_patterns", url), "url_excluded"),
         (hit("excluded_keywords", text, word), "excluded_keyword"), ((F.size(rule["required_any_keywords"]) > 0) & ~hit("required_any_keywords", text, word), "missing_required_keyword"),
     )
-    return df.withColumn("relevance_reasons", why)
+    return df.withColumn("relevance_reasons", why if only is None else F.when(only, why).otherwise(none))
 
 
 def filter_and_rank(candidates: DataFrame, sources: DataFrame, memory: DataFrame, now: Column, lookback_hours: float = 48) -> DataFrame:
@@ -127,13 +131,12 @@ def filter_and_rank(candidates: DataFrame, sources: DataFrame, memory: DataFrame
     accepted rows by heat_score and event_time, both falling, then by the candidate's ordinal.
     """
     df = with_memory_status(candidates, memory, now, lookback_hours).join(sources, "source_id", "left")
-    df = with_discussion(with_relevance(df))
     t = event_time()
     old = (F.unix_micros(t) < F.unix_micros(now) - int(lookback_hours * 3_600_000_000)) | (t > now)
-    reject = F.coalesce(
-        F.when(t.isNull(), "missing_time"), F.when(old, "outside_time_window"), F.when(F.col("memory_status") == "late_repost", "late_repost_without_current_update"), F.when(F.size("relevance_reasons") > 0, "irrelevant_topic")
-    )
-    df = df.withColumn("reject_reason", reject)
+    early = F.coalesce(F.when(t.isNull(), "missing_time"), F.when(old, "outside_time_window"), F.when(F.col("memory_status") == "late_repost", "late_repost_without_current_update"))
+    df = with_discussion(with_relevance(df.withColumn("_early", early), F.col("_early").isNull()))
+    reject = F.coalesce("_early", F.when(F.size("relevance_reasons") > 0, "irrelevant_topic"))
+    df = df.withColumn("reject_reason", reject).drop("_early")
     kept = F.col("reject_reason").isNull()
     return df.withColumns({"heat_score": F.when(kept, heat_score(now, lookback_hours)), "heat_reasons": F.when(kept, heat_reasons()), "event_time": t})
 
