@@ -50,11 +50,18 @@ def theme_sections(given: Column, entry_themes: Column, entry_theme: Column, sec
 def story_assets(stories: DataFrame, assets: DataFrame) -> DataFrame:
     """(story_id, source_url, url, status, asset_no): the assets of a story's source URLs, each (source_url, url) once.
 
-    Assets have source_url, url, status and asset_no, their order; stories meet them by URL.
+    Assets have source_url, url, status and asset_no, their order; stories meet them by URL, when repeats are gone.
     """
-    urls = stories.select("story_id", F.explode(F.array_distinct("source_urls")).alias("source_url"))
-    met = urls.join(assets, "source_url")
-    return met.groupBy("story_id", "source_url", "url").agg(F.min_by("status", "asset_no").alias("status"), F.min("asset_no").alias("asset_no"))
+    return _story_urls(stories).join(_first_assets(assets), "source_url").select("story_id", "source_url", "url", "status", "asset_no")
+
+
+def _story_urls(stories: DataFrame) -> DataFrame:
+    return stories.select("story_id", F.explode(F.array_distinct("source_urls")).alias("source_url")).distinct()
+
+
+def _first_assets(assets: DataFrame) -> DataFrame:
+    """The first asset of each (source_url, url)."""
+    return assets.groupBy("source_url", "url").agg(F.min_by("status", "asset_no").alias("status"), F.min("asset_no").alias("asset_no"))
 
 
 def public_labels(status: Column) -> Column:
