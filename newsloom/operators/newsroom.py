@@ -71,7 +71,8 @@ def public_labels(status: Column) -> Column:
 
 def platform_posts(stories: DataFrame, assets: DataFrame) -> DataFrame:
     """One post per story that is not rejected: labels, whether it must be reviewed, whether a picture is there. Stories have internal_status."""
-    held = story_assets(stories, assets).where("status = 'available'").select("story_id", F.lit(True).alias("_has")).distinct()
+    pictured = _first_assets(assets).where("status = 'available'").select("source_url").distinct()
+    held = _story_urls(stories).join(pictured, "source_url", "left_semi").select("story_id", F.lit(True).alias("_has")).distinct()
     s = stories.where(F.coalesce("status", F.lit("")) != "rejected").join(held, "story_id", "left").withColumn("public_labels", public_labels(F.col("internal_status")))
     review = F.arrays_overlap("public_labels", F.array(F.lit("流言"), F.lit("待核查")))
     text = F.array_join(F.transform("public_labels", lambda x: F.concat(F.lit("["), x, F.lit("]"))), "")

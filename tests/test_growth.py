@@ -39,3 +39,9 @@ def test_assets_meet_stories_without_their_repeats(spark):
     rows, made = _collected(newsroom.story_assets(*_stories_and_assets(spark)))
     assert sorted((r.story_id, r.source_url, r.url, r.status, r.asset_no) for r in rows) == sorted((i, f"u{k}", "img", ("pending", "available")[k], k) for i in range(100) for k in (0, 1))
     assert made == 200
+
+
+def test_posts_meet_source_urls_with_a_picture(spark):
+    rows, made = _collected(newsroom.platform_posts(*_stories_and_assets(spark)))
+    assert len(rows) == 100 and {r.asset_status for r in rows} == {"available"}
+    assert made <= 100
