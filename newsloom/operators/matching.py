@@ -15,57 +15,80 @@ URL_WEIGHT, TITLE_WEIGHT, ENTITY_WEIGHT, SAME_URL = 0.5, 0.35, 0.15, 0.95
 
 def _shape(df: DataFrame, p: str) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(fn.normalized_title(F.col("title")), " "), lambda t: t != ""))
-    path = F.array_distinct(fn.tokens(fn.url_path(fn.canonical_url(F.col("url")))))
-    return df.select(F.col("id").alias(f"{p}_id"), fn.canonical_url(F.col("url")).alias(f"{p}_url"), words.alias(f"{p}_title"), F.array_distinct(F.coalesce("entities", F.array().cast("array<string>"))).alias(f"{p}_ent"), path.alias(f"{p}_path"))
+    url = fn.canonical_url(F.col("url"))
+    path = F.array_distinct(fn.tokens(fn.url_path(url)))
+    return df.select(F.col("id").alias(f"{p}_id"), url.alias(f"{p}_url"), fn.url_host(url).alias(f"{p}_host"), words.alias(f"{p}_title"), F.array_distinct(F.coalesce("entities", F.array().cast("array<string>"))).alias(f"{p}_ent"), path.alias(f"{p}_path"))
 
 
-def _keys(p: str, memory: bool) -> Column:
-    """What a row can be found by: its URL, title words, entities, path words on its host, and its host alone where a path has no words.
-
-    Each key has the most that a match by it alone, and by no other key, can score.
-    """
-    host, path, words, ents = fn.url_host(F.col(f"{p}_url")), F.col(f"{p}_path"), F.col(f"{p}_title"), F.col(f"{p}_ent")
-    key = lambda kind, text, most: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}:"), text).alias("k"), most.cast("double").alias("most"))
-    has, bare = F.col(f"{p}_url") != "", F.size(path) == 0
-    each = lambda kind, words, weight: F.transform(words, lambda t: key(kind, t, F.lit(weight) / F.size(words)))
-    on_host = F.transform(path, lambda t: key("p", F.concat_ws(" ", host, t), F.lit(URL_WEIGHT) / F.size(path)))
-    alone = F.lit(0.3 * URL_WEIGHT)
+def _keys(p: str, least: float) -> Column:
+    """What a row can be found by, but for its title: path words on its host and, where a path has no words, its host alone; entities, if those alone make a match."""
+    host, path, url = F.col(f"{p}_host"), F.col(f"{p}_path"), F.col(f"{p}_url")
+    has, bare, none = url != "", F.size(path) == 0, F.array().cast("array<string>")
+    on_host = F.when(has, F.transform(path, lambda t: F.concat(F.lit("p:"), F.concat_ws(" ", host, t)))).otherwise(none)
     # A path without words meets every row of its host; one with words meets those without.
-    hosts = F.array(F.when(has, key("h", host, alone)), F.when(has & bare, key("b", host, alone))) if memory else F.array(F.when(has & bare, key("h", host, alone)).when(has, key("b", host, alone)))
-    url = F.array(F.when(has, key("u", F.col(f"{p}_url"), F.lit(1.0))))
-    return F.explode(F.array_compact(F.concat(url, each("t", words, TITLE_WEIGHT), F.transform(ents, lambda t: key("e", t, F.lit(ENTITY_WEIGHT))), F.when(has, on_host).otherwise(F.array().cast(on_host_type)), hosts)))
-
-
-on_host_type = "array<struct<kind:string,k:string,most:double>>"
+    every, alone = F.when(has, F.concat(F.lit("h:"), host)), F.when(has & bare, F.concat(F.lit("h:"), host))
+    hosts = F.array(every, F.when(has & bare, F.concat(F.lit("b:"), host))) if p == "m" else F.array(alone, F.when(has & ~bare, F.concat(F.lit("b:"), host)))
+    ents = F.transform(F.col(f"{p}_ent"), lambda t: F.concat(F.lit("e:"), t)) if ENTITY_WEIGHT >= least - 1e-4 else none
+    return F.array_compact(F.concat(on_host, hosts, ents))
+
+
+def _title_keys(df: DataFrame, p: str, often: DataFrame, share: float) -> DataFrame:
+    """(id, k): of each title's words, the rarest first, all but the last of which a title with a Jaccard index of ``share`` can't do without."""
+    words = df.select(f"{p}_id", F.size(f"{p}_title").alias("_size"), F.explode(f"{p}_title").alias("word")).join(often, "word", "left")
+    place = F.row_number().over(W.partitionBy(f"{p}_id").orderBy(F.coalesce("n", F.lit(0)), "word"))
+    return words.withColumn("_place", place).where(F.col("_place") <= F.col("_size") - F.ceil(F.col("_size") * max(share, 0.0)) + 1).select(f"{p}_id", F.concat(F.lit("t:"), "word").alias("k"))
+
+
+def _shared(c: str = "c", m: str = "m") -> dict[str, Column]:
+    """How many path words, title words and entities two rows share."""
+    return {f"_{x}": F.size(F.array_intersect(f"{c}_{x}", f"{m}_{x}")) for x in ("path", "title", "ent")}
+
+
+def match_score(c: str = "c", m: str = "m", shared: dict[str, Column] | None = None) -> Column:
+    """The score of a pair of rows; ``shared`` are the counts of ``_shared`` if they are there already."""
+    shared, col, size = shared or _shared(c, m), (lambda p, x: F.col(f"{p}_{x}")), (lambda p, x: F.size(f"{p}_{x}"))
+    either = lambda x: (size(c, x) == 0) | (size(m, x) == 0)
+    jaccard = lambda x: shared[f"_{x}"] / (size(c, x) + size(m, x) - shared[f"_{x}"])
+    same_host = F.when(either("path"), F.lit(0.3)).otherwise(jaccard("path"))
+    u = F.when((col(c, "url") == "") | (col(m, "url") == "") | (col(c, "host") != col(m, "host")), F.lit(0.0)).when(col(c, "url") == col(m, "url"), F.lit(1.0)).otherwise(same_host)
+    titles = F.when(either("title"), F.lit(0.0)).otherwise(jaccard("title"))
+    ents = F.when(either("ent"), F.lit(0.0)).otherwise(shared["_ent"] / F.least(size(c, "ent"), size(m, "ent")))
+    score = URL_WEIGHT * u + TITLE_WEIGHT * titles + ENTITY_WEIGHT * ents
+    return F.round(F.when(u == 1.0, F.greatest(score, F.lit(SAME_URL))).otherwise(score), 4)
 
 
-def match_score(c: str = "c", m: str = "m") -> Column:
-    col = lambda p, x: F.col(f"{p}_{x}")
-    u = fn.url_similarity(col(c, "url"), col(m, "url"))
-    score = URL_WEIGHT * u + TITLE_WEIGHT * fn.jaccard(col(c, "title"), col(m, "title")) + ENTITY_WEIGHT * fn.overlap(col(c, "ent"), col(m, "ent"))
-    return F.round(F.when(u == 1.0, F.greatest(score, F.lit(SAME_URL))).otherwise(score), 4)
+def _coded(df: DataFrame, p: str) -> DataFrame:
+    """Words as 64-bit hashes, which compare faster than texts."""
+    return df.withColumns({f"{p}_{c}": F.transform(f"{p}_{c}", lambda t: F.xxhash64(t)) for c in ("title", "ent", "path")})
 
 
-def best_matches(candidates: DataFrame, memory: DataFrame, least: float = 0.3) -> DataFrame:
+def best_matches(candidates: DataFrame, memory: DataFrame, least: float = 0.3, block: int = 512) -> DataFrame:
     """(candidate_id, memory_id, score, band) of every candidate: its best match in the memory of ``least`` or more, else nulls and 'distinct'.
 
-    Both have id, url, title, entities. A top-1 similarity join: a candidate's keys are ordered by how
-    many rows of the memory have them, and the most frequent are left out as long as a match by those
-    alone stays below ``least`` (a title word of n can bring a share of n, and so on). So a shared host
-    or a common word is a key only where a candidate has nothing rarer, and no match is lost. Ties go
-    to the smaller memory id.
+    Both have id, url, title, entities. A top-1 similarity join: rows of one host meet by a path word, as
+    those can be matches whatever their titles are; all others need titles with a certain Jaccard index,
+    so both sides are found by their titles' rarest words (a prefix filter), and no match is lost; of rows
+    of the memory with one title and the same entities the first is found by it. A key's
+    rows of the memory are dealt into blocks of about ``block`` and meet the candidates block by block;
+    of the pairs only the smallest memory id for each candidate and score is kept. Ties go to the smaller
+    memory id.
+
+    Pairs on one host grow with the square of its pages that share a path word.
     """
     c, m = _shape(candidates, "c"), _shape(memory, "m")
-    held = m.select("m_id", _keys("m", True).alias("x")).select("m_id", F.col("x.k").alias("k"))
-    often = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    own = c.select("c_id", _keys("c", False).alias("x")).select("c_id", "x.*").join(often, "k")  # a key that the memory lacks finds nothing
-    falling = W.partitionBy("c_id").orderBy(F.desc("n"), "k")
-    first_entity = F.row_number().over(W.partitionBy("c_id", "kind").orderBy(F.desc("n"), "k"))
-    own = own.withColumn("most", F.when((F.col("kind") == "e") & (first_entity > 1), 0.0).otherwise(F.col("most")))
-    kept = own.withColumn("_sum", F.sum("most").over(falling)).where(F.col("_sum") >= least - 1e-4).select("c_id", "k")
-    pairs = kept.join(held, "k").select("c_id", "m_id").distinct()
-    scored = pairs.join(m, "m_id").join(c, "c_id").withColumn("score", match_score()).where(F.col("score") >= least)
-    best = scored.groupBy("c_id").agg(F.min_by("m_id", F.struct(-F.col("score"), F.col("m_id"))).alias("memory_id"), F.max("score").alias("score"))
+    share = (least - 1e-4 - ENTITY_WEIGHT) / TITLE_WEIGHT
+    often = m.select(F.explode("m_title").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    titled = {"c": c, "m": m.groupBy("m_title", "m_ent").agg(F.min("m_id").alias("m_id"))}
+    keys = {p: df.select(f"{p}_id", F.explode(_keys(p, least)).alias("k")).unionByName(_title_keys(titled[p], p, often, share)) for p, df in (("c", c), ("m", m))}
+    blocks = keys["m"].groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    asked = keys["c"].join(blocks, "k").select("c_id", "k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = keys["m"].join(blocks, "k").select("m_id", "k", F.pmod(F.xxhash64("m_id"), F.col("blocks")).cast("int").alias("block"))
+    # A small table makes many pairs: a fixed number of tasks, so that they are not dealt by the table's size.
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = asked.join(_coded(c, "c"), "c_id").repartition(parts, "k", "block").join(held.join(_coded(m, "m"), "m_id").repartition(parts, "k", "block"), ["k", "block"])
+    counted = pairs.withColumns(_shared())  # each once
+    first = counted.groupBy("c_id", match_score(shared={x: F.col(x) for x in _shared()}).alias("score")).agg(F.min("m_id").alias("m_id"))
+    best = first.groupBy("c_id").agg(F.max_by("m_id", "score").alias("memory_id"), F.max("score").alias("score")).where(F.col("score") >= least)
     out = candidates.select(F.col("id").alias("c_id")).distinct().join(best, "c_id", "left")
     return out.select(F.col("c_id").alias("candidate_id"), "memory_id", "score", F.coalesce(duplicate_band(F.col("score")), F.lit("distinct")).alias("band"))
 

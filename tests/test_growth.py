@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import newsroom
+from newsloom.operators import matching, newsroom
 
 
 def _nodes(plan):
@@ -45,3 +45,12 @@ def test_posts_meet_source_urls_with_a_picture(spark):
     rows, made = _collected(newsroom.platform_posts(*_stories_and_assets(spark)))
     assert len(rows) == 100 and {r.asset_status for r in rows} == {"available"}
     assert made <= 100
+
+
+def test_common_title_words_are_no_keys(spark):
+    """Titles that share two frequent words of five on different hosts are no match and don't meet; equal titles meet the first."""
+    row = lambda p: spark.range(40).select(F.col("id"), F.concat(F.lit(f"https://{p}"), F.col("id").cast("string"), F.lit(".x/q")).alias("url"), F.concat(F.lit("common shared "), *(x for k in "xyz" for x in (F.lit(f"{k}{p}"), F.col("id").cast("string"), F.lit(" ")))).alias("title"), F.array(F.lit("en")).alias("entities"))
+    rows, made = _collected(matching.best_matches(row("c"), row("m")))
+    assert [r.band for r in rows] == ["distinct"] * 40 and made <= 400
+    rows, _ = _collected(matching.best_matches(row("c"), row("c").unionByName(row("c").withColumn("id", F.col("id") + 100)), block=3))
+    assert sorted((r.candidate_id, r.memory_id, r.score) for r in rows) == [(i, i, 1.0) for i in range(40)]
