@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import matching, newsroom
+from newsloom.operators import clusters, matching, newsroom
 
 
 def _nodes(plan):
@@ -47,6 +47,19 @@ def test_posts_meet_source_urls_with_a_picture(spark):
     assert made <= 100
 
 
+def test_paths_meet_once(spark):
+    """Pages of one host whose paths share three words: a pair is made at one of them, in blocks as in one group."""
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h.x/a/b/c/"), F.col("id").cast("string")).alias("u"))
+    want = {(i, j, 0.6) for i in range(60) for j in range(i + 1, 60)}
+    for block in (512, 7):
+        rows, made = _collected(clusters.path_pairs(pages, "page_id", F.col("u"), 0.3, block))
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+        assert made <= 2 * len(want)
+    plan = clusters.path_pairs(pages, "page_id", F.col("u"), 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join")]
+    assert "Aggregate" not in top  # pairs are not collected again to find repeats
+
+
 def test_common_title_words_are_no_keys(spark):
     """Titles that share two frequent words of five on different hosts are no match and don't meet; equal titles meet the first."""
     row = lambda p: spark.range(40).select(F.col("id"), F.concat(F.lit(f"https://{p}"), F.col("id").cast("string"), F.lit(".x/q")).alias("url"), F.concat(F.lit("common shared "), *(x for k in "xyz" for x in (F.lit(f"{k}{p}"), F.col("id").cast("string"), F.lit(" ")))).alias("title"), F.array(F.lit("en")).alias("entities"))
