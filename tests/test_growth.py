@@ -67,3 +67,11 @@ def test_common_title_words_are_no_keys(spark):
     assert [r.band for r in rows] == ["distinct"] * 40 and made <= 400
     rows, _ = _collected(matching.best_matches(row("c"), row("c").unionByName(row("c").withColumn("id", F.col("id") + 100)), block=3))
     assert sorted((r.candidate_id, r.memory_id, r.score) for r in rows) == [(i, i, 1.0) for i in range(40)]
+
+
+def test_token_pairs_are_not_shuffled(spark):
+    """Pairs of sets are decided where they meet: no shuffle to find those that met more than once."""
+    df = spark.range(40).select("id", F.split(F.concat_ws(" ", *(F.lit(w) for w in "abcdefgh"), F.col("id").cast("string")), " ").alias("w"))
+    found = clusters.token_pairs(df, "id", F.col("w"), F.lit("x"), 0.65)
+    assert {tuple(r) for r in found.collect()} == {("x", i, j, 0.8) for i in range(40) for j in range(i + 1, 40)}
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
