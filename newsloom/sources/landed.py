@@ -29,7 +29,7 @@ from newsloom import functions as fn
 from newsloom.functions.python import parse_page
 from newsloom.sources.listing import COUNTS, read_listing
 
-PARTS = 64
+PARTS, ROW_GROUP = 64, 1 << 18
 # Collectors by family, and the defaults of a paged listing.
 FAMILIES = {"rss": ("rss",), "listing": ("listing", "media_listing"), "incremental": ("incremental_listing",), "jsonp": ("jsonp_listing", "jsonp_paged_listing")}
 PAYLOAD = {"type": "updatenodelabel", "isCache": True, "cacheTime": 60, "nodeId": "{node_id}", "isNodeId": "{is_node_id}", "page": "{page}"}
@@ -53,7 +53,8 @@ def land(responses: DataFrame, path: str, parts: int = PARTS) -> None:
     rows = responses.where("url is not null").select("url", "text", column("status_code", "int", 200), column("content_type", "string", ""), column("error", "string", ""))
     one = rows.groupBy("url").agg(F.min(F.struct("text", "status_code", "content_type", "error")).alias("r")).select("url", "r.*")
     dealt = one.withColumn("part", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", "url")
-    dealt.write.mode("overwrite").partitionBy("part").parquet(path)
+    # Small row groups: a look-up reads one, however many rows its part has.
+    dealt.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("parquet.block.size.row.check.min", 4).option("parquet.page.size.row.check.min", 4).partitionBy("part").parquet(path)
 
 
 class Landing:
@@ -63,17 +64,30 @@ class Landing:
         from pyarrow import fs
 
         self.parts = parts
+        self.held: dict[int, list] = {}
         self.files, self.root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
     def get(self, url: str) -> dict | None:
         import pyarrow.dataset as ds
+
+        part = crc32(url.encode()) % self.parts
+        if part not in self.held:
+            self.held[part] = self._row_groups(f"{self.root}/part={part}")
+        for group in self.held[part]:
+            said = (group.row_groups[0].statistics or {}).get("url") or {"min": url, "max": url}
+            if said["min"] <= url <= said["max"]:
+                if found := group.to_table(filter=ds.field("url") == url).to_pylist():
+                    return found[0]
+        return None
+
+    def _row_groups(self, where: str) -> list:
+        """The row groups of a part with their least and greatest URL: footers are read once."""
+        import pyarrow.dataset as ds
         from pyarrow import fs
 
-        where = f"{self.root}/part={crc32(url.encode()) % self.parts}"
         if self.files.get_file_info(where).type != fs.FileType.Directory:
-            return None
-        found = ds.dataset(where, format="parquet", filesystem=self.files).to_table(filter=ds.field("url") == url).to_pylist()
-        return found[0] if found else None
+            return []
+        return [g for f in ds.dataset(where, format="parquet", filesystem=self.files).get_fragments() for g in f.split_by_row_group()]
 
 
 def entries_of(source: dict, family: str) -> list[dict]:

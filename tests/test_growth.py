@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.operators import clusters, matching, newsroom
+from newsloom.sources import landed
 
 
 def _nodes(plan):
@@ -75,3 +76,11 @@ def test_token_pairs_are_not_shuffled(spark):
     found = clusters.token_pairs(df, "id", F.col("w"), F.lit("x"), 0.65)
     assert {tuple(r) for r in found.collect()} == {("x", i, j, 0.8) for i in range(40) for j in range(i + 1, 40)}
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_look_up_reads_a_small_row_group(spark, tmp_path):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.xxhash64("id", i).cast("string")))
+    landed.land(spark.range(500).select(F.concat(F.lit("https://x/"), F.col("id").cast("string")).alias("url"), text.alias("text")), str(tmp_path / "l"), parts=1)
+    landing = landed.Landing(str(tmp_path / "l"), parts=1)
+    assert landing.get("https://x/77")["url"] == "https://x/77" and landing.get("https://x/none") is None
+    assert max(g.row_groups[0].num_rows for g in landing.held[0]) < 250
