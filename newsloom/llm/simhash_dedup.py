@@ -182,7 +182,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 # own hash, so that it is equal with the probability of the Jaccard index; index, tally and verification are
 # as above.
 POSITIONS, LEAST_SHARED = 16, 5  # at 0.8 fewer than five of sixteen are shared once in four million pairs
-FEW = 16  # sets, or groups, of a list that are all compared with each other in the end
+FEW = 16  # sets of a list, or groups of a longer one by one set each, that are compared with each other at once
+BLOCK = 512  # sets of a list whose pairs with another such block are made in one place
 
 
 def wide_fingerprint(h: np.ndarray) -> np.ndarray:
@@ -218,6 +219,19 @@ def _pairs(held: DataFrame, fits) -> DataFrame:
     return a.join(b, "key").where((F.col("p") < F.col("q")) & fits).select("p", "q", "x", "y")
 
 
+def _all_pairs(held: DataFrame, fits, block: int = BLOCK) -> DataFrame:
+    """(p, q, x, y): as ``_pairs`` for lists of any length, cut into blocks of about ``block`` sets that meet one by one.
+
+    Pairs of two sets of a list's most frequent label are not made, so a large group costs no square.
+    """
+    size = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.max_by("label", F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    cut = held.join(size.where("labels > 1").withColumn("parts", F.ceil(F.col("c") / block).cast("int")).drop("c", "labels"), "key")
+    cut = cut.withColumns({"part": F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"), "parts": F.sequence(F.lit(0), F.col("parts") - 1)})
+    a = cut.where("label <> top").select("key", "part", F.explode("parts").alias("other"), F.col("sid").alias("p"), F.col("label").alias("x"), F.col("n").alias("m"))
+    b = cut.select("key", F.explode("parts").alias("part"), F.col("part").alias("other"), F.col("sid").alias("q"), F.col("label").alias("y"), "n", (F.col("label") == F.col("top")).alias("common"))
+    return a.join(b, ["key", "part", "other"]).where((F.col("common") | (F.col("p") < F.col("q"))) & fits).select("p", "q", "x", "y")
+
+
 def _hubs(held: DataFrame, fits) -> DataFrame:
     """(p, q, x, y): each set with the hub, of those of its lists, that it shares most lists with, where labels and sizes allow a link."""
     hub = held.groupBy("key").agg(F.min_by("sid", "at").alias("p"), F.min_by("label", "at").alias("x"), F.min_by("n", "at").alias("m"))
@@ -227,19 +241,19 @@ def _hubs(held: DataFrame, fits) -> DataFrame:
 
 
 def _by_shingles(rows: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, sid, label, n, at): lists of sets by their rarest shingles; two sets of ``similarity`` share a list with certainty (prefix filter)."""
+    """(key, sid, label, n): lists of sets by their rarest shingles; two sets of ``similarity`` share a list with certainty (prefix filter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingles(x.as_py(), words)).view(np.int64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "keys"])
 
-    kept = rows.select("sid", "label", "n", "at", "text_key").distinct()
+    kept = rows.select("sid", "label", "n", "text_key")
     held = kept.join(texts, "text_key").select("sid", "text").mapInArrow(run, "sid string, keys array<bigint>").select("sid", F.explode("keys").alias("key"))
     often = held.groupBy("key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ranked = held.join(often, "key").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("o")).join(kept.drop("text_key"), "sid")
     length = F.size("o") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1  # shingles of one set only come first and link nothing
-    return ranked.where(length > 0).select(F.explode(F.slice("o", F.lit(1), length)).alias("s"), "sid", "label", "n", "at").select("s.key", "sid", "label", "n", "at")
+    return ranked.where(length > 0).select(F.explode(F.slice("o", F.lit(1), length)).alias("s"), "sid", "label", "n").select("s.key", "sid", "label", "n")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -249,10 +263,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts of fewer words are one shingle, and those without words have the empty set and link with each
     other. Pairs share LEAST_SHARED positions, by tally, and are verified on their whole texts: each set
     with one hub of its lists; then in lists of at most FEW sets all that are in different groups, in longer
-    lists one set of each group with all others. If those are more than FEW, as with documents of one
-    template, their sets get further lists, by their rarest shingles; only where such a list is long too does
-    each meet the hub and no other. Repeated ids each keep their row; a null id stays null; an empty table
-    gives an empty result; other columns are not read.
+    lists one set of each group with all others, or with the hub if they are more than FEW. That leaves few
+    groups; where a longer list still has several, as with documents of one template, all of its sets get
+    further lists, by their rarest shingles, and there each meets all sets of other groups, however long
+    the list is. Repeated ids each keep their row; a null id stays null; an empty table gives an empty
+    result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
@@ -294,18 +309,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     each = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("groups")), "key")
     whole = mixed.where(F.col("sets") <= FEW).select("key", "label", "sid", "n", "at", F.lit(0).cast("long").alias("groups"))
     rest = scratch.save(whole.unionByName(each.select("key", "label", "sid", "n", "at", "groups")), "rest")
-    short = rest.where(F.col("groups") <= FEW)
-    pairs = _pairs(short, fits)
-    long = rest.where(F.col("groups") > FEW)
-    if not long.isEmpty():
-        further = _by_shingles(long.join(some.select("sid", "text_key"), "sid"), texts, words, similarity)
-        each = further.groupBy("key", "label").agg(F.min_by("sid", "at").alias("sid"), F.min_by("n", "at").alias("n"), F.min("at").alias("at"))
-        found = scratch.save(each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1"), "key"), "further")
-        pairs = pairs.unionByName(_pairs(found.where(F.col("groups") <= FEW), fits)).unionByName(_hubs(long, fits)).unionByName(_hubs(found.where(F.col("groups") > FEW), fits))
-    labels = relabel(labels, pairs.distinct(), "labels")
+    pairs = _pairs(rest.where(F.col("groups") <= FEW), fits).unionByName(_hubs(rest.where(F.col("groups") > FEW), fits))
+    labels = relabel(labels, pairs.distinct(), "labels1")
+    # what is left: sets of longer lists that hold several groups still, each with all of the other groups
+    held = lists.join(size.where(F.col("sets") > FEW), "key").join(labels, "sid")
+    mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    left = scratch.save(held.join(mixed, "key", "left_semi").select("sid", "label", "n").distinct().join(some.select("sid", "text_key"), "sid"), "left")
+    if not left.isEmpty():
+        further = scratch.save(_by_shingles(left, texts, words, similarity), "further")
+        labels = relabel(labels, _all_pairs(further, fits).distinct(), "labels")
     rooted = members.join(labels, "sid", "left").select("id", F.coalesce("label", "sid").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    scratch.drop("lists", "sets", "texts", "rest", "further", "labels0")
+    scratch.drop("lists", "sets", "texts", "rest", "left", "further", "labels0")
     return rooted.join(lowest, "root").select(F.col("id").alias(id_col), "component_id")
 
 

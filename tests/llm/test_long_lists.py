@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import line_dedup, simhash_dedup
 
@@ -60,3 +61,45 @@ def test_documents_of_one_template(spark, template):
             root[b] = a
     got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(_docs(spark, texts)).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_documents_of_shared_passages(spark):
+    """Each passage has its place and stands there in a third of the documents, so no shingle of a near copy is rare: components equal those of all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passages, chosen = [" ".join(word() for _ in range(60)) for _ in range(30)], []
+    for _ in range(200):
+        one = [3 * at + rng.randrange(3) for at in range(10)]
+        other, at = list(one), rng.randrange(10)
+        other[at] = 3 * at + (one[at] + 1) % 3
+        chosen += [one, other]
+    texts = [" ".join(passages[i] for i in c) for c in chosen]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(_docs(spark, texts)).collect()}
+    assert got == _components_of_all_pairs(texts)
+
+
+def test_lists_in_blocks(spark):
+    """All sets of other groups are met once, in blocks as in one, and those of one group not at all."""
+    rows = [(k, f"s{i}", "big" if i < 40 else f"l{i % 3}", 10) for k in (1, 2) for i in range(45 + k)]
+    want = sorted((p, q) for n in (46, 47) for p, q in combinations([f"s{i}" for i in range(n)], 2) if (la := dict((r[1], r[2]) for r in rows))[p] != la[q])
+    for block in (512, 7):
+        held = spark.createDataFrame(rows, "key long, sid string, label string, n long")
+        got = simhash_dedup._all_pairs(held, F.col("x") != F.col("y"), block).collect()
+        assert sorted(tuple(sorted((r.p, r.q), key=lambda s: int(s[1:]))) for r in got) == sorted(want)
+
+
+def _components_of_all_pairs(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in range(len(texts))}
