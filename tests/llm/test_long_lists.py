@@ -78,6 +78,20 @@ def test_documents_of_shared_passages(spark):
     assert got == _components_of_all_pairs(texts)
 
 
+def test_lines_of_shared_passages(spark):
+    """Each passage has its place and stands there in a third of the lines, so no block and no word of a near copy is rare."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passages, texts = [" ".join(word() for _ in range(8)) for _ in range(30)], []
+    for _ in range(200):
+        one = [3 * at + rng.randrange(3) for at in range(10)]
+        other, at = list(one), rng.randrange(10)
+        other[at] = 3 * at + (one[at] + 1) % 3
+        texts += [" ".join(passages[i] for i in c) for c in (one, other)]
+    first = {r.doc_id: r.keeper_id for r in line_dedup.duplicate_lines(_docs(spark, texts)).collect()}
+    assert [first.get(2 * i, 2 * i) for i in range(200)] == [first.get(2 * i + 1, 2 * i + 1) for i in range(200)]
+
+
 def test_lists_in_blocks(spark):
     """All sets of other groups are met once, in blocks as in one, and those of one group not at all."""
     rows = [(k, f"s{i}", "big" if i < 40 else f"l{i % 3}", 10) for k in (1, 2) for i in range(45 + k)]
