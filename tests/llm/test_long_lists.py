@@ -117,3 +117,19 @@ def _components_of_all_pairs(texts):
             a, b = sorted((find(i), find(j)))
             root[b] = a
     return {i: find(i) for i in range(len(texts))}
+
+
+def test_lines_around_one_passage(spark):
+    """Lines that share a passage and else differ are compared in blocks of any size, and only the linked ones leave the join."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage, texts = [word() for _ in range(24)], []
+    for _ in range(40):
+        own = [word() for _ in range(24)]
+        texts += [" ".join(own + passage), " ".join(["other", *own[1:], *passage])]
+    rows = line_dedup.lines_of(_docs(spark, texts).withColumnRenamed("doc_id", "id")).select("id", "h", "len", "norm", "blocks", "k").toPandas()
+    lines, of = spark.createDataFrame(rows), dict(zip(rows["h"], rows["id"], strict=True))
+    held = lines.select(F.explode("blocks").alias("b"), "h", "len", F.col("h").alias("label"))
+    for block in (512, 7):
+        found = line_dedup._all_links(held, lines.select("h", "norm", "blocks", "k"), 0.8, block).collect()
+        assert sorted(tuple(sorted((of[r.x], of[r.y]))) for r in found) == [(2 * i, 2 * i + 1) for i in range(40)]
