@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -59,6 +60,35 @@ def test_index_grows_by_runs(spark, tmp_path):
     assert {r[2] for r in _found(grown, spark, sections=["pc"], candidates=cands)} == {"1"}
 
 
+def test_search_makes_no_row_for_each_pair(spark, tmp_path):
+    """Results in blocks of any size are the best by a plain loop, and pairs of query and chunk are not dealt."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    WORDS = [a + b for a in ("za", "be", "ku", "mo") for b in ("lda", "nti", "rro")]
+    held = {f"{i:03}": (text(2), text(rng.randrange(1, 12))) for i in range(120)}
+    index = FullTextIndex(spark, str(tmp_path / "i"), 4)
+    index.add("r1", spark.createDataFrame([_chunk(i, *x) for i, x in held.items()], CHUNK))
+    asked = [(q, text(4)) for q in range(30)]
+    docs = {i: " ".join(x).split() for i, x in held.items()}
+    mean, want = sum(map(len, docs.values())) / len(docs), []
+    for q, t in asked:
+        scores = []
+        for i, d in docs.items():
+            s = 0.0
+            for w in set(t.split()):
+                n, tf = sum(w in x for x in docs.values()), d.count(w)
+                s += max(math.log((len(docs) - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            if s > 0:
+                scores.append((-round(s, 9), i))
+        want += [(q, i, rank) for rank, (_, i) in enumerate(sorted(scores)[:5], 1)]
+    queries = spark.createDataFrame(asked, "q long, text string")
+    for block in (256, 7):
+        found = index.search(queries, "q", F.col("text"), block=block)
+        assert sorted((r.q, r.chunk_id, r.rank) for r in found.collect()) == sorted(want)
+        dealt = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+        assert dealt and not any("_q#" in x and "chunk_id#" in x.split("hashpartitioning")[1] for x in dealt)
+
+
 def test_evidence_takes_the_index_first(spark, tmp_path):
     index = FullTextIndex(spark, str(tmp_path / "i"), 4)
     chunks = spark.createDataFrame(FIRST[:3], CHUNK).withColumn("chunk_no", F.col("chunk_id").cast("int"))
