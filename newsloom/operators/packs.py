@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
+from newsloom.functions.folders import saved
 from newsloom.operators import evidence
 from newsloom.operators import rules as R
 from newsloom.operators.fulltext import FullTextIndex
@@ -53,10 +54,14 @@ def passes_filters(source_ids: list[str] | None = None, theme_sections: list[str
 def keyword_packs(queries: DataFrame, query_id: str, query_text: Column, chunks: DataFrame, top_k: int = 5) -> DataFrame:
     """(query id, chunk_id, score, rank): the chunks that hold the most distinct query words; newest first among equals, then in their order."""
     newest = F.coalesce(F.unix_micros("published_at"), F.lit(-(2**62)).cast("long"))
-    hits = evidence.word_hits(chunks.withColumn("_text", chunk_text()), "chunk_id", F.col("_text"), queries, query_id, fn.query_tokens(query_text), top_k, tie=[(newest, True), (F.col("chunk_no"), False)])
+    # queries of the same words find the same chunks, so each set of words is asked once
+    worded = saved(queries.select(query_id, F.array_sort(F.array_distinct(fn.query_tokens(query_text))).alias("_w")).where(F.size("_w") > 0), "asked")
+    sets = saved(worded.groupBy("_w").agg(F.min(query_id).alias("_set")), "word_sets")
+    hits = evidence.word_hits(chunks.withColumn("_text", chunk_text()), "chunk_id", F.col("_text"), sets, "_set", F.col("_w"), top_k, tie=[(newest, True), (F.col("chunk_no"), False)])
     ranked = hits.join(chunks.select("chunk_id", "published_at", "chunk_no"), "chunk_id")
-    best = top_per_group(ranked, query_id, [F.desc("hits"), F.col("published_at").desc_nulls_last(), F.col("chunk_no")], top_k)
-    return best.select(query_id, "chunk_id", F.col("hits").alias("score"), "rank")
+    best = top_per_group(ranked, "_set", [F.desc("hits"), F.col("published_at").desc_nulls_last(), F.col("chunk_no")], top_k)
+    asking = worded.join(sets, "_w").select(query_id, "_set")
+    return best.join(asking, "_set").select(query_id, "chunk_id", F.col("hits").alias("score"), "rank")
 
 
 def context_packs(candidates: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame:

@@ -89,6 +89,24 @@ def test_search_makes_no_row_for_each_pair(spark, tmp_path):
         assert dealt and not any("_q#" in x and "chunk_id#" in x.split("hashpartitioning")[1] for x in dealt)
 
 
+def test_packs_ask_each_set_of_words_once(spark, monkeypatch):
+    """Queries of the same words are sent to the chunks as one, in blocks of any size, and each has the chunks of a plain loop."""
+    rng, words = random.Random(4), ["zelda", "mario", "sonic", "metroid", "kirby"]
+    chunks = [(i, i % 7, None, " ".join(rng.sample(words, rng.randrange(4))), None, NOW + timedelta(hours=i % 5)) for i in range(40)]
+    asked = [(q, " ".join(rng.sample(words, 2))) for q in range(60)]
+    want = []
+    for q, t in asked:
+        hits = sorted((-sum(w in c[3] for w in t.split()), -(c[0] % 5), c[1], c[0]) for c in chunks if any(w in c[3] for w in t.split()))
+        want += [(q, -h, (-at, no)) for h, at, no, _ in hits[:5]]
+    word_hits, sent = packs.evidence.word_hits, []
+    for block in (1024, 3):
+        monkeypatch.setattr(packs.evidence, "word_hits", lambda *a, block=block, **k: (sent.append(a[3].count()), word_hits(*a, block=block, **k))[1])
+        df = spark.createDataFrame(chunks, "chunk_id long, chunk_no long, title string, quote string, url string, published_at timestamp")
+        got = packs.keyword_packs(spark.createDataFrame(asked, "q long, text string"), "q", F.col("text"), df).collect()
+        assert sorted((r.q, r.score, (r.chunk_id % 5, r.chunk_id % 7)) for r in got) == sorted(want)
+    assert sent == [len({frozenset(t.split()) for _, t in asked})] * 2
+
+
 def test_evidence_takes_the_index_first(spark, tmp_path):
     index = FullTextIndex(spark, str(tmp_path / "i"), 4)
     chunks = spark.createDataFrame(FIRST[:3], CHUNK).withColumn("chunk_no", F.col("chunk_id").cast("int"))
