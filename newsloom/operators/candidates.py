@@ -23,19 +23,22 @@ def _has_tag(*names: str) -> Column:
     return F.arrays_overlap(_tags(), F.array(*(F.lit(n) for n in names)))
 
 
-def with_discussion(df: DataFrame, evidence: Column | None = None) -> DataFrame:
-    """Adds discussion_profile: engagement, language, platform and tag scores, level and reasons."""
+def with_discussion(df: DataFrame, evidence: Column | None = None, only: Column | None = None, name: str = "discussion_profile") -> DataFrame:
+    """Adds discussion_profile: engagement, language, platform and tag scores, level and reasons.
+
+    Rows for which ``only`` does not hold have none, and no pattern is tried on them.
+    """
     text = fn.join_text(F.col("title"), F.col("snippet"), F.col("query"), F.col("url"), F.col("source_id"), F.array_join("tags", " "), evidence if evidence is not None else F.lit(""))
     signals = F.coalesce("heat_signals", F.create_map().cast("map<string,double>"))
     value = lambda k: F.greatest(F.coalesce(F.try_element_at(signals, F.lit(k)), F.lit(0.0)), F.lit(0.0))
     raw = reduce(lambda a, b: a + b, (value(k) * w for k, w in R.ENGAGEMENT_WEIGHTS.items()))
     direct = reduce(lambda a, b: a | b, (value(k) > 0 for k in R.DIRECT_ENGAGEMENT))
-    df = df.withColumn("_text", text)
-    t = F.col("_text")
-    platforms = fn.reasons(*((fn.matches(p, t), name) for name, p in R.PLATFORM_PATTERNS.items()))
+    df = df.withColumn("_text", text if only is None else F.when(only, text)).withColumn("_folded", fn.folded(F.col("_text")))
+    found = lambda p: fn.found_in(p, F.col("_text"), F.col("_folded"))
+    platforms = fn.reasons(*((found(p), name) for name, p in R.PLATFORM_PATTERNS.items()))
     df = df.withColumns({
-        "_raw": raw, "_platforms": platforms, "_direct": direct, "_multi": fn.matches(R.GENERIC_MULTI_PLATFORM, t),
-        "_strong": fn.count_true([fn.matches(p, t) for p in R.STRONG_DISCUSSION]), "_weak": fn.count_true([fn.matches(p, t) for p in R.WEAK_DISCUSSION]),
+        "_raw": raw, "_platforms": platforms, "_direct": direct, "_multi": found(R.GENERIC_MULTI_PLATFORM),
+        "_strong": fn.count_true([found(p) for p in R.STRONG_DISCUSSION]), "_weak": fn.count_true([found(p) for p in R.WEAK_DISCUSSION]),
     })
     df = df.withColumn("_multi", F.col("_multi") | (F.size("_platforms") >= 2))
     engagement = F.when(F.col("_raw") > 0, F.least(F.lit(45.0), 8 + F.log1p("_raw") * 7)).otherwise(0.0)
@@ -54,7 +57,7 @@ def with_discussion(df: DataFrame, evidence: Column | None = None) -> DataFrame:
         F.round("_p", 2).alias("platform_diversity_score"), F.col("_direct").alias("has_direct_engagement"), F.col("_multi").alias("has_multi_platform_discussion"),
         ((F.col("_score") >= 35) & (F.col("_direct") | F.col("_multi") | (F.col("_strong") > 0) | F.col("_hot"))).alias("has_discussion_evidence"),
     )
-    return df.withColumn("discussion_profile", profile).drop("_text", "_raw", "_platforms", "_direct", "_multi", "_strong", "_weak", "_e", "_l", "_p", "_hot", "_score")
+    return df.withColumn(name, profile if only is None else F.when(only, profile)).drop("_text", "_folded", "_raw", "_platforms", "_direct", "_multi", "_strong", "_weak", "_e", "_l", "_p", "_hot", "_score")
 
 
 def event_time() -> Column:
@@ -114,8 +117,8 @@ def with_relevance(df: DataFrame, only: Column | None = None) -> DataFrame:
     word = lambda k: F.when(F.startswith(F.lower(k), F.lit("re:")), F.substring(k, 4, 10_000)).when(F.lower(k).rlike("^[a-z0-9]+$"), F.concat(F.lit("(?<![a-z0-9])"), F.lower(k), F.lit("(?![a-z0-9])"))).otherwise(F.concat(F.lit(r"(?:"), F.regexp_replace(F.lower(k), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), F.lit(")")))
     rule = {k: F.coalesce(F.col(k), none) for k in ("allowed_url_patterns", "excluded_url_patterns", "excluded_keywords", "required_any_keywords")}
     url = F.coalesce("url", F.lit(""))
-    asked = (lambda c: c) if only is None else (lambda c: F.when(only, c))
-    hit = lambda k, t, f=None: any_pattern(asked(F.transform(rule[k], f) if f else rule[k]), asked(t))
+    ruled = lambda k, c: F.when((F.size(rule[k]) > 0) & (F.lit(True) if only is None else only), c)
+    hit = lambda k, t, f=None: any_pattern(ruled(k, F.to_json(F.transform(rule[k], f) if f else rule[k])), ruled(k, t))
     why = fn.reasons(
         ((F.size(rule["allowed_url_patterns"]) > 0) & ~hit("allowed_url_patterns", url), "url_not_allowed"), (hit("excluded_url_patterns", url), "url_excluded"),
         (hit("excluded_keywords", text, word), "excluded_keyword"), ((F.size(rule["required_any_keywords"]) > 0) & ~hit("required_any_keywords", text, word), "missing_required_keyword"),
@@ -134,11 +137,14 @@ def filter_and_rank(candidates: DataFrame, sources: DataFrame, memory: DataFrame
     t = event_time()
     old = (F.unix_micros(t) < F.unix_micros(now) - int(lookback_hours * 3_600_000_000)) | (t > now)
     early = F.coalesce(F.when(t.isNull(), "missing_time"), F.when(old, "outside_time_window"), F.when(F.col("memory_status") == "late_repost", "late_repost_without_current_update"))
-    df = with_discussion(with_relevance(df.withColumn("_early", early), F.col("_early").isNull()))
+    df = with_relevance(df.withColumn("_early", early), F.col("_early").isNull())
     reject = F.coalesce("_early", F.when(F.size("relevance_reasons") > 0, "irrelevant_topic"))
     df = df.withColumn("reject_reason", reject).drop("_early")
     kept = F.col("reject_reason").isNull()
-    return df.withColumns({"heat_score": F.when(kept, heat_score(now, lookback_hours)), "heat_reasons": F.when(kept, heat_reasons()), "event_time": t})
+    df = with_discussion(df, only=kept)  # scores need those of accepted rows alone; the others' are added to be read
+    df = df.withColumns({"heat_score": F.when(kept, heat_score(now, lookback_hours)), "heat_reasons": F.when(kept, heat_reasons()), "event_time": t})
+    df = with_discussion(df, only=~kept, name="_rejected")
+    return df.withColumn("discussion_profile", F.coalesce("discussion_profile", "_rejected")).drop("_rejected")
 
 
 def with_type(df: DataFrame) -> DataFrame:
