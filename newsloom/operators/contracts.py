@@ -1,12 +1,12 @@
 """Contracts of run artifacts as a table of rules, evaluated on the artifacts' JSON as VARIANT rows.
 
-An artifact's JSON is exploded into items and the items into fields by ``variant_explode``; the rules
-meet the fields by an equi-join, so one plan serves any set of contracts and a new contract is a row.
+The rules of its kind come to each artifact as a list, by a broadcast join, and its items are taken as
+maps of their fields, so one plan serves any set of contracts and a new contract is a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Version, and (artifact, is a list, required fields, groups of which one field must be there).
@@ -46,6 +46,41 @@ def contracts(spark: SparkSession, artifacts: list[tuple] = ARTIFACTS) -> DataFr
     return spark.createDataFrame(rows, RULE)
 
 
+def _judged(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``artifacts`` with _v (the body as VARIANT, null if it is no JSON), _items (of a list its items, of an object itself) and _bad: structs (index, rule_no, error, fields) of what breaks the contracts.
+
+    A file's rules come to it as one broadcast list, and its items are judged where they stand: no row
+    is made or shuffled for an item, a field or a rule.
+    """
+    rule = F.struct("rule_no", "kind", "fields")
+    known = rules.where("kind <> 'none'").groupBy("artifact_key").agg(F.first("is_list").alias("_is_list"), F.array_sort(F.collect_list(rule)).alias("_rules"))
+    files = artifacts.withColumn("_v", F.try_parse_json("body")).join(F.broadcast(known), "artifact_key", "left")  # a row for each kind of artifact
+    files = files.withColumn("_list", F.try_variant_get("_v", "$", "array<variant>"))
+    files = files.withColumn("_items", F.coalesce("_list", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.array("_v"))))
+    record = lambda index, no, error, fields: F.struct(index.cast("long").alias("index"), no.cast("int").alias("rule_no"), error.alias("error"), fields.cast("array<string>").alias("fields"))
+    none = F.lit(None)
+    one = lambda index, error: F.array(record(index, none, F.lit(error), none))
+
+    def filled(value: Column) -> Column:
+        """Null for a field that isn't there. A null and a blank text are empty, lists and objects are not."""
+        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+        return F.when(value.isNotNull(), ~F.is_variant_null(value) & (F.coalesce(F.trim(text) != "", F.lit(True))))
+
+    def judged(item: Column, index: Column) -> Column:
+        def broken(fields: Column) -> Column:
+            of = lambda r: F.transform(r["fields"], lambda f: filled(F.try_element_at(fields, f)))
+            error = lambda r, ok: F.when(r["kind"] == "any_of", "missing_alternative_field").when(F.exists(ok, lambda x: x.isNotNull()), "empty_field").otherwise("missing_field")
+            each = F.transform("_rules", lambda r: F.transform(F.array(of(r)), lambda ok: F.when(~F.exists(ok, lambda x: F.coalesce(x, F.lit(False))), record(index, r["rule_no"], error(r, ok), r["fields"])))[0])
+            return F.filter(each, lambda x: x.isNotNull())
+
+        fields = F.when(F.schema_of_variant(item).startswith("OBJECT"), F.try_variant_get(item, "$", "map<string,variant>"))
+        return F.transform(F.array(fields), lambda m: F.when(m.isNull(), one(index, "invalid_item_type")).otherwise(broken(m)))[0]
+
+    items = F.when(F.col("_is_list"), F.flatten(F.transform("_list", judged))).otherwise(judged(F.col("_v"), F.lit(0)))
+    whole = F.when(F.col("_v").isNull(), one(none, "json_parse_error")).when(F.col("_is_list") & F.col("_list").isNull(), one(none, "unexpected_type"))
+    return files.withColumn("_bad", F.when(F.col("_rules").isNotNull(), F.coalesce(whole, items)))
+
+
 def violations(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
     """(file_id, artifact_key, index, rule_no, error, fields): what breaks the contracts.
 
@@ -54,33 +89,7 @@ def violations(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
     missing_alternative_field (of an item). A null body is no JSON. Null and blank texts are empty,
     empty lists and objects are not. Artifacts without rules have no errors, whatever they hold.
     """
-    ruled = rules.where("kind <> 'none'")
-    known = ruled.groupBy("artifact_key").agg(F.first("is_list").alias("is_list"))
-    files = artifacts.select("file_id", "artifact_key", F.try_parse_json("body").alias("v")).join(F.broadcast(known), "artifact_key")  # a row for each kind of artifact
-    kind = F.schema_of_variant("v")
-    files = files.withColumn("shape", F.when(F.col("v").isNull(), "none").when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "object").otherwise("other"))
-    whole = F.when(F.col("shape") == "none", "json_parse_error").when(F.col("is_list") & (F.col("shape") != "list"), "unexpected_type")
-    row = lambda index, error, no, fields: (F.col("file_id"), F.col("artifact_key"), index.cast("long").alias("index"), no.cast("int").alias("rule_no"), error.alias("error"), fields.cast("array<string>").alias("fields"))
-    none = F.lit(None)
-    broken = files.withColumn("_e", whole).where("_e is not null").select(*row(none, F.col("_e"), none, none))
-    fit = files.where(whole.isNull())
-    spark = artifacts.sparkSession
-    explode = lambda df, column: df.lateralJoin(spark.tvf.variant_explode(F.col(column).outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
-    items = explode(fit.where("is_list"), "v").select("file_id", "artifact_key", F.col("_pos").cast("long").alias("index"), F.col("_value").alias("item"))
-    items = items.unionByName(fit.where("NOT is_list").select("file_id", "artifact_key", F.lit(0).cast("long").alias("index"), F.col("v").alias("item")))
-    is_object = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
-    wrong = items.where(~is_object).select(*row(F.col("index"), F.lit("invalid_item_type"), none, none))
-    objects = items.where(is_object)
-    text = F.try_variant_get(F.col("_value"), "$", "string")
-    # A JSON null casts to null; objects and lists have no text but are there.
-    filled = F.when(F.schema_of_variant("_value") == "STRING", F.trim(text) != "").otherwise(F.schema_of_variant("_value") != "VOID")
-    fields = explode(objects, "item").select("file_id", "index", F.col("_key").alias("field"), filled.alias("filled"))
-    asked = objects.select("file_id", "artifact_key", "index").join(F.broadcast(ruled.drop("is_list")), "artifact_key")
-    met = asked.withColumn("field", F.explode("fields")).join(fields, ["file_id", "index", "field"], "left")
-    found = met.groupBy("file_id", "artifact_key", "index", "rule_no", "kind", "fields").agg(F.max(F.col("filled").isNotNull()).alias("there"), F.max(F.coalesce("filled", F.lit(False))).alias("ok"))
-    error = F.when(F.col("kind") == "any_of", "missing_alternative_field").when(F.col("there"), "empty_field").otherwise("missing_field")
-    bad = found.where(~F.col("ok")).select(*row(F.col("index"), error, F.col("rule_no"), F.col("fields")))
-    return broken.unionByName(wrong).unionByName(bad)
+    return _judged(artifacts, rules).select("file_id", "artifact_key", F.explode("_bad").alias("_b")).select("file_id", "artifact_key", "_b.index", "_b.rule_no", "_b.error", "_b.fields")
 
 
 def schema_report(artifacts: DataFrame, rules: DataFrame, critical: list[str] = CRITICAL) -> DataFrame:
@@ -95,15 +104,13 @@ def schema_report(artifacts: DataFrame, rules: DataFrame, critical: list[str] =
     why = F.when(F.col("_known").isNull(), "no_schema_registered").when(~F.lower("file_name").endswith(".json"), "unsupported_artifact_format").when(~F.col("present"), "missing_optional_artifact")
     lacking = (F.col("_known").isNotNull()) & F.lower("file_name").endswith(".json") & ~F.col("present") & F.col("artifact_key").isin(list(critical))
     rows = rows.withColumn("skip_reason", F.when(~lacking, why))
-    checked = violations(rows.where(F.col("skip_reason").isNull() & F.col("present")), rules)
-    counted = checked.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_errors"), F.array_sort(F.collect_set("error")).alias("errors"))
-    v = F.try_parse_json("body")
-    records = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>"))).when(F.schema_of_variant(v).startswith("OBJECT"), 1)
-    out = rows.join(counted, "file_id", "left").withColumns({
-        "n_errors": F.when(lacking, F.lit(1)).otherwise(F.coalesce("n_errors", F.lit(0))).cast("long"),
-        "errors": F.when(lacking, F.array(F.lit("file_not_found"))).otherwise(F.coalesce("errors", F.array().cast("array<string>"))),
+    asked = F.col("skip_reason").isNull() & F.col("present")
+    judged = _judged(rows.withColumn("body", F.when(asked, F.col("body"))), rules)
+    out = judged.withColumn("_bad", F.when(asked, F.col("_bad"))).withColumns({
+        "n_errors": F.when(lacking, F.lit(1)).otherwise(F.coalesce(F.array_size("_bad"), F.lit(0))).cast("long"),
+        "errors": F.when(lacking, F.array(F.lit("file_not_found"))).otherwise(F.coalesce(F.array_sort(F.array_distinct(F.col("_bad.error"))), F.array().cast("array<string>"))),
         "skipped": F.col("skip_reason").isNotNull(),
-        "record_count": F.when(F.col("skip_reason").isNull() & F.col("present"), records),
+        "record_count": F.when(asked, F.array_size("_items")),
     })
     return out.select("run_id", "file_id", "artifact_key", "file_name", F.lit(VERSION).alias("schema_version"), (F.col("n_errors") == 0).alias("valid"), "skipped", F.coalesce("skip_reason", F.lit("")).alias("skip_reason"), "n_errors", "errors", "record_count")
 

@@ -236,6 +236,18 @@ def test_contracts_of_odd_artifacts(spark):
     assert contracts.schema_report(files.limit(0), rules).collect() == []
 
 
+def test_artifacts_are_judged_where_they_stand(spark):
+    """No row of an item or a field is shuffled, and a body that no contract of a list or an object fits has the same error as before."""
+    rows = [(1, "documents", "null"), (2, "run_manifest", "null"), (3, "run_manifest", '"x"'), (4, "documents", '[{"candidate_url": {}, "title": [], "source_id": 0, "content": "x"}, null, []]'), (5, "run_manifest", '{"run_id": null, "artifact_index": false}')]
+    files = spark.createDataFrame([("r", True, f"{k}.json", *r) for k, r in zip("abcde", rows, strict=True)], "run_id string, present boolean, file_name string, file_id long, artifact_key string, body string")
+    found = {(r.file_id, r["index"], r.rule_no, r.error) for r in contracts.violations(files, contracts.contracts(spark)).collect()}
+    assert found == {(1, None, None, "unexpected_type"), (2, 0, None, "invalid_item_type"), (3, 0, None, "invalid_item_type"), (4, 1, None, "invalid_item_type"), (4, 2, None, "invalid_item_type"), (5, 0, 0, "empty_field"), (5, 0, 1, "missing_field")}
+    report = contracts.schema_report(files, contracts.contracts(spark))
+    assert {r.file_id: (r.n_errors, r.record_count) for r in report.collect()} == {1: (1, None), 2: (1, None), 3: (1, None), 4: (2, 3), 5: (2, 1)}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "file_id" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
 def test_heat_observations_of_odd_bodies(spark):
     contract = [{"provider_id": "p", "platform": "weibo", "access_method": "API", "output_schema": {"url": {"source": "link", "default": "none"}, "snippet": "text", "likes": {}}}, {"provider_id": "q", "access_method": "nonsense"}]
     bodies = [("p", '{"link": " u ", "text": "t", "likes": 3, "engagement_signals": {"n": "2.5"}, "evidence_texts": ["My Game reply", " "], "candidate_title": "My Game"}'), ("p", '{"link": null}'), ("q", "[1]"), ("q", None), ("z", '{"url": "v", "platform": "own", "top_results": [{"title": "game"}, 5]}')]
