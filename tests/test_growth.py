@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import clusters, matching, newsroom
+from newsloom.operators import clusters, evidence, matching, newsroom
 from newsloom.sources import landed
 
 
@@ -84,3 +88,22 @@ def test_a_look_up_reads_a_small_row_group(spark, tmp_path):
     landing = landed.Landing(str(tmp_path / "l"), parts=1)
     assert landing.get("https://x/77")["url"] == "https://x/77" and landing.get("https://x/none") is None
     assert max(g.row_groups[0].num_rows for g in landing.held[0]) < 250
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_bm25_makes_no_row_for_a_pair(spark, block):
+    """Queries that share a word with all documents; texts and ids that are null, empty and repeated count as in a plain loop."""
+    texts = {i: f"shared w{i % 7} w{i % 11} " + "w3 " * (i % 4) + "filler " * (i % 5) for i in range(300)} | {300: None, 301: "", 302: "the of", None: "shared w3"}
+    asks = [(i, f"shared shared w{i % 7} the w{i % 11}") for i in range(40)] + [(5, "shared w1"), (40, None), (41, "nowhere"), (None, "w3")]
+    docs, queries = spark.createDataFrame(list(texts.items()), "d long, t string").repartition(3), spark.createDataFrame(asks, "q long, t string")
+    split = {d: [w for w in (t or "").split() if w not in ("the", "of")] for d, t in texts.items()}
+    n, avgdl, df = len(split), sum(map(len, split.values())) / len(split), Counter(w for ws in split.values() for w in set(ws))
+    asked = Counter((q, w) for q, t in asks for w in set((t or "").split()) if w in df)
+    want = set()
+    for q in {q for q, _ in asked}:
+        score = lambda ws: sum(times * math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / avgdl)) for (p, w), times in asked.items() if p == q)  # noqa: E731, B023
+        best = sorted((-round(score(ws), 9), d is not None, d or 0, d) for d, ws in split.items() if score(ws) > 0)[:5]
+        want |= {(q, b[3], round(-b[0], 6), i + 1) for i, b in enumerate(best)}
+    rows, made = _collected(evidence.bm25(docs, "d", F.col("t"), queries, "q", F.col("t"), block=block))
+    assert {(r.q, r.d, round(r.score, 6), r["rank"]) for r in rows} == want and len(rows) == len(want)
+    assert made < 1000
