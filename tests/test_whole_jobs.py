@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,25 @@ def test_word_hits_in_blocks_and_batches(spark):
         assert sorted(best.get(k, []))[:5] == ranked[:5]
 
 
+@pytest.mark.parametrize("k", [5, None])
+def test_word_hits_hold_small_tables(k):
+    """A full Arrow batch of texts with many runs that meets many queries: what a task holds doesn't grow with either."""
+    queries = [[f"w{i % 97:02d}", f"x{i:04d}"] for i in range(1000)]
+    run = evidence._hits_in_batches(pa.array(range(1000)), queries, k)
+    n = 6000 if k else 1500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"w{i % 97:02d} x{i:04d} " + " ".join(f"r{i}y{j}" for j in range(40 if k else 0)) for i in range(n)])], names=["id", "low"])
+    tracemalloc.start()
+    got = {}
+    for part in run([batch]):
+        for q, d, hits in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) if k else ():
+            got.setdefault(q, []).append((-hits, d))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    if k:
+        assert {q: sorted(x)[:5] for q, x in got.items()} == {q: [(-2, q), *((-1, d) for d in range(q % 97, n, 97) if d != q)][:5] for q in range(1000)}
+    assert peak < 70e6
+
+
 def test_titles_are_whole_first_lines(spark, tmp_path):
     same = " ".join(f"word{i:02d}" for i in range(20))  # longer than 120 characters
     texts = [f"{same} one\nbody", f"{same} two\nother", f"{same} one\nthird", " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(100))]
