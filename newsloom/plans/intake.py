@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom import functions as fn
-from newsloom.functions.folders import shared_folder
+from newsloom.functions.folders import saved, shared_folder
 from newsloom.operators import contracts, events, evidence, heat, matching, memory, quality, requests
 from newsloom.operators.fulltext import FullTextIndex
 from newsloom.plans.news_sql import _canon, _norm, _words
@@ -118,6 +118,8 @@ def collected_sources(spark, d):
     catalog = [{"id": f"group_{g}", "collector": "jsonp_listing", "page_url": "https://list.example/", "tags": ["listed"], "collector_config": paged(g)} for g in _GROUPS]
     spark.dataSource.register(landed.LandedSource)
     rows = spark.read.format("landed").options(path=path, catalog=json.dumps(catalog), discovered_at=NOW, lookback_hours="48").load()
+    # read once for both results, without the texts that neither needs
+    rows = saved(rows.select("kind", "source_id", "entry_no", "page", "position", "url", "title", "theme_section", "entry_theme", "entry_label", "entry_url", "tags", "link_count", "duplicate_url_count", "error"), "collected")
     n = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}")
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     kinds = rows.groupBy("source_id").agg(*map(n, ("raw", "candidate", "diagnostics", "error")), total("link_count", "links"), total("duplicate_url_count", "duplicates"), F.max(F.when(F.col("kind") == "error", F.col("error"))).alias("last_error"))

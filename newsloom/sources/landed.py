@@ -4,7 +4,7 @@ A fetcher outside the engine lands responses as rows (url, status_code, content_
 ``land`` stores them by the hash of their URL. ``spark.read.format("landed")`` then collects the
 sources of a catalog: feeds, listings, listings that lead on to the next page, and paged listings
 behind a JSONP endpoint. Each entry is read page by page, from one response to the next, until a page
-is old, empty or the last, so a task holds one page at a time. Rows are of five kinds: candidate,
+is old, empty or the last, so a task holds one page at a time, beside the row groups that its look-ups keep. Rows are of five kinds: candidate,
 raw (a response that was read), error, diagnostics (of a page) and contract (what a source lacks).
 """
 
@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from email.utils import parsedate_to_datetime
+from itertools import accumulate
 from urllib.parse import urlencode, urljoin
 from xml.etree import ElementTree
 from zlib import crc32
@@ -58,28 +60,50 @@ def land(responses: DataFrame, path: str, parts: int = PARTS) -> None:
 
 
 class Landing:
-    """Look-up of landed responses by URL: the file of a URL's part, of which the row groups that may hold it are read."""
+    """Look-up of landed responses by URL: the file of a URL's part, of which the row groups that may hold it are read.
+
+    The last row group read of each part is kept, so URLs that are asked in about their order, as the
+    pages of one node are, read a group once: at most one small group for each part is held.
+    """
 
     def __init__(self, path: str, parts: int = PARTS):
         from pyarrow import fs
 
         self.parts = parts
         self.held: dict[int, list] = {}
+        self.bounds: dict[int, tuple[list, list, list]] = {}
+        self.last: dict[int, tuple] = {}
         self.files, self.root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
     def get(self, url: str) -> dict | None:
-        import pyarrow.dataset as ds
-
         part = crc32(url.encode()) % self.parts
         if part not in self.held:
-            self.held[part] = self._row_groups(f"{self.root}/part={part}")
-        for group in self.held[part]:
-            said = (group.row_groups[0].statistics or {}).get("url") or {"min": url, "max": url}
-            if said["min"] <= url <= said["max"]:
-                if found := group.to_table(filter=ds.field("url") == url).to_pylist():
-                    return found[0]
+            self._open(part)
+        least, most, reach = self.bounds[part]
+        at = bisect_right(least, url, key=lambda x: x or "") - 1
+        while at >= 0 and (reach[at] is None or reach[at] >= url):  # groups of several files may overlap
+            if most[at] is None or most[at] >= url:
+                rows, places = self._read(part, at)
+                if url in places:
+                    return rows.slice(places[url], 1).to_pylist()[0]
+            at -= 1
         return None
 
+    def _open(self, part: int) -> None:
+        """The row groups of a part by their least URLs, with their greatest ones and the greatest so far; None where it is not known."""
+        said = [((g.row_groups[0].statistics or {}).get("url") or {"min": None, "max": None}, g) for g in self._row_groups(f"{self.root}/part={part}")]
+        said.sort(key=lambda x: x[0]["min"] or "")
+        least, most = [s["min"] for s, _ in said], [s["max"] for s, _ in said]
+        reach = list(accumulate(most, lambda a, b: None if a is None or b is None else max(a, b)))
+        self.held[part], self.bounds[part] = [g for _, g in said], (least, most, reach)
+
+    def _read(self, part: int, at: int) -> tuple:
+        """The rows of a part's row group, and the place of each URL in them."""
+        if part not in self.last or self.last[part][0] != at:
+            rows = self.held[part][at].to_table(use_threads=False)
+            self.last[part] = (at, rows, {u: i for i, u in reversed(list(enumerate(rows["url"].to_pylist())))})
+        return self.last[part][1:]
+
     def _row_groups(self, where: str) -> list:
         """The row groups of a part with their least and greatest URL: footers are read once."""
         import pyarrow.dataset as ds

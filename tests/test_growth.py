@@ -90,6 +90,20 @@ def test_a_look_up_reads_a_small_row_group(spark, tmp_path):
     assert max(g.row_groups[0].num_rows for g in landing.held[0]) < 250
 
 
+def test_pages_of_a_node_read_each_row_group_about_once(spark, tmp_path, monkeypatch):
+    """Consecutive pages lie in few row groups, which are kept; every look-up gives what was landed, also one of a URL that wasn't."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.xxhash64("id", i).cast("string")))
+    path, url = str(tmp_path / "l"), lambda i: f"https://x/page={1000 + i}"
+    landed.land(spark.range(900).select(F.concat(F.lit("https://x/page="), (F.col("id") + 1000).cast("string")).alias("url"), text.alias("text")), path, parts=2)
+    landing, reads = landed.Landing(path, parts=2), []
+    read = landing._row_groups
+    monkeypatch.setattr(landing, "_row_groups", lambda where: [type("G", (), {"row_groups": g.row_groups, "to_table": lambda self, g=g, **k: reads.append(g) or g.to_table(**k)})() for g in read(where)])
+    assert [landing.get(url(i))["url"] for i in range(900)] == [url(i) for i in range(900)]
+    assert landing.get("https://x/a") is None and landing.get("https://x/page=10005") is None and landing.get("https://y") is None
+    groups = sum(map(len, landing.held.values()))
+    assert groups > 4 and len(reads) <= groups + 3
+
+
 @pytest.mark.parametrize("block", [256, 7])
 def test_bm25_makes_no_row_for_a_pair(spark, block):
     """Queries that share a word with all documents; texts and ids that are null, empty and repeated count as in a plain loop."""
