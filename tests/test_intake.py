@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import contracts, heat, matching, packs
 from newsloom.operators.fulltext import FullTextIndex, packs_json
+from newsloom.plans import intake
 from newsloom.sources import landed, listing
 from newsloom.streaming import late
 
@@ -60,6 +61,21 @@ def test_index_grows_by_runs(spark, tmp_path):
     assert {r[2] for r in _found(grown, spark, sections=["pc"], candidates=cands)} == {"1"}
 
 
+def test_index_shuffles_texts_and_tokens_once(spark, tmp_path):
+    """Chunks carry what they need of their document without a join, and tokens are dealt once, where they are written; totals count chunks without words."""
+    index = FullTextIndex(spark, str(tmp_path / "i"), 4)
+    held = spark.createDataFrame([("1", 3, ["a", "b", "a"]), ("2", 0, [])], "chunk_id string, dl long, w array<string>")
+    counted = index._counted(held)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.chunk_id, r.token, r.tf, r.dl) for r in counted.collect()) == [("1", "a", 2, 3), ("1", "b", 1, 3)]
+    assert "Join" not in intake._evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    index.add("none", spark.createDataFrame([_chunk("8", "!", "")], CHUNK))
+    assert [(r.n_chunks, r.n_tokens) for r in index.table("totals").collect()] == [(1, 0)] and _found(index, spark) == []
+    index.add("r1", spark.createDataFrame(FIRST, CHUNK))
+    whole = index.table("postings").agg(F.sum("tf")).first()[0]
+    assert index.table("totals").agg(F.sum("n_tokens")).first()[0] == whole and index.table("totals").where("run_id = 'none'").first().n_tokens == 0
+
+
 def test_search_makes_no_row_for_each_pair(spark, tmp_path):
     """Results in blocks of any size are the best by a plain loop, and pairs of query and chunk are not dealt."""
     rng = random.Random(3)
